@@ -9,7 +9,7 @@ from ..functions.calendar import market_open
 from ..functions.text import EMPTY_SHA256
 from ..operators.quality import HARD, accepted, dedup, dedup_counts, issues, spread_stats
 from ..schemas import TICKS
-from ..sources.bi5 import FILE, decode_files, scale
+from ..sources.bi5 import hour_files, scan
 from ..sources.requests import instant
 from ..sources.store import write_ticks
 
@@ -28,10 +28,8 @@ def ingest(spark: SparkSession, root: str, requests: DataFrame, out: str, fail_o
     any hard issue is left out whole and is a gap; so is one that is missing or
     can't be decoded. Issues carry their reason, count and severity.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").option("recursiveFileLookup", "true").load(root)
-    x = F.regexp_extract
-    named = files.select(x("path", FILE, 1).alias("pair"), x("path", FILE, 2).cast("date").alias("date"), x("path", FILE, 3).cast("int").alias("hour"), "path", "length", F.sha2("content", 256).alias("sha256"))
-    raw = scale(decode_files(files))
+    named = hour_files(spark, root, digest=True)
+    raw = scan(spark, root)
     asked = requests.select(*KEY).distinct()
     rows = raw.withColumn("date", F.col("date").cast("date")).join(asked, KEY, "left_semi")
     broken = rows.where("error is not null").select(*KEY, "error")

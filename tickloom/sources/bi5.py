@@ -90,17 +90,37 @@ def scale(records: DataFrame) -> DataFrame:
     return records.withColumns({"hour_start": start, "ts": F.timestamp_micros(F.unix_micros(start) + F.col("ms") * 1000), "bid": F.col("bid_i") / d, "ask": F.col("ask_i") / d})
 
 
+def binary_files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").option("recursiveFileLookup", "true").load(root)
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded hours below a folder: one row per tick, or one row without a record per empty or broken file."""
-    return scale(decode_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").option("recursiveFileLookup", "true").load(root)))
+    """Decoded hours below a folder: one row per tick, or one row without a record per broken file."""
+    return scale(decode_files(binary_files(spark, root)))
+
+
+def hour_files(spark: SparkSession, root: str, digest: bool = False) -> DataFrame:
+    """``pair, date, hour, path, length`` of every file below a folder, those without bytes included.
+
+    Spark's scans skip files without bytes, so names come from its file index,
+    which the driver holds anyway, and lengths (and digests) from the scan.
+    """
+    files = binary_files(spark, root)
+    names = [(n,) for n in files.inputFiles() if n]
+    x = F.regexp_extract
+
+    def key(df: DataFrame) -> DataFrame:
+        return df.select(x("path", FILE, 1).alias("pair"), x("path", FILE, 2).cast("date").alias("date"), x("path", FILE, 3).cast("int").alias("hour"), *[c for c in df.columns if c != "content"])
+
+    scanned = key(files.select("path", "length", *([F.sha2("content", 256).alias("sha256")] if digest else []))).drop("path")
+    every = key(spark.createDataFrame(names, "path string"))
+    return every.join(scanned, ["pair", "date", "hour"], "left").na.fill(0, ["length"])
 
 
 def availability(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Requested hours with ``present``, ``empty`` or ``missing``; file contents are not read."""
-    name = F.regexp_extract
-    listed = files.select(name("path", FILE, 1).alias("pair"), name("path", FILE, 2).cast("date").alias("date"), name("path", FILE, 3).cast("int").alias("hour"), "length")
     kind = F.when(F.col("length").isNull(), "missing").when(F.col("length") == 0, "empty").otherwise("present")
-    return requests.join(listed, ["pair", "date", "hour"], "left").select("pair", "date", "hour", kind.alias("availability"), F.coalesce("length", F.lit(0)).cast("long").alias("bytes"))
+    return requests.join(files, ["pair", "date", "hour"], "left").select("pair", "date", "hour", kind.alias("availability"), F.coalesce("length", F.lit(0)).cast("long").alias("bytes"))
 
 
 class Bi5Partition(InputPartition):
