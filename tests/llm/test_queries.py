@@ -1,0 +1,165 @@
+"""Queries with SQL against DuckDB, and those without against brute force, on whole tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import duckdb
+import pytest
+from compare import duck, same
+
+from tickloom.llm import queries as Q
+from tickloom.llm import secrets as S
+
+FOLDER = "/root/testdata/sf0.001"
+SQL = Q.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.connect().sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet'").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(shared, name):
+    same(Q.queries()[name](shared, FOLDER), duck(FOLDER), SQL[name])
+
+
+def test_ten_queries():
+    assert [re.match(r"op(\d+)_", n)[1] for n in Q.queries()] == [str(i) for i in range(1, 11)]
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_op6_against_the_library(shared, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(Q.vocabulary_path())
+    rows = Q.op6_bpe(shared, FOLDER).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+
+
+BASE = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+}
+
+
+def brute_spans(text: str) -> list[tuple[int, int, int, str]]:
+    return sorted((m.start(), i, m.end(), k) for i, (k, (p, ok)) in enumerate(BASE.items()) for m in p.finditer(text) if ok(m))
+
+
+def test_op7_against_plain_patterns(shared, texts):
+    for r in Q.op7_secret_scan(shared, FOLDER).collect():
+        want = brute_spans(texts[r.doc_id] or "")
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for *_, k in want) for n in BASE]
+        assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in want))
+
+
+def test_op7_patterns_are_the_contract():
+    assert S.BASE == tuple(BASE)
+
+
+def test_op2_held_out(shared):
+    folder = "/root/testdata/sf0.1"
+    labels = dict(duckdb.connect().sql(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet'").fetchall())
+    rows = Q.op2_toxicity(shared, folder).collect()
+    assert len(rows) == 10_000
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(p == y for p, y in held) / len(held) > 0.97
+    toxic = [p for p, y in held if y == 1]
+    assert sum(toxic) / len(toxic) > 0.85
+
+
+def test_op9_held_out(shared):
+    folder = "/root/testdata/sf0.01"
+    truth = dict(duckdb.connect().sql(f"SELECT doc_id, lang FROM '{folder}/documents.parquet'").fetchall())
+    rows = Q.op9_language_id(shared, folder).collect()
+    held = [(r.lang_pred, truth[r.doc_id]) for r in rows if r.held_out]
+    assert sum(p == y for p, y in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_op10_keeps_everything_else(shared, texts):
+    card = re.compile(r"(?<![0-9])4[0-9]{15}(?![0-9])")
+    for r in Q.op10_pii_pseudonyms(shared, FOLDER).collect():
+        old = texts[r.doc_id]
+        found = r.n_card + r.n_phone + r.n_email + r.n_ip + r.n_date + r.n_iban + r.n_ssn
+        assert len(r.text) == len(old) or r.n_ip
+        assert (r.text == old) == (found == 0)
+        for m in card.findall(old):
+            if luhn(m):
+                assert m not in r.text
+        for m in card.findall(r.text):
+            assert luhn(m) or m in old
+        for m in re.findall(r"[\w.]+@mail\d\.example\.com", old):
+            assert m not in r.text
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def test_pipeline_against_brute_force(shared):
+    """Stages by plain Python: letters, equal texts, shingle similarity, windows; and the tokenizer of the library."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    con = duckdb.connect()
+    docs = dict(con.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet' ORDER BY 1").fetchall())
+    kept = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
+    first: dict[str, int] = {}
+    for i, t in kept.items():
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
+    kept = {i: kept[i] for i in first.values()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in kept.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in kept}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in kept:
+        for b in kept:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = {i: t for i, t in kept.items() if find(i) == i}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    items = [word.findall(t.translate(lower)) for (t,) in con.sql(f"SELECT text FROM '{FOLDER}/benchmark.parquet'").fetchall()]
+    windows = {tuple(w[k : k + min(10, len(w))]) for w in items if w for k in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+
+    def clean(t):
+        w = word.findall(t.translate(lower))
+        return not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+
+    kept = {i: t for i, t in kept.items() if clean(t)}
+    t = Tokenizer.from_file(Q.vocabulary_path())
+    got = {r.doc_id: r.token_ids for r in corpus_pipeline.run(shared, FOLDER).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in kept.items()}
+
+
+def test_stages_keep_the_columns(shared):
+    import corpus_pipeline
+
+    docs = shared.read.parquet(f"{FOLDER}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(shared, docs, FOLDER).columns == docs.columns, name

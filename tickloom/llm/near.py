@@ -5,14 +5,14 @@
 2. One hash per shingle fills ``BINS`` bins; empty bins copy the first filled bin
    of a random probe sequence that depends on the bin alone.
 3. ``BANDS`` bands of ``ROWS`` bins are the buckets. Within a bucket, candidates
-   are a star: every node with the smallest id, so pair counts stay below
-   nodes x BANDS.
-4. Sketches drop candidates that are far below the threshold, and the rest are
-   confirmed on the full sets, recomputed from the whole texts.
-5. A star can miss a link between two members that both differ from the centre.
-   Buckets whose members are in several components afterwards are compared again
-   across components, by sketches in blocks of bounded size, and what passes is
-   confirmed in the same way.
+   are a star around its most central member, the one with the most bucket
+   mates; a family of copies so shares few centres. There are at most nodes x
+   BANDS star edges.
+4. The members of a centre meet once, with their whole texts, in groups that are
+   cut into blocks of bounded size. There, pairs that no chain of links joins
+   yet are compared, by sketches and then on the full sets; links that join two
+   parts are returned, fewer than the group has members. Every two texts that
+   share a bucket share its centre, so no bucket's pair goes untested.
 
 At similarity s a pair shares a bucket with probability 1 - (1 - s^4)^32, which
 is 0.999995 at 0.75.
@@ -21,11 +21,9 @@ is 0.999995 at 0.75.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +36,9 @@ WORDS, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Bins (of 128) that two sketches must share. At a similarity of 0.75 they share 96 with a deviation of 4.9.
-SKETCH_LEAST = 60
-BLOCK_ROWS = 512
+SKETCH_LEAST = 70
+#: Shingles on one side of a block.
+BLOCK_SHINGLES = 2_000_000
 _U = np.uint64
 
 
@@ -102,66 +101,89 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(print_, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
 
-def _similar_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-        yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "node_a", "node_b"]).filter(pa.array((a == b).sum(1) >= SKETCH_LEAST))
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough. A text whose set isn't the node's (another row with the same id) is passed over."""
-    alphabet, seen = spaced(), OrderedDict()
-
-    def sets(part: pa.RecordBatch, node: int, text: int) -> list[np.ndarray | None]:
-        nodes, out = part.column(node).to_pylist(), []
-        missing = [i for i, n in enumerate(nodes) if n not in seen]
-        if missing:
-            few = pa.RecordBatch.from_arrays([part.column(text).take(pa.array(missing, pa.int64()))], ["text"])
-            for small in slices(few, 0):
-                for s in shingle_sets(small, 0, alphabet):
-                    seen[fingerprint(s)] = s
-        for n in nodes:
-            out.append(seen.get(n))
-        return out
+def _links_of_group(ids: list[int], sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members that join separate parts; between the two sides only, if there are two.
+
+    The first member is compared with all others, and so on with those that are
+    in another part; of them the likeliest first, so that a member that belongs
+    to a part joins it early.
+    """
+    part, out = np.arange(len(ids)), []
+    crossing = side.any()
+    for x in range(len(ids) - 1):
+        rest = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
+        if crossing:
+            rest = rest[side[rest] != side[x]]
+        if not len(rest):
+            continue
+        alike = (sketches[rest] == sketches[x]).sum(1)
+        rest, alike = rest[alike >= SKETCH_LEAST], alike[alike >= SKETCH_LEAST]
+        for y in rest[np.argsort(-alike, kind="stable")].tolist():
+            if part[y] == part[x]:
+                continue
+            s, t = sets[x], sets[y]
+            n = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * n >= PERCENT * (len(s) + len(t) - n):
+                out.append((ids[x], ids[y]))
+                part[part == part[y]] = part[x]
+    return out
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of groups that come one after another: columns centre, i, j, side, id, node, sketch, text."""
+    alphabet = spaced()
+    key, ids, sets, sketches, side = None, [], [], [], []
+
+    def close() -> list[tuple[int, int]]:
+        if len(ids) < 2:
+            return []
+        return _links_of_group(ids, sets, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), np.array(side))
 
     for batch in batches:
-        for part in slices(batch, 5):
-            left, right = sets(part, 2, 4), sets(part, 3, 5)
-            ok = [s is not None and t is not None and (n := len(np.intersect1d(s, t, assume_unique=True))) * 100 >= PERCENT * (len(s) + len(t) - n) for s, t in zip(left, right, strict=True)]
-            yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-            held = 0
-            for k in reversed(list(seen)):
-                held += len(seen[k])
-                if held > 4_000_000:
-                    del seen[k]
-
-
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of candidate pairs of ids ``a, b``, those whose sets are similar enough."""
-    side = {k: nodes.select(F.col("id").alias(k), F.col("node").alias(f"node_{k}"), F.col("sketch").alias(f"sketch_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "ab"}
-    sized = pairs.join(side["a"], "a").join(side["b"], "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    likely = map_arrow(sized.select("a", "b", "node_a", "node_b", "sketch_a", "sketch_b"), _similar_sketches, "a bigint, b bigint, node_a binary, node_b binary")
-    likely = materialise(likely, "likely")
-    text = {k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab"}
-    full = likely.join(text["b"], "b").join(text["a"], "a").select("a", "b", "node_a", "node_b", "text_a", "text_b")
-    found = materialise(map_arrow(full, _confirm, "a bigint, b bigint").distinct(), "links")
-    discard(likely)
-    return found
-
-
-def _compare_block(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block pair in different components with sketches alike."""
-    left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-    out = []
-    if len(left) and len(right):
-        a = np.frombuffer(b"".join(left["sketch"]), np.uint8).reshape(-1, BINS)
-        b = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(-1, BINS)
-        b_id, b_component = right["id"].to_numpy(), right["component"].to_numpy()
-        for row, i, c in zip(a, left["id"], left["component"], strict=True):
-            near = np.flatnonzero((b_component != c) & (b_id != i))
-            near = near[(b[near] == row).sum(1) >= SKETCH_LEAST]
-            out.append(np.stack([np.minimum(b_id[near], i), np.maximum(b_id[near], i)], 1))
-    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+        found = []
+        for part in slices(batch, 7):
+            texts = list(shingle_sets(part, 7, alphabet))
+            rows = zip(*(part.column(c).to_pylist() for c in range(7)), texts, strict=True)
+            for centre, i, j, of, id_, node, sketch, shingles in rows:
+                if (centre, i, j) != key:
+                    found += close()
+                    key, ids, sets, sketches, side = (centre, i, j), [], [], [], []
+                if fingerprint(shingles) == node:  # else another row with the same id
+                    ids.append(id_)
+                    sets.append(shingles)
+                    sketches.append(sketch)
+                    side.append(of)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+    found = close()
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def star_members(nodes: DataFrame) -> DataFrame:
+    """Distinct ``centre, id`` of all buckets with two or more nodes; a centre is a member of its own star.
+
+    Bucket sizes and centres are aggregates that are joined back to plain
+    exchanges, so that a hot bucket can be split.
+    """
+    rows = nodes.select("id", F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    held = materialise(rows.join(sizes, "bucket"), "buckets")
+    mates = held.groupBy("id").agg(F.sum("size").alias("mates"))
+    centres = held.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("minus"))).alias("_c")).select("bucket", (-F.col("_c.minus")).alias("centre"))
+    out = materialise(held.select("bucket", "id").join(centres, "bucket").select("centre", "id").distinct(), "stars")
+    discard(held)
+    return out
+
+
+def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join all near-duplicates: a spanning set of them, not all."""
+    stars = star_members(nodes).join(nodes.select("id", "node", "sketch", "n_shingles"), "id")
+    blocks = stars.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n"))
+    placed = stars.join(blocks, "centre").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    grid = F.explode(F.expr("transform(sequence(0, n - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"))
+    dealt = placed.select("centre", "id", "node", "sketch", grid.alias("g")).select("centre", "g.*", "id", "node", "sketch")
+    full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("centre", "i", "j", "side", "id", "node", "sketch", "text")
+    order = ["centre", "i", "j", F.expr("id <> centre"), "id"]
+    return materialise(map_arrow(full.repartition("centre", "i", "j").sortWithinPartitions(*order), _link, "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,28 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialise(usable.join(first.select("node", F.col("id").alias("doc_id")), ["node", "doc_id"]).select(F.col("doc_id").alias("id"), "node", "n_shingles", "bands", "sketch"), "nodes")
     discard(signed)
 
-    rows = nodes.select("id", F.explode("bands").alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = materialise(rows.join(stars, "bucket"), "buckets")
-    links = _links(held.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), nodes, texts)
-    labels = components(links)
-
-    labelled = held.where("size > 2").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    again = materialise(labelled.join(mixed, "bucket").join(nodes.select("id", "sketch"), "id"), "again")
-    if not again.isEmpty():
-        n = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-        placed = again.withColumn("n", n).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-        grid = F.expr("transform(sequence(0, n - 1), j -> struct(least(j, k) as i, greatest(j, k) as j, if(j < k, 1, 0) as side))")
-        sided = placed.select("bucket", "id", "component", "sketch", F.explode(grid).alias("g")).select("bucket", "id", "component", "sketch", "g.*")
-        both = sided.union(sided.where("i = j").withColumn("side", F.lit(1)))
-        pairs = both.groupBy("bucket", "i", "j").applyInPandas(_compare_block, "a bigint, b bigint").distinct()
-        more = _links(pairs, nodes, texts)
-        if not more.isEmpty():
-            discard(labels)
-            labels = components(links.union(more))
-
-    joined = members.join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id", "doc_id"))
+    labels = components(links(nodes, texts))
+    joined = members.join(labels, "id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -176,7 +176,7 @@ RULES: dict[str, tuple[re.Pattern, Callable[[Feistel, re.Match], str | None]]] =
 }
 EMAIL = re.compile(r"(?P<name>[A-Za-z0-9._%+\-À-ɏ]+)@(?P<domain>[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})")
 _NAME = re.compile(r"[A-Za-z0-9._%+\-À-ɏ]*\Z")
-_NUMERIC = re.compile(r"[+A-Z]{0,2}[0-9](?:[\x20.()/-]{0,2}[A-Z0-9]){6,}")
+_NUMERIC = re.compile(r"[+A-Z]{0,2}[0-9](?:[\x20.()/-]{0,2}[A-Z0-9]){3,}")
 LONGEST_NAME = 64
 
 
