@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import timeframe
 from ..operators.bars import bars_of_timeframes
+from ..session import shared_dir
 from ..sources.store import _exists, files, read_ticks, signatures, write_bars
 
 STATE = "timeframe string, pair string, date date, signature string"
@@ -20,9 +24,23 @@ def stale_days(now: DataFrame, state: DataFrame, timeframes: list[str]) -> DataF
     return both.where(~F.col("signature").eqNullSafe(F.col("_was"))).select("timeframe", "pair", "date", F.col("signature").isNull().alias("gone"))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the state, oldest first; only complete ones count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/bars_state")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(p for p in found if _exists(spark, f"{p}/_SUCCESS"))
+
+
 def read_state(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/bars_state"
-    return spark.read.schema(STATE).parquet(path) if _exists(spark, path) else spark.createDataFrame([], STATE)
+    """Signatures of the built days: the newest complete version."""
+    found = _versions(spark, root)
+    return spark.read.schema(STATE).parquet(found[-1]) if found else spark.createDataFrame([], STATE)
 
 
 def build_bars(spark: SparkSession, root: str, timeframes: list[str]) -> DataFrame:
@@ -31,27 +49,27 @@ def build_bars(spark: SparkSession, root: str, timeframes: list[str]) -> DataFra
     Stale days are found from the file listing alone. Their ticks are read once by
     a semi join that prunes partitions; coarser bars roll up from the finest. Each
     timeframe gets exactly its own stale days, as whole partitions, so no day is
-    stored twice; days whose files are gone lose their partitions.
+    stored twice; days whose files are gone lose their partitions. The state is a
+    new version beside the old one, written last: a build that stops midway is
+    repeated by the next.
     """
     names = [timeframe(t) for t in timeframes]
+    work = f"{shared_dir(spark)}/stale-{uuid.uuid4().hex}"
     now = signatures(files(spark, f"{root}/ticks"))
-    stale = stale_days(now, read_state(spark, root), names)
-    rows = stale.collect()  # one row per changed pair-day and timeframe: a listing, not data
-    if not rows:
-        return stale
-    todo = spark.createDataFrame(rows, stale.schema)
+    old = _versions(spark, root)
+    stale_days(now, read_state(spark, root), names).write.parquet(work)
+    todo = spark.read.parquet(work)
+    if todo.isEmpty():
+        return todo
     build = todo.where("not gone")
-    days = build.select("pair", "date").distinct()
-    ticks = read_ticks(spark, root).join(F.broadcast(days), ["pair", "date"], "left_semi")
+    ticks = read_ticks(spark, root).join(build.select("pair", "date").distinct(), ["pair", "date"], "left_semi")
     made = bars_of_timeframes(ticks.withColumn("seq", F.col("row")), names, "seq").withColumn("date", F.to_date("ts"))
-    fresh = made.join(F.broadcast(build.select("timeframe", "pair", "date")), ["timeframe", "pair", "date"], "left_semi").drop("date")
-    write_bars(fresh, root)
-    for r in rows:
-        if r["gone"]:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/bars/timeframe={r['timeframe']}/pair={r['pair']}/date={r['date']}")
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    write_bars(made.join(build.select("timeframe", "pair", "date"), ["timeframe", "pair", "date"], "left_semi").drop("date"), root)
+    for r in todo.where("gone").toLocalIterator():
+        _delete(spark, f"{root}/bars/timeframe={r['timeframe']}/pair={r['pair']}/date={r['date']}")
     new = now.select(F.explode(F.array(*map(F.lit, names))).alias("timeframe"), "pair", "date", "signature")
     keep = read_state(spark, root).where(~F.col("timeframe").isin(*names))
-    state = spark.createDataFrame(keep.unionByName(new).collect(), STATE)  # a few bytes per pair-day
-    state.write.mode("overwrite").parquet(f"{root}/bars_state")
+    keep.unionByName(new).write.parquet(f"{root}/bars_state/{time.time_ns()}")
+    for path in old:
+        _delete(spark, path)
     return todo

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_logs, queries_market, queries_ticks  # noqa: F401
+from . import queries_logs, queries_market, queries_reports, queries_ticks  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

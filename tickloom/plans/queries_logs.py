@@ -1,20 +1,19 @@
 """Queries on generated files: hour files, candles, ledgers, sessions, the store, and streams.
 
-Inputs are written to a temporary folder of the shared file system where the
-session names one, else of this machine, and read back through the sources.
+Inputs are written below the session's shared folder and read back through the
+sources.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..sources import bi5, logs, requests, store
+from ..session import shared_dir, ship_package
 from ..streaming.live import recorder, stream_bars
 from . import incremental
 from .queries_ticks import made
@@ -22,8 +21,7 @@ from .registry import TICKS_SQL, bars_sql, open_sql, query, ticks
 
 
 def scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="scratch-")
+    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 @query(
@@ -55,7 +53,7 @@ def ledger_rows(spark, d) -> DataFrame:
     later = F.date_format(F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderdate") - F.expr("INTERVAL 4000 DAYS")).otherwise(F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")), "yyyy-MM-dd'T'HH:mm:ss")
     name, none = F.format_string("E-%d", "o_custkey"), F.lit(None).cast("string")
     start = o.select(F.lit("start").alias("record"), name.alias("experiment_id"), F.format_string("T%d", F.col("o_custkey") % 7).alias("taskcard"), when.alias("started_at"), none.alias("ended_at"), none.alias("status"))
-    status = F.format_string('ok {"probes": %d, "throttles": %d, "seconds": %d.5}', F.col("o_orderkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 100)
+    status = F.format_string('ok {"completed": %d, "throttles": %d, "seconds": %d.5}', F.col("o_orderkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 100)
     end = o.where("o_orderkey % 3 <> 0").select(F.lit("end").alias("record"), name.alias("experiment_id"), none.alias("taskcard"), none.alias("started_at"), later.alias("ended_at"), status.alias("status"))
     return start.unionByName(end)
 
@@ -72,7 +70,7 @@ def ledger_ordering_violations(spark, d):
     return logs.ordering_violations(ledger_rows(spark, d))
 
 
-@query("ledger_costs", f"WITH {_LEDGER} SELECT experiment_id, sum(k)::BIGINT AS probes, sum(k % 3)::BIGINT AS throttles, sum(k % 100 + 0.5::DOUBLE) AS seconds FROM e WHERE k % 3 <> 0 GROUP BY 1")
+@query("ledger_costs", f"WITH {_LEDGER} SELECT experiment_id, count(*) AS sessions, sum(k)::BIGINT AS probes, sum(k % 3)::BIGINT AS throttles, sum(k % 100 + 0.5::DOUBLE) AS seconds, 0.0::DOUBLE AS parked, 0::BIGINT AS outages FROM e WHERE k % 3 <> 0 GROUP BY 1")
 def ledger_costs(spark, d):
     return logs.harvest_costs(ledger_rows(spark, d))
 
@@ -106,16 +104,22 @@ def probe_plan(spark, d):
 
 @query("hour_files_decode", f"WITH {TICKS_SQL} SELECT pair, hour_start, count(*) AS ticks, round(min(bid), 5) AS min_bid, round(max(ask), 5) AS max_ask, sum(bid_volume) AS bid_volume FROM ticks WHERE day(ts) <= 2 GROUP BY 1, 2")
 def hour_files_decode(spark, d):
-    """Two days of ticks written as compressed hour files, scanned and decoded again."""
-    import numpy as np
+    """Two days of ticks encoded as compressed hour files on the executors, and decoded again."""
+    import pandas as pd
 
-    folder = tempfile.mkdtemp(prefix="hours-")
     few = ticks(spark, d).where("dayofmonth(ts) <= 2").select("pair", "hour_start", "seq", ((F.unix_micros("ts") - F.unix_micros("hour_start")) / 1000).cast("long").alias("ms"), "bid_i", "ask_i", "bid_volume", "ask_volume")
-    for (pair, hour), g in few.toPandas().sort_values("seq").groupby(["pair", "hour_start"]):
-        r = np.zeros(len(g), bi5.RECORD)
+    ship_package(spark)
+
+    def encode(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        g, r = g.sort_values("seq"), np.zeros(len(g), bi5.RECORD)
         r["ms"], r["ask"], r["bid"], r["ask_volume"], r["bid_volume"] = g.ms, g.ask_i, g.bid_i, g.ask_volume, g.bid_volume
-        Path(folder, f"{pair}_{hour:%Y-%m-%d}_{hour:%H}h.bi5").write_bytes(bi5.encode_hour(r))
-    t = bi5.scan(spark, folder).where("seq is not null")
+        hour = g.hour_start.iloc[0]
+        return pd.DataFrame({"path": [f"{g.pair.iloc[0]}_{hour:%Y-%m-%d}_{hour:%H}h.bi5"], "content": [bi5.encode_hour(r)]})
+
+    files = few.groupBy("pair", "hour_start").applyInPandas(encode, "path string, content binary")
+    t = bi5.scale(bi5.decode_files(files)).where("seq is not null")
     return t.groupBy("pair", "hour_start").agg(F.count(F.lit(1)).alias("ticks"), F.round(F.min("bid"), 5).alias("min_bid"), F.round(F.max("ask"), 5).alias("max_ask"), F.sum("bid_volume").alias("bid_volume"))
 
 

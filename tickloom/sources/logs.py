@@ -81,6 +81,9 @@ def ordering_violations(ledger: DataFrame) -> DataFrame:
 
 
 def harvest_costs(ledger: DataFrame) -> DataFrame:
-    """Sums of the JSON counters inside the status texts of end records."""
-    inner = F.from_json(F.regexp_extract("status", r"(\{.*)", 1), "probes bigint, throttles bigint, seconds double")
-    return ledger.where("record = 'end'").select("experiment_id", inner.alias("j")).where("j is not null").groupBy("experiment_id").agg(F.sum("j.probes").alias("probes"), F.sum("j.throttles").alias("throttles"), F.sum("j.seconds").alias("seconds"))
+    """Sums of the JSON counters inside the status texts of end records, by experiment."""
+    counters = "completed bigint, throttles bigint, seconds double, seconds_parked double, outages_ridden_out bigint"
+    j = F.from_json(F.regexp_extract("status", r"(\{.*)", 1), counters)
+    ends = ledger.where("record = 'end'").select("experiment_id", j.alias("j")).where("j is not null")
+    sums = [F.coalesce(F.sum(f"j.{c}"), F.lit(0)).alias(name) for c, name in (("completed", "probes"), ("throttles", "throttles"), ("seconds", "seconds"), ("seconds_parked", "parked"), ("outages_ridden_out", "outages"))]
+    return ends.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("sessions"), *sums)

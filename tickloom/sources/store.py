@@ -75,6 +75,17 @@ def listing(found: DataFrame) -> DataFrame:
     return found.select(x("path", PARTS, 1).alias("pair"), x("path", PARTS, 2).cast("date").alias("date"), x("path", HOUR_IN_NAME, 1).alias("hour")).where("hour <> ''").select("pair", "date", F.col("hour").cast("int").alias("hour")).distinct()
 
 
+def hours_present(ticks: DataFrame) -> DataFrame:
+    """``pair, date, hour`` that have ticks, for stores whose file names don't carry the hour."""
+    return ticks.select("pair", F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).distinct()
+
+
+def write_manifest(hours: DataFrame, path: str) -> None:
+    """Manifest rows by pair and month; a month's partition is replaced whole."""
+    rows = hours.withColumn("month", F.date_format("date", "yyyy-MM")).repartition("pair", "month")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pair", "month").parquet(path)
+
+
 def signatures(found: DataFrame) -> DataFrame:
     """``pair, date, signature`` where a signature is ``count:bytes`` of the day's files."""
     x = F.regexp_extract
