@@ -42,6 +42,16 @@ def test_wrong_costs_are_told_apart(spark, model, wrong):
     assert abs(net + 14_244.2) > 1
 
 
+def test_acting_on_the_same_bar_would_show(spark):
+    """Targets known one bar too early give the answer that betrays look-ahead."""
+    from pyspark.sql import Window
+
+    aimed = T.moving_average_target(bars(spark), 2, 4, 1_000_000)
+    early = aimed.withColumn("target", F.lead("target", 1, 0.0).over(Window.partitionBy("pair").orderBy("ts")))
+    net = T.trades(T.executions(early, C.CostModel())).agg(F.sum("net")).first()[0]
+    assert abs(net + 14_244.2) > 1
+
+
 def test_equal_means_are_flat(spark):
     rows = [("EURUSD", START + datetime.timedelta(hours=i), 0.1) for i in range(12)]
     flat = T.moving_average_target(spark.createDataFrame(rows, "pair string, ts timestamp, mid_close double"), 3, 5, 1.0)

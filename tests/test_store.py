@@ -188,7 +188,7 @@ def test_recommended_start(spark):
 
 def test_logs(spark, tmp_path):
     path = tmp_path / "ledger.jsonl"
-    path.write_text(json.dumps({"record": "start", "experiment_id": "E", "taskcard": "T", "started_at": "2026-01-02"}) + "\n" + json.dumps({"record": "end", "experiment_id": "E", "ended_at": "2026-01-01", "status": 'ok {"probes": 3, "seconds": 1.5}'}) + '\n{"record": "st')
+    path.write_text(json.dumps({"record": "start", "experiment_id": "E", "taskcard": "T", "started_at": "2026-01-02"}) + "\n" + json.dumps({"record": "end", "experiment_id": "E", "ended_at": "2026-01-01", "status": 'ok {"completed": 3, "seconds": 1.5}'}) + '\n{"record": "st')
     ledger = logs.read_ledger(spark, str(path))
     assert sorted(r.record for r in ledger.collect()) == ["end", "malformed", "start"]
     assert logs.ordering_violations(ledger).count() == 1

@@ -23,51 +23,73 @@ def purge_embargo(name: str, holding_bars: int = 1) -> tuple[int, int]:
     return size, size
 
 
-def windows(spark: SparkSession, n_bars: int, train: int, test: int, purge: int, embargo: int, start: int = 0, expanding: bool = False) -> DataFrame:
-    """``w, test_lo, test_hi, train_lo, train_hi`` (upper ends open), one row per window.
+def windows_of(lengths: DataFrame, train: int, test: int, purge: int, embargo: int, start: int = 0, expanding: bool = False) -> DataFrame:
+    """Windows of every series in ``lengths``, a row of which has the series' keys and its length ``n``.
 
-    Test windows tile forward. Training excludes ``embargo`` bars after every
-    earlier test window; a window left without training bars is an error.
+    Returns the keys and ``w, test_lo, test_hi, train_lo, train_hi`` (upper ends
+    open). Test windows tile forward. Training excludes ``embargo`` bars after
+    every earlier test window; a window left without training bars is an error.
     """
     if train < 1 or test < 1 or purge < 0 or embargo < 0 or start < 0:
         raise WalkForwardError("sizes must be at least 1, and purge, embargo and start at least 0")
+    keys = [c for c in lengths.columns if c != "n"]
     first = start + train + purge
-    count = max(0, (n_bars - first) // test)
-    lo = (F.lit(first) + F.col("id") * test).cast("long")
-    out = spark.range(count).select(F.col("id").alias("w"), lo.alias("test_lo"), (lo + test).alias("test_hi"), (F.lit(start).cast("long") if expanding else F.greatest(F.lit(start).cast("long"), lo - purge - train)).alias("train_lo"), (lo - purge).alias("train_hi"))
+    count = F.expr(f"(n - {first}) div {test}")
+    numbered = lengths.where(F.col("n") >= first + test).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("w"))
+    lo = F.lit(first) + F.col("w") * test
+    out = numbered.select(*keys, "w", lo.alias("test_lo"), (lo + test).alias("test_hi"), (F.lit(start).cast("long") if expanding else F.greatest(F.lit(start).cast("long"), lo - purge - train)).alias("train_lo"), (lo - purge).alias("train_hi"))
     # After the first test window, a tile of ``test`` bars keeps those beyond the embargo.
     untouched = F.least(F.col("train_hi"), F.lit(first + test)) > F.col("train_lo")
-    later = F.greatest(F.col("train_lo"), F.lit(first + test)) - (first + test)
-    kept = F.when(F.lit(embargo >= test), F.lit(0)).otherwise(
-        (F.floor((F.col("train_hi") - first - test) / test) - F.floor(later / test)) * (test - embargo)
-        + F.greatest(F.lit(0), F.pmod(F.col("train_hi") - first - test, F.lit(test)) - embargo)
-        - F.greatest(F.lit(0), F.pmod(later, F.lit(test)) - embargo)
-    )
-    empty = out.where(~untouched & (kept <= 0))
-    if not empty.isEmpty():
-        raise WalkForwardError(f"window {empty.first()['w']} has no training bars left after the embargo")
+    end, begin = F.col("train_hi") - first - test, F.greatest(F.col("train_lo"), F.lit(first + test)) - (first + test)
+
+    def kept_before(x: Column) -> Column:
+        return F.floor(x / test) * (test - embargo) + F.greatest(F.lit(0), F.pmod(x, F.lit(test)) - embargo)
+
+    kept = F.lit(0) if embargo >= test else kept_before(end) - kept_before(begin)
+    empty = out.where(~untouched & (kept <= 0)).take(1)
+    if empty:
+        raise WalkForwardError(f"window {empty[0]['w']} has no training bars left after the embargo")
     return out
 
 
+def windows(spark: SparkSession, n_bars: int, train: int, test: int, purge: int, embargo: int, start: int = 0, expanding: bool = False) -> DataFrame:
+    """Windows of one series of ``n_bars`` bars."""
+    return windows_of(spark.createDataFrame([(n_bars,)], "n bigint"), train, test, purge, embargo, start, expanding)
+
+
+def _keys(split: DataFrame) -> list[str]:
+    return [c for c in split.columns if c not in ("w", "test_lo", "test_hi", "train_lo", "train_hi")]
+
+
+def _inside(bars: DataFrame, split: DataFrame, index: str, lo: str, hi: str) -> DataFrame:
+    """Bars joined with the windows of their own series that cover them."""
+    keys, i = _keys(split), F.col(index)
+    if keys:
+        return bars.join(split, keys).where((i >= F.col(lo)) & (i < F.col(hi)))
+    return bars.join(split, (i >= F.col(lo)) & (i < F.col(hi)))
+
+
 def training(split: DataFrame, bars: DataFrame, embargo: int, index: str = "i") -> DataFrame:
     """Bars of each window's training set: in its range, and in no earlier test window's embargo.
 
-    Both are range joins against the table of windows, which has a row per window
-    and not per bar; Spark broadcasts it while it is small.
+    Both are range joins with the windows of the same series; the table of windows
+    has a row per window and not per bar.
     """
-    i = F.col(index)
-    inside = bars.join(split, (i >= F.col("train_lo")) & (i < F.col("train_hi")))
-    barred = split.select(F.col("test_lo").alias("_lo"), F.col("test_hi").alias("_hi"))
-    return inside.join(barred, (F.col("_lo") < F.col("test_lo")) & (i >= F.col("_hi")) & (i < F.col("_hi") + embargo), "left_anti")
+    keys, i = _keys(split), F.col(index)
+    barred = split.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("test_lo").alias("_lo"), F.col("test_hi").alias("_hi"))
+    hit = (F.col("_lo") < F.col("test_lo")) & (i >= F.col("_hi")) & (i < F.col("_hi") + embargo)
+    for k in keys:
+        hit = (F.col(k) == F.col(f"_{k}")) & hit
+    return _inside(bars, split, index, "train_lo", "train_hi").join(barred, hit, "left_anti")
 
 
 def testing(split: DataFrame, bars: DataFrame, index: str = "i") -> DataFrame:
-    return bars.join(split, (F.col(index) >= F.col("test_lo")) & (F.col(index) < F.col("test_hi")))
+    return _inside(bars, split, index, "test_lo", "test_hi")
 
 
-def fit_zscore(train: DataFrame, feature: str) -> DataFrame:
-    """``w, n_train, mean, std`` (population) of the training values of each window."""
-    return train.groupBy("w").agg(F.count(F.lit(1)).alias("n_train"), F.avg(feature).alias("mean"), F.stddev_pop(feature).alias("std"))
+def fit_zscore(train: DataFrame, feature: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``w, n_train, mean, std`` (population) of the training values of each window, by series."""
+    return train.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n_train"), F.avg(feature).alias("mean"), F.stddev_pop(feature).alias("std"))
 
 
 def zscore_sign(value: Column, mean: Column) -> Column:
@@ -77,9 +99,10 @@ def zscore_sign(value: Column, mean: Column) -> Column:
 
 def run(split: DataFrame, bars: DataFrame, feature: str, outcome: str, embargo: int) -> DataFrame:
     """By window: ``n_train, n_test, signal_sum, pnl`` of the z-score sign, fitted on its training bars only."""
-    state = fit_zscore(training(split, bars, embargo), feature)
+    keys = _keys(split)
+    state = fit_zscore(training(split, bars, embargo), feature, tuple(keys))
     position = zscore_sign(F.col(feature), F.col("mean"))
-    return testing(split, bars).join(state, "w").withColumn("_s", position).groupBy("w").agg(F.first("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.sum("_s").alias("signal_sum"), F.sum(F.col("_s") * F.col(outcome)).alias("pnl"))
+    return testing(split, bars).join(state, [*keys, "w"]).withColumn("_s", position).groupBy(*keys, "w").agg(F.first("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.sum("_s").alias("signal_sum"), F.sum(F.col("_s") * F.col(outcome)).alias("pnl"))
 
 
 def returns(bars: DataFrame, price: str, keys: tuple[str, ...] = ("pair",), order: str = "ts") -> DataFrame:

@@ -102,12 +102,12 @@ def probe_plan(spark, d):
     return requests.probe_plan(spark, ["EURUSD", "USDJPY"], days, 13, done)
 
 
-@query("hour_files_decode", f"WITH {TICKS_SQL} SELECT pair, hour_start, count(*) AS ticks, round(min(bid), 5) AS min_bid, round(max(ask), 5) AS max_ask, sum(bid_volume) AS bid_volume FROM ticks WHERE day(ts) <= 2 GROUP BY 1, 2")
+@query("hour_files_decode", f"WITH {TICKS_SQL} SELECT pair, hour_start, count(*) AS ticks, round(min(bid), 5) AS min_bid, round(max(ask), 5) AS max_ask, sum(bid_volume) AS bid_volume FROM ticks GROUP BY 1, 2")
 def hour_files_decode(spark, d):
-    """Two days of ticks encoded as compressed hour files on the executors, and decoded again."""
+    """All ticks encoded as compressed hour files on the executors, and decoded again."""
     import pandas as pd
 
-    few = ticks(spark, d).where("dayofmonth(ts) <= 2").select("pair", "hour_start", "seq", ((F.unix_micros("ts") - F.unix_micros("hour_start")) / 1000).cast("long").alias("ms"), "bid_i", "ask_i", "bid_volume", "ask_volume")
+    few = ticks(spark, d).select("pair", "hour_start", "seq", ((F.unix_micros("ts") - F.unix_micros("hour_start")) / 1000).cast("long").alias("ms"), "bid_i", "ask_i", "bid_volume", "ask_volume")
     ship_package(spark)
 
     def encode(g: pd.DataFrame) -> pd.DataFrame:

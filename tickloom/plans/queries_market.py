@@ -129,14 +129,14 @@ def spread_by_session(spark, d):
     return rounded(M.spread_by_session(ticks(spark, d)))
 
 
-@query("session_spread", f"WITH {TICKS_SQL}, s(session) AS (VALUES {', '.join(f'({x!r})' for x in cal.SESSIONS)}), p AS (SELECT {session_sql('ts')} AS session, {_P} AS pips FROM ticks WHERE hour(ts) < 12) SELECT s.session, count(pips) AS ticks, round(avg(pips), 6) AS mean, {_QS.replace('round(quantile_cont(pips, 0.75), 6) AS p75, ', '')} FROM s LEFT JOIN p ON s.session = p.session GROUP BY s.session")
+@query("session_spread", f"WITH {TICKS_SQL}, s(session) AS (VALUES {', '.join(f'({x!r})' for x in cal.SESSIONS)}), p AS (SELECT {session_sql('ts')} AS session, {_P} AS pips FROM ticks) SELECT s.session, count(pips) AS ticks, round(avg(pips), 6) AS mean, {_QS.replace('round(quantile_cont(pips, 0.75), 6) AS p75, ', '')} FROM s LEFT JOIN p ON s.session = p.session GROUP BY s.session")
 def session_spread(spark, d):
-    return M.session_spread(ticks(spark, d).where(F.hour("ts") < 12))
+    return M.session_spread(ticks(spark, d))
 
 
-@query("hourly_profile", f"WITH {TICKS_SQL}, h AS (SELECT unnest(generate_series(0, 23))::INTEGER AS hour) SELECT h.hour, count(t.ts) AS ticks FROM h LEFT JOIN (SELECT ts FROM ticks WHERE hour(ts) % 7 <> 3) t ON hour(t.ts) = h.hour GROUP BY h.hour")
+@query("hourly_profile", f"WITH {TICKS_SQL}, h AS (SELECT unnest(generate_series(0, 23))::INTEGER AS hour) SELECT h.hour, count(t.ts) AS ticks FROM h LEFT JOIN ticks t ON hour(t.ts) = h.hour GROUP BY h.hour")
 def hourly_profile(spark, d):
-    return M.hourly_profile(ticks(spark, d).where(F.hour("ts") % 7 != 3))
+    return M.hourly_profile(ticks(spark, d))
 
 
 # Costs and back-tests
@@ -416,35 +416,37 @@ def crosscheck_flagged(spark, d):
 # Walk-forward
 
 TRAIN, TEST, PURGE, EMBARGO = 96, 48, 5, 12
-SPLIT_SQL = f"""{TICKS_SQL}, bars AS (SELECT * FROM ({bars_sql(3600)}) WHERE pair = 'EURUSD'),
-moved AS (SELECT ts, mid_close, row_number() OVER w - 1 AS i, coalesce(lead(mid_close) OVER w - mid_close, 0.0::DOUBLE) AS forward, coalesce(mid_close - lag(mid_close) OVER w, 0.0::DOUBLE) AS previous FROM bars WINDOW w AS (ORDER BY ts)),
-split AS (SELECT w, lo AS test_lo, lo + {TEST} AS test_hi, greatest(1, lo - {PURGE + TRAIN}) AS train_lo, lo - {PURGE} AS train_hi FROM (SELECT w, {1 + TRAIN + PURGE} + w * {TEST} AS lo FROM (SELECT unnest(generate_series(0, 1000)) AS w)) WHERE lo + {TEST} <= (SELECT count(*) FROM moved)),
-train AS (SELECT s.w, m.* FROM split s JOIN moved m ON i >= train_lo AND i < train_hi WHERE NOT EXISTS (SELECT 1 FROM split e WHERE e.test_lo < s.test_lo AND m.i >= e.test_hi AND m.i < e.test_hi + {EMBARGO})),
-state AS (SELECT w, count(*) AS n_train, avg(previous) AS mean, stddev_pop(previous) AS std FROM train GROUP BY w)"""
+SPLIT_SQL = f"""{TICKS_SQL}, bars AS ({bars_sql(3600)}),
+moved AS (SELECT pair, ts, mid_close, row_number() OVER w - 1 AS i, coalesce(lead(mid_close) OVER w - mid_close, 0.0::DOUBLE) AS forward, coalesce(mid_close - lag(mid_close) OVER w, 0.0::DOUBLE) AS previous FROM bars WINDOW w AS (PARTITION BY pair ORDER BY ts)),
+lengths AS (SELECT pair, count(*) AS n FROM moved GROUP BY pair),
+split AS (SELECT pair, w, lo AS test_lo, lo + {TEST} AS test_hi, greatest(1, lo - {PURGE + TRAIN}) AS train_lo, lo - {PURGE} AS train_hi FROM (SELECT pair, n, w, {1 + TRAIN + PURGE} + w * {TEST} AS lo FROM (SELECT pair, n, unnest(generate_series(0, n // {TEST})) AS w FROM lengths)) WHERE lo + {TEST} <= n),
+train AS (SELECT s.w, m.* FROM split s JOIN moved m ON s.pair = m.pair AND i >= train_lo AND i < train_hi WHERE NOT EXISTS (SELECT 1 FROM split e WHERE e.pair = s.pair AND e.test_lo < s.test_lo AND m.i >= e.test_hi AND m.i < e.test_hi + {EMBARGO})),
+state AS (SELECT pair, w, count(*) AS n_train, avg(previous) AS mean, stddev_pop(previous) AS std FROM train GROUP BY pair, w)"""
 
 
 def split_bars(spark, d) -> tuple[DataFrame, DataFrame]:
-    bars = W.returns(B.bars(ticks(spark, d), "1h").where("pair = 'EURUSD'").select("pair", "ts", "mid_close"), "mid_close")
-    return W.windows(spark, bars.count(), TRAIN, TEST, PURGE, EMBARGO, start=1), bars
+    bars = W.returns(B.bars(ticks(spark, d), "1h").select("pair", "ts", "mid_close"), "mid_close")
+    lengths = bars.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    return W.windows_of(lengths, TRAIN, TEST, PURGE, EMBARGO, start=1), bars
 
 
-@query("forward_previous_returns", f"WITH {SPLIT_SQL} SELECT ts, i::INTEGER AS i, round(forward, 9) AS forward, round(previous, 9) AS previous FROM moved")
+@query("forward_previous_returns", f"WITH {SPLIT_SQL} SELECT pair, ts, i::INTEGER AS i, round(forward, 9) AS forward, round(previous, 9) AS previous FROM moved")
 def forward_previous_returns(spark, d):
-    return split_bars(spark, d)[1].select("ts", "i", F.round("forward", 9).alias("forward"), F.round("previous", 9).alias("previous"))
+    return split_bars(spark, d)[1].select("pair", "ts", "i", F.round("forward", 9).alias("forward"), F.round("previous", 9).alias("previous"))
 
 
-@query("wf_windows", f"WITH {SPLIT_SQL} SELECT w, test_lo, test_hi, train_lo, train_hi FROM split")
+@query("wf_windows", f"WITH {SPLIT_SQL} SELECT pair, w, test_lo, test_hi, train_lo, train_hi FROM split")
 def wf_windows(spark, d):
     return split_bars(spark, d)[0]
 
 
-@query("wf_train_fit", f"WITH {SPLIT_SQL} SELECT w, n_train, round(mean, 9) AS mean, round(std, 9) AS std FROM state")
+@query("wf_train_fit", f"WITH {SPLIT_SQL} SELECT pair, w, n_train, round(mean, 9) AS mean, round(std, 9) AS std FROM state")
 def wf_train_fit(spark, d):
     split, bars = split_bars(spark, d)
-    return rounded(W.fit_zscore(W.training(split, bars, EMBARGO), "previous"), 9)
+    return rounded(W.fit_zscore(W.training(split, bars, EMBARGO), "previous", ("pair",)), 9)
 
 
-@query("wf_pnl_by_window", f"WITH {SPLIT_SQL}, t AS (SELECT s.w, n_train, sign(previous - mean) AS sig, forward FROM split s JOIN state USING (w) JOIN moved ON i >= test_lo AND i < test_hi) SELECT w, any_value(n_train) AS n_train, count(*) AS n_test, sum(sig)::DOUBLE AS signal_sum, round(sum(sig * forward), 9) AS pnl FROM t GROUP BY w")
+@query("wf_pnl_by_window", f"WITH {SPLIT_SQL}, t AS (SELECT s.pair, s.w, n_train, sign(previous - mean) AS sig, forward FROM split s JOIN state USING (pair, w) JOIN moved m ON m.pair = s.pair AND i >= test_lo AND i < test_hi) SELECT pair, w, any_value(n_train) AS n_train, count(*) AS n_test, sum(sig)::DOUBLE AS signal_sum, round(sum(sig * forward), 9) AS pnl FROM t GROUP BY pair, w")
 def wf_pnl_by_window(spark, d):
     split, bars = split_bars(spark, d)
     return rounded(W.run(split, bars, "previous", "forward", EMBARGO), 9)
