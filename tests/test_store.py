@@ -14,11 +14,12 @@ from tickloom.functions import calendar as cal
 from tickloom.functions import text as tx
 from tickloom.operators import bars as B
 from tickloom.operators import coverage as V
+from tickloom.operators import reports as R
 from tickloom.plans import incremental, research
 from tickloom.plans.ingest import ingest
-from tickloom.schemas import TICKS, SchemaError, require
+from tickloom.schemas import MANIFEST_HOURS, TICKS, SchemaError, require
 from tickloom.sources import bi5, config, feeds, logs, requests, store
-from tickloom.streaming.live import recorder, stream_bars
+from tickloom.streaming.live import recorder, sorted_recorder, stream_bars
 
 UTC = datetime.UTC
 
@@ -210,6 +211,47 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows) - 1
 
 
+def test_sorted_recorder(spark, tmp_path):
+    rows = [("EURUSD", datetime.datetime(2026, 7, 14, 5, m, tzinfo=UTC), 1.1, 1.2, 1.0, 1.0, "s") for m in (9, 3, 7, 1)]
+    spark.createDataFrame(rows, TICKS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(TICKS).parquet(str(tmp_path / "in"))
+    sorted_recorder(source, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("ts", "_metadata.row_index").orderBy("row_index").collect()
+    assert [r.ts.minute for r in got] == [1, 3, 7, 9]
+
+
+def test_candle_source():
+    source = feeds.CandleSource(lambda url: (200, url.encode()), "base")
+    assert source.candles("EURUSD", "a", "b").startswith(b"base/v3/instruments/EUR_USD/candles?price=BAM")
+    for bad in ("/v3/accounts/1/orders", "/v3/pricing/stream/candles"):
+        with pytest.raises(PermissionError):
+            source.check(bad)
+    with pytest.raises(feeds.SourceError):
+        feeds.CandleSource(lambda url: (500, b""), "b").candles("EURUSD", "a", "b")
+
+
+def test_candles_and_manifest_documents(spark, tmp_path):
+    q = {"o": "1.1", "h": "1.2", "l": "1.0", "c": "1.15"}
+    doc = {"instrument": "EUR_USD", "granularity": "H1", "candles": [{"time": "2026-07-14T13:00:00.123456789Z", "complete": True, "volume": 5, "bid": q, "ask": q, "mid": q}]}
+    (tmp_path / "c.json").write_text(json.dumps(doc, indent=1))
+    r = logs.read_candles(spark, str(tmp_path / "c.json")).first()
+    assert (r.pair, r.mid_close, r.ts.microsecond) == ("EURUSD", 1.15, 123456)
+    (tmp_path / "m.json").write_text(json.dumps({"hours": [{"pair": "EURUSD", "date": "2026-07-14", "hour": 3, "status": "ok", "issues": [{"reason": "X", "detail": "d", "count": 2}]}]}))
+    m = logs.read_manifest(spark, str(tmp_path / "m.json"), MANIFEST_HOURS).first()
+    assert (m.hour, m.status, m.issues[0]["count"]) == (3, "ok", 2)
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1234567, 0.5), ("b|c", None, 2.0)], "k string, n long, x double").orderBy("k")
+    assert R.markdown(df).splitlines()[2] == "| a | 1,234,567 | 0.5 |"
+    assert R.markdown(df, 1).endswith("1 more rows are not shown.")
+    assert df.agg(R.result_hash(df)).first()[0] == df.orderBy(F.desc("k")).agg(R.result_hash(df)).first()[0]
+    hours = spark.createDataFrame([("EURUSD", datetime.date(2026, 7, 14), 3, "ok")], "pair string, date date, hour int, status string")
+    store.write_manifest(hours, str(tmp_path / "m"))
+    store.write_manifest(hours.withColumn("status", F.lit("gap")), str(tmp_path / "m"))
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["gap"]
+
+
 def test_sources(tmp_path):
     day = datetime.date(2026, 7, 14)
     (tmp_path / "EURUSD_2026-07-14_12h.bi5").write_bytes(b"abc")

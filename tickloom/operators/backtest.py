@@ -9,9 +9,14 @@ scale-in and partial exits need a fold over a pair's orders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .costs import LADDER, CostModel, verdict
 
 
@@ -34,6 +39,28 @@ def moving_average_target(bars: DataFrame, fast: int, slow: int, units: float) -
     return bars.withColumn("target", F.when(full & (slow * total[fast] > fast * total[slow]), F.lit(float(units))).otherwise(F.lit(0.0)))
 
 
+class Strategy(Protocol):
+    """A strategy in Python: sees a pair's bars one by one, in time, and returns the position it wants."""
+
+    def on_bar(self, bar) -> float: ...
+
+
+def strategy_target(bars: DataFrame, make: Callable[[], Strategy]) -> DataFrame:
+    """Bars with the ``target`` of a Python strategy, a fresh one for each pair.
+
+    For strategies that columns can't express: a pair's bars go through one Python
+    worker as a frame, so this suits bars, not ticks.
+    """
+    ship_package(bars.sparkSession)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        strategy, frame = make(), frame.sort_values("ts", kind="stable")
+        return frame.assign(target=[float(strategy.on_bar(b)) for b in frame.itertuples(index=False)])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in bars.dtypes if c != "target") + ", target double"
+    return bars.drop("target").groupBy("pair").applyInPandas(run, schema)
+
+
 def orders(bars: DataFrame) -> DataFrame:
     """Orders that ``target`` leads to: ``pair, ts, leg, units, side, bid, ask, forced``.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import timeframe
+from ..session import ship_package
 
 # Least purge and embargo in bars.
 FLOORS = {"1min": 1440, "5min": 288, "15min": 96, "30min": 48, "1h": 24, "4h": 30, "1D": 5}
@@ -105,6 +110,28 @@ def run(split: DataFrame, bars: DataFrame, feature: str, outcome: str, embargo:
     return testing(split, bars).join(state, [*keys, "w"]).withColumn("_s", position).groupBy(*keys, "w").agg(F.first("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.sum("_s").alias("signal_sum"), F.sum(F.col("_s") * F.col(outcome)).alias("pnl"))
 
 
+def run_functions(split: DataFrame, bars: DataFrame, feature: str, outcome: str, embargo: int, fit: Callable[[list[float]], Any], signal: Callable[[Any, float], float], index: str = "i") -> DataFrame:
+    """As ``run``, with Python functions: ``fit`` gets a window's training values alone, ``signal`` its state and one value.
+
+    A window's bars are one group: its training and its test rows, and no others.
+    """
+    keys = _keys(split)
+    ship_package(bars.sparkSession)
+    rows = training(split, bars, embargo, index).withColumn("_test", F.lit(False)).unionByName(testing(split, bars, index).withColumn("_test", F.lit(True)))
+    rows = rows.select(*keys, "w", F.col(index).alias("i"), F.col(feature).alias("x"), F.col(outcome).alias("y"), "_test")
+
+    def window(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        train, test = frame[~frame["_test"]], frame[frame["_test"]]
+        state = fit([float(v) for v in train["x"]])
+        position = [float(signal(state, float(v))) for v in test["x"]]
+        out = frame[[*keys, "w"]].head(1).copy()
+        return out.assign(n_train=len(train), n_test=len(test), signal_sum=sum(position), pnl=sum(p * float(r) for p, r in zip(position, test["y"], strict=True)))
+
+    schema = "".join(f"`{k}` {dict(split.dtypes)[k]}, " for k in keys) + "w bigint, n_train bigint, n_test bigint, signal_sum double, pnl double"
+    return rows.groupBy(*keys, "w").applyInPandas(window, schema)
+
+
 def returns(bars: DataFrame, price: str, keys: tuple[str, ...] = ("pair",), order: str = "ts") -> DataFrame:
     """Bars with ``i``, ``forward`` (next less this) and ``previous`` (this less the one before); 0 at the ends."""
     w = Window.partitionBy(*keys).orderBy(order)

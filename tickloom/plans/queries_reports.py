@@ -14,7 +14,7 @@ from ..operators import quality as Q
 from ..operators import reports as R
 from .queries_market import BACK_SQL, HOLES_SQL, MANIFEST_SQL, PROBES_SQL, _PIVOT, aimed, back, found_holes, manifest, rounded, survey
 from .queries_ticks import _CEILING, _stats_sql
-from .registry import RAW_SQL, TICKS_SQL, bars_sql, local_sql, open_sql, query, raw_ticks, session_sql, ticks
+from .registry import RAW_SQL, SQL, TICKS_SQL, bars_sql, local_sql, open_sql, query, raw_ticks, session_sql, ticks
 
 _AT = "(date::TIMESTAMP + INTERVAL 1 HOUR * hour)"
 
@@ -126,3 +126,48 @@ def backtest_document(spark, d):
     done = T.executions(bars, C.CostModel())
     trades, curve = T.trades(done), T.equity(bars, done)
     return R.result_document(trades, curve, T.summary(bars, trades, curve)).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("coverage_flags", f"""WITH {HOLES_SQL}, h AS (SELECT pair, sum(trading_days)::BIGINT AS gone, max(trading_days) AS longest FROM holes GROUP BY pair), lengths AS (SELECT pair, count(*) AS days FROM series GROUP BY pair), y AS (SELECT s.pair, start, round((date_diff('day', start, (SELECT max(date) FROM series)) + 1) / 365.25::DOUBLE, 2) AS years FROM starts s),
+    r AS (SELECT y.pair, start, years, max(years) OVER () AS longest_years, coalesce(gone, 0) / days::DOUBLE AS hole_share, coalesce(longest, 0) AS longest_hole FROM y JOIN lengths USING (pair) LEFT JOIN h USING (pair))
+    SELECT pair, years, concat_ws(', ', CASE WHEN start IS NULL THEN 'no start' END, CASE WHEN years < 0.9 * longest_years THEN 'short history' END, CASE WHEN hole_share > 0.02 THEN 'holes' END, CASE WHEN longest_hole >= 20 THEN 'long hole' END) AS flags FROM r""")
+def coverage_flags(spark, d):
+    from ..functions.text import years_between
+    from .queries_market import NEAR, SHARE
+
+    days = survey(spark, d)[0]
+    starts = V.recommended_start(days, SHARE, NEAR)
+    h = found_holes(days).groupBy("pair").agg(F.sum("trading_days").alias("gone"), F.max("trading_days").alias("longest"))
+    n = days.groupBy("pair").agg(F.count(F.lit(1)).alias("days"))
+    last = days.agg(F.max("date").alias("last"))
+    y = starts.select("pair", "start").crossJoin(last).withColumn("years", years_between(F.col("start"), F.col("last")))
+    most = y.agg(F.max("years").alias("longest_years"))
+    r = y.crossJoin(most).join(n, "pair").join(h, "pair", "left")
+    r = r.withColumns({"hole_share": F.coalesce("gone", F.lit(0)) / F.col("days"), "longest_hole": F.coalesce("longest", F.lit(0)), "quality_ok": F.lit(True)})
+    return V.flags(r).select("pair", "years", F.array_join("flags", ", ").alias("flags"))
+
+
+@query("replayed_ticks", f"WITH {TICKS_SQL} SELECT seq, pair, ts, bid FROM ticks WHERE pair IN ('EURUSD', 'USDJPY') ORDER BY ts, seq LIMIT 500")
+def replayed_ticks(spark, d):
+    from ..sources.feeds import replay_rows
+
+    return replay_rows(ticks(spark, d), ["EURUSD", "USDJPY"], 500).select("seq", "pair", "ts", "bid")
+
+
+@query("python_strategy", f"WITH {BACK_SQL} SELECT pair, ts, target FROM aimed")
+def python_strategy(spark, d):
+    """The moving-average rule as a strategy in Python, a bar at a time."""
+    from .strategies import Crossing
+
+    return T.strategy_target(B.bars(ticks(spark, d), "1h").select("pair", "ts", "mid_close"), Crossing).select("pair", "ts", "target")
+
+
+@query("python_walk_forward", SQL["wf_pnl_by_window"])
+def python_walk_forward(spark, d):
+    """The z-score sign through Python functions of training values."""
+    from ..operators import walkforward as W
+    from .queries_market import EMBARGO, split_bars
+    from .strategies import mean_of, sign_of
+
+    split, bars = split_bars(spark, d)
+    return rounded(W.run_functions(split, bars, "previous", "forward", EMBARGO, mean_of, sign_of), 9)

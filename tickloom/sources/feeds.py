@@ -100,6 +100,38 @@ def build_source(mode: str, *, root: str = "", get: Callable[[str], tuple[int, b
     raise ValueError(f"unknown source {mode!r}, or one without its transport")
 
 
+# What a candle source may be asked for, and fragments that would move money.
+ALLOWED_ENDS, FORBIDDEN_PARTS = ("/candles", "/instruments"), ("/orders", "/trades", "/positions", "/transactions", "/pricing/stream")
+
+
+@dataclass(frozen=True)
+class CandleSource:
+    """Candles through ``get(url) -> (status, bytes)``; only the read-only addresses are let through."""
+
+    get: Callable[[str], tuple[int, bytes]]
+    base: str
+
+    def check(self, path: str) -> str:
+        plain = path.split("?")[0]
+        if any(p in plain for p in FORBIDDEN_PARTS) or not plain.endswith(ALLOWED_ENDS):
+            raise PermissionError(f"{plain} may not be requested")
+        return f"{self.base}{path}"
+
+    def candles(self, pair: str, first: str, last: str, granularity: str = "H1") -> bytes:
+        """The JSON answer, to be landed and read by ``logs.read_candles``."""
+        path = f"/v3/instruments/{pair[:3]}_{pair[3:]}/candles?price=BAM&granularity={granularity}&from={first}&to={last}"
+        status, content = self.get(self.check(path))
+        if status != 200:
+            raise SourceError(f"{path}: status {status}")
+        return content
+
+
+def replay_rows(ticks: DataFrame, pairs: list[str], limit: int | None = None) -> DataFrame:
+    """The subscribed pairs' ticks in time; the first ``limit`` if asked for."""
+    rows = ticks.where(F.col("pair").isin(*pairs)).orderBy("ts", *[c for c in ("file", "row", "seq") if c in ticks.columns])
+    return rows if limit is None else rows.limit(limit)
+
+
 def replay(spark: SparkSession, path: str, pairs: list[str], files_per_trigger: int = 1) -> DataFrame:
     """A stored tick table as a stream of the subscribed pairs."""
     schema = spark.read.parquet(path).schema
