@@ -59,6 +59,23 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores before it until no column has it; case doesn't count."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
+def without(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The frame without columns of these names, whatever their case."""
+    low = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a materialised table that nothing reads any more."""
     spark = df.sparkSession

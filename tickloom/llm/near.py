@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, map_arrow, materialise
+from ._shared import discard, map_arrow, materialise, unused
 from .components import components
 from .words import mix, runs, slices, spaced, text_view, word_hashes
 
@@ -177,7 +177,8 @@ def star_members(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``a, b`` that join all near-duplicates: a spanning set of them, not all."""
     stars = star_members(nodes).join(nodes.select("id", "node", "sketch", "n_shingles"), "id")
-    blocks = stars.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n"))
+    stars = materialise(stars, "sized")
+    blocks = materialise(stars.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n")), "blocks")
     placed = stars.join(blocks, "centre").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     grid = F.explode(F.expr("transform(sequence(0, n - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"))
     dealt = placed.select("centre", "id", "node", "sketch", grid.alias("g")).select("centre", "g.*", "id", "node", "sketch")
@@ -200,11 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(map_arrow(texts, _sign, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch binary"), "signed")
     usable = signed.where("node is not null and doc_id is not null")
-    first = usable.groupBy("node").agg(F.min("doc_id").alias("id"))
+    first = materialise(usable.groupBy("node").agg(F.min("doc_id").alias("id")), "first")  # so that both sides of its joins are plain exchanges and a hot node can be split
     members = materialise(signed.select("doc_id", "n_shingles", "node").join(first, "node", "left").select("doc_id", "n_shingles", "id"), "members")
     nodes = materialise(usable.join(first.select("node", F.col("id").alias("doc_id")), ["node", "doc_id"]).select(F.col("doc_id").alias("id"), "node", "n_shingles", "bands", "sketch"), "nodes")
     discard(signed)
-
+    discard(first)
     labels = components(links(nodes, texts))
     joined = members.join(labels, "id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -212,5 +213,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, that with the smallest id, with all columns; rows without an id stay."""
-    dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
+    (name,) = unused(docs, "_dropped")
+    dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs[id_col].cast("long") == F.col(name), "left_anti")
