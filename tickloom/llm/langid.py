@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import extended, map_arrow
+from ._shared import extended, map_arrow, unused, without
 from .words import slices, text_view
 
 UNKNOWN = "und"
@@ -50,9 +50,11 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
         yield np.bincount(keys[a : max(a, b - 2)], minlength=FEATURES)
 
 
-def _vectors(rows: list[np.ndarray]) -> np.ndarray:
-    x = np.sqrt(np.asarray(rows, np.float32).reshape(-1, FEATURES))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+def _normalise(x: np.ndarray) -> np.ndarray:
+    """Rows of counts as unit vectors of their roots, in place."""
+    np.sqrt(x, out=x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+    return x
 
 
 def codewords(k: int) -> np.ndarray:
@@ -78,32 +80,34 @@ def _collect_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for row in trigram_counts(*text_view(part.column(1))):
                 index.append(np.flatnonzero(row).astype(np.int32))
                 value.append(row[index[-1]].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int32()))], ["lang", "index", "value"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int32()))], ["lang", "o", "index", "value"])
 
 
-def fit_language_model(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_lang: int = 600, steps: int = 120) -> LanguageModel:
-    """Fit on at most ``rows_per_lang`` rows of each language, those with the smallest hash of the id.
+def fit_language_model(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 2400, steps: int = 120) -> LanguageModel:
+    """Fit on about ``max_rows`` rows, equally many of each language as far as there are, by the hash of the id.
 
     Each row reaches the driver as at most ``FEATURES`` counts, however long its
-    text. Rows with a null text or language are left out; without rows the model
-    has no languages and every prediction is ``und``.
+    text, so the driver holds at most some 100 MB. Rows with a null text or
+    language are left out; without rows the model has no languages and every
+    prediction is ``und``.
     """
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     langs = tuple(sorted(sizes))
     if not langs:
         return LanguageModel((), np.zeros((0, 1)), np.zeros((FEATURES, 1), np.float32), np.zeros(1), np.ones(1))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():  # a share that leaves about 1.2 times the rows wanted, then the exact cut
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.2 * rows_per_lang / n + 40 / n))).otherwise(share)
+    share, per_lang = F.lit(0.0), max_rows / len(langs)
+    for lang, n in sizes.items():
+        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.1 * per_lang / n))).otherwise(share)
     order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     few = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("o"), share.alias("s")).where("o < s")
-    found = map_arrow(few.select("lang", "text"), _collect_counts, "lang string, index array<int>, value array<int>").limit(2 * rows_per_lang * len(langs) + 100 * len(langs)).toArrow()
-    names, index, value = (found.column(i).to_pylist() for i in range(3))
+    found = map_arrow(few.select("lang", "text", "o"), _collect_counts, "lang string, o double, index array<int>, value array<int>").limit(2 * max_rows + 100).toArrow()
+    found = found.sort_by([("lang", "ascending"), ("o", "ascending")])  # the order in which tasks end doesn't matter
+    names, index, value = (found.column(c).to_pylist() for c in ("lang", "index", "value"))
     x = np.zeros((len(names), FEATURES), np.float32)
     for i, (a, b) in enumerate(zip(index, value, strict=True)):
         x[i, a] = b
-    x = _vectors(list(x))
+    x = _normalise(x)
     y = np.array([langs.index(n) for n in names])
     code = codewords(len(langs))
     if len(langs) == 1:
@@ -141,7 +145,7 @@ def _predict(model: LanguageModel, part: pa.RecordBatch, text: int) -> tuple[lis
     langs, score, close = [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
     known = np.array([bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
     if model.langs and known.any():
-        x = _vectors([row for row, k in zip(trigram_counts(*text_view(column)), known, strict=True) if k])
+        x = _normalise(np.array([row for row, k in zip(trigram_counts(*text_view(column)), known, strict=True) if k], np.float32))
         best, share, near = decode(model, x @ model.weights + model.bias)
         score[known], close[known] = share, near
         for i, k in zip(np.flatnonzero(known), best, strict=True):
@@ -149,14 +153,13 @@ def _predict(model: LanguageModel, part: pa.RecordBatch, text: int) -> tuple[lis
     return langs, score, close
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", new: tuple[str, ...] = ("lang_pred", "lang_score", "lang_ambiguous")) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred, lang_score, lang_ambiguous``, without a shuffle.
 
     A null, empty or letterless text gives ``und`` with score 0. An input column
     with one of the new names is replaced. Order and repeats of rows don't matter.
     """
-    new = ("lang_pred", "lang_score", "lang_ambiguous")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    docs = without(docs, new)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -166,11 +169,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 langs, score, close = _predict(shared.value, part, at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(close)], [*part.schema.names, *new])
 
-    return map_arrow(docs, run, extended(docs.schema, "lang_pred string, lang_score double, lang_ambiguous boolean"))
+    return map_arrow(docs, run, extended(docs.schema, f"{new[0]} string, {new[1]} double, {new[2]} boolean"))
 
 
 def known_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text has a language at all; ambiguous ones stay."""
-    return identify(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = unused(docs, "lang_pred", "lang_score", "lang_ambiguous")
+    return identify(docs, model, text_col, names).where(F.col(names[0]) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
