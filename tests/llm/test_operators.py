@@ -409,3 +409,22 @@ def test_pseudonyms_of_odd_rows(odd, nothing):
     assert sum(r.n_card for r in rows) == 0
     assert [r.text for r in rows if r.bucket == 2.0] == [None]
     assert pii.pseudonymise_documents(nothing, "key").count() == 0
+
+
+# Names that clash
+
+
+def test_stages_leave_clashing_columns_alone(shared, odd):
+    """Stages filter rows; columns named like what operators add come through with their values."""
+    names = ["N_Hit", "n_words", "items", "matches", "LANG_PRED", "lang_score", "lang_ambiguous", "_dropped", "node", "id", "kept", "_norm", "_h", "keep_id", "_text"]
+    wide = odd.withColumns({n: F.lit(f"own {n}") for n in names})
+    bench = shared.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and again")], "item_id bigint, text string")
+    model = langid.fit_language_model(odd)
+    for made in (langid.known_language(wide, model), exact.exact_dedup(wide), near.near_dedup(wide), decontam.decontaminate(wide, bench)):
+        assert made.columns == wide.columns
+        rows = made.collect()
+        assert rows
+        assert all(r[n] == f"own {n}" for r in rows for n in names)
+    for made in (langid.identify(wide, model), decontam.find_contamination(wide, bench), pii.pseudonymise_documents(wide, "k"), bpe.bpe_encode(wide, vocabulary_path())):
+        assert len({c.lower() for c in made.columns}) == len(made.columns)
+        assert made.count() == 10

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import extended, map_arrow
+from ._shared import extended, map_arrow, unused
 from .words import slices, text_view
 
 FRAGMENTS_KEPT = 500_000
@@ -130,7 +130,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ke
     names are replaced.
     """
     new = ("n_tokens", "ids_sha256", "decoded_sha256", *(("token_ids", "decoded") if with_ids else ()))
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -154,7 +154,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ke
                     columns.append(pa.array([text.decode() for _, text in found], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*kept, *new])
 
-    source = docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in kept])
+    source = docs.select(F.col(f"`{text_col}`").alias(unused(docs, "_text")[0]), *[F.col(f"`{c}`") for c in kept])
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * with_ids
     return map_arrow(source, run, extended(schema, added))

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import extended, map_arrow
+from ._shared import extended, map_arrow, unused, without
 from .words import alphanumeric, runs, slices, text_view, word_hashes
 
 WINDOW = 10
@@ -176,7 +176,7 @@ def _scan(part: pa.RecordBatch, text: int, blocks: list[Broadcast], alphabet) ->
     return np.diff(first), hit[first[1:]] - hit[first[:-1]], [sorted(x) for x in items], matches
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", new: tuple[str, ...] = ("n_words", "n_hit", "items", "matches")) -> DataFrame:
     """All columns of ``docs`` and ``n_words, n_hit, items, matches``, without a shuffle.
 
     Words are lower-cased ASCII letters, digits and everything beyond ASCII. A
@@ -188,8 +188,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     empty name; items that repeat an id count once. An input column with one of
     the new names is replaced. An empty benchmark leaves every document clean.
     """
-    new = ("n_words", "n_hit", "items", "matches")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    docs = without(docs, new)
     blocks = benchmark_blocks(benchmark, bench_id, bench_text)
     at = docs.columns.index(text_col)
     match = pa.struct([("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())])
@@ -202,10 +201,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(match))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *new])
 
-    added = "n_words bigint, n_hit bigint, items array<string>, matches array<struct<item_id:string,doc_start:bigint,item_start:bigint,words:bigint>>"
+    added = f"{new[0]} bigint, {new[1]} bigint, {new[2]} array<string>, {new[3]} array<struct<item_id:string,doc_start:bigint,item_start:bigint,words:bigint>>"
     return map_arrow(docs, run, extended(docs.schema, added))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without any benchmark window, with their columns."""
-    return find_contamination(docs, benchmark, text_col).where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = unused(docs, "n_words", "n_hit", "items", "matches")
+    return find_contamination(docs, benchmark, text_col, new=names).where(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

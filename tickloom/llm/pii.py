@@ -16,9 +16,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._shared import extended, map_arrow
+from ._shared import extended, map_arrow, without
 from .words import slices
 
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
@@ -218,7 +217,7 @@ def pseudonymise_documents(docs: DataFrame, key: str, text_col: str = "text") ->
     is replaced. Texts without ``@`` and without digit stretches are unchanged.
     """
     names = [f"n_{k}" for k in KINDS]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    docs = without(docs, tuple(names))
     at = docs.columns.index(text_col)
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
 

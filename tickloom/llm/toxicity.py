@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import extended, map_arrow, materialise
+from ._shared import extended, map_arrow, materialise, without
 from .words import slices
 
 WORD = re.compile(r"\w+")
@@ -170,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 found = [to_vector(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["id", "toxic", "cols", "vals"])
 
-    found = map_arrow(sample.select(F.col("_id").cast("long"), "toxic", "text"), vectors_of, "id bigint, toxic int, cols array<bigint>, vals array<float>").limit(4 * examples_per_class).toArrow()
+    found = map_arrow(sample.select(F.col("_id").cast("long"), "toxic", "text"), vectors_of, "id bigint, toxic int, cols array<bigint>, vals array<float>").limit(4 * examples_per_class).toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
     for i, y, c, v in zip(*(found.column(j).to_pylist() for j in range(4)), strict=True):
         vectors.append((np.array(c, np.int64), np.array(v, np.float32)))
         ids.append(i)
@@ -198,7 +198,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     are scored as texts without words. Input columns of these names are replaced.
     """
     new = ("toxicity", "evidence")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    docs = without(docs, new)
     at = docs.columns.index(text_col)
     index = model.index
     plain = (model.terms, model.idf, index and (index.weights, index.most, index.ids, index.label), model.weight, model.calibration, model.prior, model.k)
