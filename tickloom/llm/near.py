@@ -176,15 +176,18 @@ def star_members(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``a, b`` that join all near-duplicates: a spanning set of them, not all."""
-    stars = star_members(nodes).join(nodes.select("id", "node", "sketch", "n_shingles"), "id")
-    stars = materialise(stars, "sized")
+    members = star_members(nodes)
+    stars = materialise(members.join(nodes.select("id", "node", "sketch", "n_shingles"), "id"), "sized")
     blocks = materialise(stars.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n")), "blocks")
     placed = stars.join(blocks, "centre").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     grid = F.explode(F.expr("transform(sequence(0, n - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"))
     dealt = placed.select("centre", "id", "node", "sketch", grid.alias("g")).select("centre", "g.*", "id", "node", "sketch")
     full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("centre", "i", "j", "side", "id", "node", "sketch", "text")
     order = ["centre", "i", "j", F.expr("id <> centre"), "id"]
-    return materialise(map_arrow(full.repartition("centre", "i", "j").sortWithinPartitions(*order), _link, "a bigint, b bigint"), "links")
+    found = materialise(map_arrow(full.repartition("centre", "i", "j").sortWithinPartitions(*order), _link, "a bigint, b bigint"), "links")
+    for done in (members, stars, blocks):
+        discard(done)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialise(usable.join(first.select("node", F.col("id").alias("doc_id")), ["node", "doc_id"]).select(F.col("doc_id").alias("id"), "node", "n_shingles", "bands", "sketch"), "nodes")
     discard(signed)
     discard(first)
-    labels = components(links(nodes, texts))
+    found = links(nodes, texts)
+    discard(nodes)
+    labels = components(found)
+    discard(found)
     joined = members.join(labels, "id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

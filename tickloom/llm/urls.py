@@ -105,11 +105,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS) -> DataFra
     )
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", steps: int = STEPS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", steps: int = STEPS, block_percent: int = 100) -> DataFrame:
     """Judge every page: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     The longest fitting rule decides; else a host is blocked if its distrust is
-    above its trust, and allowed otherwise, so an unknown host is allowed. A host
+    above ``block_percent`` percent of its trust, and allowed otherwise, so an
+    unknown host is allowed. A host
     is a seed of trust (distrust) if a rule allows (blocks) any of its pages. A
     null url, or one without ``://``, has an empty host and path and is allowed;
     null markup has no links; repeated rows are judged each; other columns are
@@ -121,5 +122,5 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     mass = materialise(propagate(host_edges(parsed, hosts), hosts, steps), "mass")
     out = judged.drop("html").join(mass, "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0)).cast("long") for c in ("trust", "distrust"))
-    verdict = F.coalesce("rule_verdict", F.when(distrust > trust, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("rule_verdict", F.when(100 * distrust > block_percent * trust, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
