@@ -47,7 +47,7 @@ def decode_records(raw: bytes) -> np.ndarray:
 
 def encode_hour(records: np.ndarray) -> bytes:
     """A file's bytes, for tests and fixtures; no records make an empty file."""
-    return lzma.compress(records.astype(RECORD).tobytes(), format=lzma.FORMAT_ALONE) if len(records) else b""
+    return lzma.compress(records.astype(RECORD).tobytes(), format=lzma.FORMAT_ALONE, preset=0) if len(records) else b""
 
 
 def _rows(path: str, content: bytes) -> pa.RecordBatch:
