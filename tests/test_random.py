@@ -162,14 +162,15 @@ def test_dedup_keeps_first_occurrences(spark, ticks):
     assert counts[2] == counts[0] - counts[1]
 
 
-def test_as_of_against_bisection(spark):
+@pytest.mark.parametrize("bucket", [7_000_000, 86_400_000_000])
+def test_as_of_against_bisection(spark, bucket):
     rng = random.Random(9)
     t0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
     quotes = {(k, t): rng.random() for k in "abc" for t in rng.sample(range(200), 60)}
     left = [(rng.choice("abcd"), rng.randrange(220), n) for n in range(400)]
     at = lambda s: t0 + datetime.timedelta(seconds=s)
     q = spark.createDataFrame([(k, at(t), v) for (k, t), v in quotes.items()], "k string, ts timestamp, v double")
-    got = {r.n: r.x for r in C.as_of(spark.createDataFrame([(k, at(t), n) for k, t, n in left], "k string, ts timestamp, n int"), q, ["k"], "v", "x").collect()}
+    got = {r.n: r.x for r in C.as_of(spark.createDataFrame([(k, at(t), n) for k, t, n in left], "k string, ts timestamp, n int"), q, ["k"], "v", "x", bucket).collect()}
     times = {k: sorted(t for kk, t in quotes if kk == k) for k in "abcd"}
     for k, t, n in left:
         i = bisect.bisect_right(times[k], t)

@@ -55,17 +55,26 @@ def verdict(net_by_multiplier: DataFrame) -> DataFrame:
     return net_by_multiplier.agg(F.when(net[1.5] > 0, "SURVIVES").when(net[1.2] > 0, "PARKED").otherwise("DEAD").alias("verdict"))
 
 
-def as_of(left: DataFrame, quotes: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
+def as_of(left: DataFrame, quotes: DataFrame, keys: list[str], value: str, alias: str, bucket_micros: int = 86_400_000_000) -> DataFrame:
     """``left`` with the latest ``value`` at or before its ``ts`` among rows of equal ``keys``; none: null.
 
-    Both sides are unioned and sorted once per key, quotes before other rows of
-    the same instant; nothing later than a row can reach it.
+    Rows are dealt by key and time bucket, so that a hot key is spread over its
+    buckets; into each bucket goes one row with the last value before it, from a
+    running window over buckets alone. Within a bucket both sides are unioned and
+    sorted once, quotes before other rows of the same instant; nothing later than
+    a row can reach it.
     """
-    cols = left.columns
-    a = left.select(*keys, "ts", F.lit(1).alias("_turn"), F.lit(None).cast(dict(quotes.dtypes)[value]).alias("_v"), F.struct(*cols).alias("_row"))
-    b = quotes.select(*keys, "ts", F.lit(0).alias("_turn"), F.col(value).alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("ts", "_turn").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(alias, F.last("_v", ignorenulls=True).over(w)).where("_turn = 1").select("_row.*", alias)
+    cols, kind = left.columns, dict(quotes.dtypes)[value]
+    at = F.floor(F.unix_micros("ts") / bucket_micros).cast("long").alias("_b")
+    a = left.select(*keys, at, "ts", F.lit(2).alias("_turn"), F.lit(None).cast(kind).alias("_v"), F.struct(*cols).alias("_row"))
+    none = F.lit(None).cast(a.schema["_row"].dataType).alias("_row")
+    b = quotes.where(F.col(value).isNotNull()).select(*keys, at, "ts", F.lit(1).alias("_turn"), F.col(value).alias("_v"), none)
+    ends = b.groupBy(*keys, "_b").agg(F.max_by("_v", "ts").alias("_last")).unionByName(a.select(*keys, "_b").distinct().withColumn("_last", F.lit(None).cast(kind)))
+    ends = ends.groupBy(*keys, "_b").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_v", F.last("_last", ignorenulls=True).over(before)).where("_v is not null").select(*keys, "_b", F.timestamp_micros(F.col("_b") * bucket_micros).alias("ts"), F.lit(0).alias("_turn"), "_v", none)
+    w = Window.partitionBy(*keys, "_b").orderBy("ts", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).unionByName(carried).withColumn(alias, F.last("_v", ignorenulls=True).over(w)).where("_turn = 2").select("_row.*", alias)
 
 
 def dollar_pair(pair: Column) -> Column:
