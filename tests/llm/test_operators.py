@@ -403,6 +403,21 @@ def test_pseudonyms():
     assert pii.pseudonymise(text, pii.Feistel(b"x" * 32))[0] != new
 
 
+def test_numbers_beside_numbers():
+    """Values are found when other numbers stand right beside them."""
+    f = pii.Feistel(b"k" * 32)
+    text = "+1 (377) 555-0271 4111111111111111 123 4111 1111 1111 1111 12 and +44 20 7946 0958, 4111111111111111 10.0.0.7 DE89 3704 0044 0532 0130 00 ABCD 2024-02-29 378282246310005 3782 822463 10005"
+    new, n = pii.pseudonymise(text, f)
+    assert n == {"email": 0, "iban": 1, "card": 5, "phone": 2, "ssn": 0, "ip": 1, "date": 1}
+    for goes in ("555-0271", "4111111111111111", "4111 1111 1111 1111", "7946 0958", "10.0.0.7", "DE89 3704", "2024-02-29", "378282246310005", "822463"):
+        assert goes not in new
+    for stays in (" 123 ", " 12 and +44 ", " ABCD "):
+        assert stays in new
+    runs = re.findall(r"(?<![0-9])4[0-9]{15}(?![0-9])", new)
+    assert len(runs) == 2
+    assert len(set(runs)) == 1
+
+
 def test_pseudonyms_of_odd_rows(odd, nothing):
     rows = pii.pseudonymise_documents(odd.withColumn("n_card", F.lit("x")), "key").collect()
     assert len(rows) == 10

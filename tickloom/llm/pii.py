@@ -82,26 +82,33 @@ def _fill(pattern: str, digits: str) -> str:
 
 
 def card(f: Feistel, m: re.Match) -> str | None:
-    """The first digit, which names the issuer's industry (2 to 6 for payment cards), stays."""
-    d = re.sub(r"\D", "", m[0])
+    """The first digit, which names the issuer's industry (2 to 6 for payment cards), stays.
+
+    Of groups four by four, a last group that makes the number invalid is another
+    number and stays.
+    """
+    d, tail = re.sub(r"\D", "", m[0]), ""
+    if m[1] and len(d) > 16 and luhn_check_digit(d[:-1]) != d[-1]:
+        d, tail = d[:16], m[0][19:]
     if not 13 <= len(d) <= 19 or luhn_check_digit(d[:-1]) != d[-1] or d[0] not in "23456":
         return None
     payload = d[0] + "".join(map(str, f.digits([int(c) for c in d[1:-1]], [10] * (len(d) - 2), f"card{d[0]}")))
-    return _fill(m[0], payload + luhn_check_digit(payload))
+    return _fill(m[0][: len(m[0]) - len(tail)], payload + luhn_check_digit(payload)) + tail
 
 
 def phone(f: Feistel, m: re.Match) -> str | None:
-    """Country code stays; area and exchange of numbers under +1 begin with 2 to 9."""
-    country, rest = m["cc"], re.sub(r"\D", "", m["rest"])
+    """Country code and signs stay; area and exchange of numbers under +1 begin with 2 to 9."""
+    lead, country, text = (m["lead"], m["cc"], m["rest"]) if m["lead"] else (m["lead2"], m["cc2"], m["rest2"])
+    rest = re.sub(r"\D", "", text)
     if not 7 <= len(country) + len(rest) <= 15 or len(rest) < 6:
         return None
     low = [0] * len(rest)
     if country == "1":
-        if len(rest) != 10 or rest[0] in "01" or rest[3] in "01":
+        if rest[0] in "01" or rest[3] in "01":
             return None
         low[0] = low[3] = 2
     new = f.digits([int(c) - a for c, a in zip(rest, low, strict=True)], [10 - a for a in low], f"phone{country}")
-    return m["lead"] + _fill(m["rest"], "".join(str(v + a) for v, a in zip(new, low, strict=True)))
+    return lead + _fill(text, "".join(str(v + a) for v, a in zip(new, low, strict=True)))
 
 
 def ssn(f: Feistel, m: re.Match) -> str | None:
@@ -119,9 +126,19 @@ def ip(f: Feistel, m: re.Match) -> str | None:
     return ".".join(map(str, f.digits(parts, [256] * 4, "ip")))
 
 
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
 def iban(f: Feistel, m: re.Match) -> str | None:
+    """Letters are permuted among letters, digits among digits; the check digits follow from the result."""
     raw = m[0].replace(" ", "")
-    if not 15 <= len(raw) <= 34 or int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 != 1:
+    if len(raw) != IBAN_LENGTHS[raw[:2]] or int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 != 1:
         return None
     body = raw[4:]
     radices = [10 if c.isdigit() else 26 for c in body]
@@ -132,6 +149,15 @@ def iban(f: Feistel, m: re.Match) -> str | None:
     return "".join(" " if c == " " else next(new_all) for c in m[0])
 
 
+def _iban_pattern() -> re.Pattern:
+    """One alternative for each length, so that a number ends where its country says."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    parts = [f"(?:{'|'.join(c)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items())]
+    return re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(parts)})(?![A-Za-z0-9])")
+
+
 def email(f: Feistel, m: re.Match) -> str | None:
     """Letters of the name are permuted among letters, digits among digits; the domain and other signs stay."""
     name = m["name"]
@@ -165,10 +191,17 @@ def date(f: Feistel, m: re.Match) -> str | None:
     return f"{a}{parts[1]}{b}{parts[3]}{c}"
 
 
+# Cards: one run of 13 to 19 digits, or groups as they are printed (four by four, or 4-6-5 and 4-6-4) with one separator throughout.
+CARD = re.compile(r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})(?![0-9])")
+# Phones: ten digits after +1, or groups of two digits and more after another country code.
+PHONE = re.compile(
+    r"(?<![0-9+])(?P<lead>\+(?P<cc>1))(?P<rest>[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4})(?![0-9])"
+    r"|(?<![0-9+])(?P<lead2>\+(?P<cc2>[2-9][0-9]{0,2}))(?P<rest2>[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{2,})(?:[\x20.-][0-9]{2,})*)(?![0-9])"
+)
 RULES: dict[str, tuple[re.Pattern, Callable[[Feistel, re.Match], str | None]]] = {
-    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), iban),
-    "card": (re.compile(r"(?<![0-9.])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"), card),
-    "phone": (re.compile(r"(?<![0-9+])(?P<lead>\+(?P<cc>1|[2-9][0-9]{0,2}))(?P<rest>[\x20.(-]{0,2}[0-9](?:[\x20.()-]{0,2}[0-9]){5,12})(?![0-9])"), phone),
+    "iban": (_iban_pattern(), iban),
+    "card": (CARD, card),
+    "phone": (PHONE, phone),
     "ssn": (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), ssn),
     "ip": (re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), ip),
     "date": (re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"), date),
