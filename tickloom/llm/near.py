@@ -9,10 +9,12 @@
    mates; a family of copies so shares few centres. There are at most nodes x
    BANDS star edges.
 4. The members of a centre meet once, with their whole texts, in groups that are
-   cut into blocks of bounded size. There, pairs that no chain of links joins
-   yet are compared, by sketches and then on the full sets; links that join two
-   parts are returned, fewer than the group has members. Every two texts that
-   share a bucket share its centre, so no bucket's pair goes untested.
+   cut into blocks of bounded size, each with the centre. There, pairs that no
+   chain of links joins yet are compared, by sketches and then on the full sets;
+   links that join two parts are returned, fewer than the group has members.
+   Every two texts that share a bucket share its centre, so no bucket's pair goes
+   untested, and of a family only those members that are far from its centre
+   are compared with more than the centre.
 
 At similarity s a pair shares a bucket with probability 1 - (1 - s^4)^32, which
 is 0.999995 at 0.75.
@@ -102,17 +104,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links_of_group(ids: list[int], sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links between members that join separate parts; between the two sides only, if there are two.
+    """Links between members that join separate parts.
 
-    The first member is compared with all others, and so on with those that are
-    in another part; of them the likeliest first, so that a member that belongs
-    to a part joins it early.
+    Sides are 0 and 1 for the members of two blocks, all 0 for those of one, and
+    2 for the centre, which comes first and is in every group. It is compared
+    with all others, so that members near it are one part at once; then each
+    member with those in other parts (on the other side, if there are two), the
+    likeliest first. The centre's own links are returned by groups of one block.
     """
     part, out = np.arange(len(ids)), []
-    crossing = side.any()
+    crossing = bool((side == 1).any())
     for x in range(len(ids) - 1):
         rest = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
-        if crossing:
+        if crossing and side[x] != 2:
             rest = rest[side[rest] != side[x]]
         if not len(rest):
             continue
@@ -124,7 +128,8 @@ def _links_of_group(ids: list[int], sets: list[np.ndarray], sketches: np.ndarray
             s, t = sets[x], sets[y]
             n = len(np.intersect1d(s, t, assume_unique=True))
             if 100 * n >= PERCENT * (len(s) + len(t) - n):
-                out.append((ids[x], ids[y]))
+                if not (crossing and side[x] == 2):
+                    out.append((ids[x], ids[y]))
                 part[part == part[y]] = part[x]
     return out
 
@@ -180,7 +185,9 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     stars = materialise(members.join(nodes.select("id", "node", "sketch", "n_shingles"), "id"), "sized")
     blocks = materialise(stars.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n")), "blocks")
     placed = stars.join(blocks, "centre").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    grid = F.explode(F.expr("transform(sequence(0, n - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"))
+    own = "transform(sequence(0, n - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"
+    every = "flatten(transform(sequence(0, n - 1), x -> transform(sequence(x, n - 1), y -> struct(x as i, y as j, 2 as side))))"
+    grid = F.explode(F.expr(f"if(id = centre, {every}, {own})"))
     dealt = placed.select("centre", "id", "node", "sketch", grid.alias("g")).select("centre", "g.*", "id", "node", "sketch")
     full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("centre", "i", "j", "side", "id", "node", "sketch", "text")
     order = ["centre", "i", "j", F.expr("id <> centre"), "id"]
