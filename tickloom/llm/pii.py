@@ -82,15 +82,15 @@ def _fill(pattern: str, digits: str) -> str:
 
 
 def card(f: Feistel, m: re.Match) -> str | None:
-    """The first digit, which names the issuer's industry (2 to 6 for payment cards), stays.
+    """Numbers that pass Luhn: of 16 digits any, of other lengths those that begin like payment cards (2 to 6).
 
-    Of groups four by four, a last group that makes the number invalid is another
+    The first digit, which names the issuer's industry, stays. Of groups four by four, a last group that makes the number invalid is another
     number and stays.
     """
     d, tail = re.sub(r"\D", "", m[0]), ""
     if m[1] and len(d) > 16 and luhn_check_digit(d[:-1]) != d[-1]:
         d, tail = d[:16], m[0][19:]
-    if not 13 <= len(d) <= 19 or luhn_check_digit(d[:-1]) != d[-1] or d[0] not in "23456":
+    if not 13 <= len(d) <= 19 or luhn_check_digit(d[:-1]) != d[-1] or (len(d) != 16 and d[0] not in "23456"):
         return None
     payload = d[0] + "".join(map(str, f.digits([int(c) for c in d[1:-1]], [10] * (len(d) - 2), f"card{d[0]}")))
     return _fill(m[0][: len(m[0]) - len(tail)], payload + luhn_check_digit(payload)) + tail
