@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..session import ship_package
 
+BATCH_BYTES = 8 << 20
 WHITE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,8 +50,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with this package present on the executors."""
+    """``mapInArrow`` with this package present on the executors, in batches of at most ``BATCH_BYTES``.
+
+    Batches by size bound what the JVM and each Python worker hold at once,
+    whatever the length of the texts.
+    """
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
