@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,45 +29,41 @@ def bars(ticks: DataFrame, timeframe: str, seq: str | None = "seq") -> DataFrame
     Buckets without ticks have no bar. One shuffle by (pair, bucket) after a
     partial aggregation, so a hot pair costs its buckets once per task.
     """
-    return _bars(ticks, F.lit(micros(timeframe)), [], seq)
-
-
-def bars_of_timeframes(ticks: DataFrame, timeframes: list[str], seq: str | None = "seq") -> DataFrame:
-    """Bars of several timeframes: the finest from ticks, the coarser ones rolled up from it in one pass."""
-    names = sorted(timeframes, key=micros)
-    fine = bars(ticks, names[0], seq)
-    out = fine.select(F.lit(names[0]).alias("timeframe"), *fine.columns)
-    if len(names) > 1:
-        out = out.unionByName(_roll_up(fine, names[1:]))
-    return out
-
-
-def _bars(ticks: DataFrame, width: Column, keys: list[str], seq: str | None) -> DataFrame:
-    at = bucket_micros(F.col("ts"), width)
-    q = ticks.select("pair", *keys, at.alias("_at"), order_key(F.unix_micros("ts") - at, F.col(seq) if seq else None).alias("_key"), "bid", "ask").withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "_spread": F.col("ask") - F.col("bid")})
+    at = bucket_micros(F.col("ts"), micros(timeframe))
+    q = ticks.select("pair", at.alias("_at"), order_key(F.unix_micros("ts") - at, F.col(seq) if seq else None).alias("_key"), "bid", "ask").withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "_spread": F.col("ask") - F.col("bid")})
     aggs = []
     for name in QUOTES:
         aggs += [F.min_by(name, "_key").alias(f"{name}_open"), F.max(name).alias(f"{name}_high"), F.min(name).alias(f"{name}_low"), F.max_by(name, "_key").alias(f"{name}_close")]
-    grouped = q.groupBy("pair", *keys, "_at").agg(*aggs, F.count(F.lit(1)).alias("tick_count"), F.avg("_spread").alias("spread_mean"), F.max("_spread").alias("spread_max"))
-    return grouped.select(*keys, "pair", F.timestamp_micros("_at").alias("ts"), *[f"{n}_{s}" for n in QUOTES for s in STEPS], "tick_count", "spread_mean", "spread_max")
+    grouped = q.groupBy("pair", "_at").agg(*aggs, F.count(F.lit(1)).alias("tick_count"), F.avg("_spread").alias("spread_mean"), F.max("_spread").alias("spread_max"))
+    return grouped.select("pair", F.timestamp_micros("_at").alias("ts"), *[f"{n}_{s}" for n in QUOTES for s in STEPS], "tick_count", "spread_mean", "spread_max")
 
 
-def _roll_up(fine: DataFrame, timeframes: list[str]) -> DataFrame:
-    coarse = F.explode(F.array(*[F.struct(F.lit(t).alias("timeframe"), F.lit(micros(t)).alias("_width")) for t in timeframes]))
-    wide = fine.select("*", coarse.alias("_c")).select(*fine.columns, "_c.*")
-    at = bucket_micros(F.col("ts"), F.col("_width"))
-    keyed = wide.withColumns({"_at": at, "_key": F.unix_micros("ts") - at})
-    aggs = []
-    for name in QUOTES:
-        aggs += [F.min_by(f"{name}_open", "_key").alias(f"{name}_open"), F.max(f"{name}_high").alias(f"{name}_high"), F.min(f"{name}_low").alias(f"{name}_low"), F.max_by(f"{name}_close", "_key").alias(f"{name}_close")]
-    total = F.sum("tick_count")
-    out = keyed.groupBy("timeframe", "pair", "_at").agg(*aggs, total.alias("tick_count"), (F.sum(F.col("spread_mean") * F.col("tick_count")) / total).alias("spread_mean"), F.max("spread_max").alias("spread_max"))
-    return out.select("timeframe", "pair", F.timestamp_micros("_at").alias("ts"), *[f"{n}_{s}" for n in QUOTES for s in STEPS], "tick_count", "spread_mean", "spread_max")
+def bars_of_timeframes(ticks: DataFrame, timeframes: list[str], seq: str | None = "seq") -> DataFrame:
+    """Bars of several timeframes: the finest from ticks, each coarser one from the next finer that divides it.
+
+    The ticks are read and shuffled once; every step shuffles the bars of the step
+    before, which are fewer and fewer, and Spark reuses that exchange where two
+    steps read it.
+    """
+    names = sorted(dict.fromkeys(timeframes), key=micros)
+    made: dict[str, DataFrame] = {}
+    for name in names:
+        finer = [n for n in made if micros(name) % micros(n) == 0]
+        made[name] = roll_up(made[finer[-1]], name) if finer else bars(ticks, name, seq)
+    out = [df.select(F.lit(name).alias("timeframe"), *df.columns) for name, df in made.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 def roll_up(fine: DataFrame, timeframe: str) -> DataFrame:
     """Exact coarser bars from finer ones: first, highest, lowest, last, sums, and the mean weighted by ticks."""
-    return _roll_up(fine, [timeframe]).drop("timeframe")
+    at = bucket_micros(F.col("ts"), micros(timeframe))
+    keyed = fine.withColumns({"_at": at, "_key": F.unix_micros("ts") - at})
+    aggs = []
+    for name in QUOTES:
+        aggs += [F.min_by(f"{name}_open", "_key").alias(f"{name}_open"), F.max(f"{name}_high").alias(f"{name}_high"), F.min(f"{name}_low").alias(f"{name}_low"), F.max_by(f"{name}_close", "_key").alias(f"{name}_close")]
+    total = F.sum("tick_count")
+    out = keyed.groupBy("pair", "_at").agg(*aggs, total.alias("tick_count"), (F.sum(F.col("spread_mean") * F.col("tick_count")) / total).alias("spread_mean"), F.max("spread_max").alias("spread_max"))
+    return out.select("pair", F.timestamp_micros("_at").alias("ts"), *[f"{n}_{s}" for n in QUOTES for s in STEPS], "tick_count", "spread_mean", "spread_max")
 
 
 def empty_bins(made: DataFrame, timeframe: str) -> DataFrame:
