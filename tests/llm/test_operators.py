@@ -418,6 +418,34 @@ def test_numbers_beside_numbers():
     assert len(set(runs)) == 1
 
 
+def test_phones_of_all_areas_and_national_ones():
+    f = pii.Feistel(b"k" * 32)
+    phones = ["+1 (017) 555-7713", "+1 (136) 555-7479", "+1 (377) 155-0271", "+1 (377) 555-0271", "202-555-0123", "(202) 555-0123", "1-202-555-0123", "202.555.0123", "(017) 555-7713"]
+    new, n = pii.pseudonymise("; ".join(phones), f)
+    assert n["phone"] == len(phones)
+    made = new.split("; ")
+    for old, got in zip(phones, made, strict=True):
+        assert got != old
+        assert re.sub("[0-9]", "9", got) == re.sub("[0-9]", "9", old)
+        a, b = re.sub(r"\D", "", old)[-10:], re.sub(r"\D", "", got)[-10:]
+        assert [(a[i] in "01") == (b[i] in "01") for i in (0, 3)] == [True, True]
+    assert len({re.sub(r"\D", "", x)[-10:] for x in made[4:8]}) == 1
+    assert made[0].split(" ", 1)[1] == made[8]
+    for stays in ("250 100 4000", "100.200.3000", "1202-555-0123", "202-555-01234", "2025550123"):
+        assert pii.pseudonymise(f"n {stays} n", f)[0] == f"n {stays} n"
+
+
+def test_month_first_dates():
+    f = pii.Feistel(b"k" * 32)
+    new, n = pii.pseudonymise("12/31/2024 31/12/2024 2024-12-31 12.31.2024 13/32/2024", f)
+    assert n["date"] == 4
+    us, eu, iso, dots, stays = new.split()
+    assert iso != "2024-12-31"
+    y, m, d = iso.split("-")
+    assert (us, eu, dots, stays) == (f"{m}/{d}/{y}", f"{d}/{m}/{y}", f"{m}.{d}.{y}", "13/32/2024")
+    assert int(d) > 12
+
+
 def test_pseudonyms_of_odd_rows(odd, nothing):
     rows = pii.pseudonymise_documents(odd.withColumn("n_card", F.lit("x")), "key").collect()
     assert len(rows) == 10

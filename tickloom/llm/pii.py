@@ -9,6 +9,7 @@ Values that fail validation are not personal numbers and stay.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -97,17 +98,22 @@ def card(f: Feistel, m: re.Match) -> str | None:
 
 
 def phone(f: Feistel, m: re.Match) -> str | None:
-    """Country code and signs stay; area and exchange of numbers under +1 begin with 2 to 9."""
-    lead, country, text = (m["lead"], m["cc"], m["rest"]) if m["lead"] else (m["lead2"], m["cc2"], m["rest2"])
+    """Country code and signs stay. Ten digits after +1, and national numbers in groups of 3, 3 and 4, are one set of numbers.
+
+    In that set the first digits of area and exchange stay 0 or 1, or 2 to 9, so numbers that can be assigned stay such. National numbers with
+    dots or spaces only could be other numbers and must be such that can be assigned.
+    """
+    lead, country, text = next((m[f"lead{i}"], m[f"cc{i}"] if i else "1", m[f"rest{i}"]) for i in (1, 2, 0) if m[f"rest{i}"])
     rest = re.sub(r"\D", "", text)
     if not 7 <= len(country) + len(rest) <= 15 or len(rest) < 6:
         return None
-    low = [0] * len(rest)
+    low, radices = [0] * len(rest), [10] * len(rest)
     if country == "1":
-        if rest[0] in "01" or rest[3] in "01":
+        if m["rest0"] and "(" not in text and text.count("-") < 2 and (rest[0] in "01" or rest[3] in "01"):
             return None
-        low[0] = low[3] = 2
-    new = f.digits([int(c) - a for c, a in zip(rest, low, strict=True)], [10 - a for a in low], f"phone{country}")
+        for i in (0, 3):
+            low[i], radices[i] = (0, 2) if rest[i] in "01" else (2, 8)
+    new = f.digits([int(c) - a for c, a in zip(rest, low, strict=True)], radices, f"phone{country}")
     return lead + _fill(text, "".join(str(v + a) for v, a in zip(new, low, strict=True)))
 
 
@@ -172,31 +178,43 @@ def email(f: Feistel, m: re.Match) -> str | None:
     return f"{''.join(out)}@{m['domain']}"
 
 
-_FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Days from 1900 to 2099, those up to the 12th of a month and the later ones.
+_DAYS: tuple[list[int], list[int]] = ([], [])
+for _day in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() + 1):
+    _DAYS[datetime.date.fromordinal(_day).day > 12].append(_day)
 
 
 def date(f: Feistel, m: re.Match) -> str | None:
-    """Days from 1900 to 2099 are permuted; year first, or day first with dots or slashes."""
+    """Days from 1900 to 2099 are permuted; year first, or day first with dots or slashes, or else month first.
+
+    Days up to the 12th and later ones are permuted each among themselves, so that month-first dates, whose day is above 12, stay readable as such.
+    """
     parts = re.split(r"(\D)", m[0])
-    y, mo, d = (parts[0], parts[2], parts[4]) if len(parts[0]) == 4 else (parts[4], parts[2], parts[0])
-    try:
-        day = datetime.date(int(y), int(mo), int(d)).toordinal()
-    except ValueError:
+    orders = ((0, 2, 4),) if len(parts[0]) == 4 else ((4, 2, 0), (4, 0, 2))
+    for order in orders:
+        try:
+            day = datetime.date(*(int(parts[i]) for i in order))
+        except ValueError:
+            continue
+        break
+    else:
         return None
-    if not _FIRST <= day <= _LAST:
+    if not 1900 <= day.year <= 2099:
         return None
-    new = datetime.date.fromordinal(_FIRST + f.permute(day - _FIRST, _LAST - _FIRST + 1, "date"))
-    ymd = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
-    a, b, c = ymd if len(parts[0]) == 4 else ymd[::-1]
-    return f"{a}{parts[1]}{b}{parts[3]}{c}"
+    days = _DAYS[day.day > 12]
+    new = datetime.date.fromordinal(days[f.permute(bisect.bisect_left(days, day.toordinal()), len(days), "date")])
+    for i, v in zip(order, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"), strict=True):
+        parts[i] = v
+    return "".join(parts)
 
 
 # Cards: one run of 13 to 19 digits, or groups as they are printed (four by four, or 4-6-5 and 4-6-4) with one separator throughout.
 CARD = re.compile(r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})(?![0-9])")
-# Phones: ten digits after +1, or groups of two digits and more after another country code.
+# Phones: ten digits after +1, or groups of two digits and more after another country code, or national groups of 3, 3 and 4 digits.
 PHONE = re.compile(
-    r"(?<![0-9+])(?P<lead>\+(?P<cc>1))(?P<rest>[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4})(?![0-9])"
+    r"(?<![0-9+])(?P<lead1>\+(?P<cc1>1))(?P<rest1>[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4})(?![0-9])"
     r"|(?<![0-9+])(?P<lead2>\+(?P<cc2>[2-9][0-9]{0,2}))(?P<rest2>[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{2,})(?:[\x20.-][0-9]{2,})*)(?![0-9])"
+    r"|(?<![0-9+])(?<![0-9][./-])(?P<lead0>(?:1[\x20.-])?)(?P<rest0>(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4})(?![0-9]|[./-][0-9])"
 )
 RULES: dict[str, tuple[re.Pattern, Callable[[Feistel, re.Match], str | None]]] = {
     "iban": (_iban_pattern(), iban),
