@@ -446,6 +446,17 @@ def test_month_first_dates():
     assert int(d) > 12
 
 
+def test_earlier_kinds_win_in_long_texts():
+    """Each value gets the pseudonym and kind it has on its own, however many others the text has."""
+    f = pii.Feistel(b"k" * 32)
+    mails = [f"+1202555{i:04d}@sms.example.com" for i in range(60)]
+    cards = [f"+49 {c}{pii.luhn_check_digit(c)}" for c in (f"4111222{i:05d}" for i in range(60))]
+    for sep in (" ; ", " "):
+        new, n = pii.pseudonymise(sep.join(mails + cards), f)
+        assert {k: v for k, v in n.items() if v} == {"email": 60, "card": 60}
+        assert new == sep.join(pii.pseudonymise(v, f)[0] for v in mails + cards)
+
+
 def test_pseudonyms_of_odd_rows(odd, nothing):
     rows = pii.pseudonymise_documents(odd.withColumn("n_card", F.lit("x")), "key").collect()
     assert len(rows) == 10

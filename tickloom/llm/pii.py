@@ -236,24 +236,28 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
     Numeric formats are tried only inside stretches of digits and the signs that
     join them, and addresses only around an ``@``. Earlier kinds win overlaps.
     """
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # sorted and apart
+
+    def place(m: re.Match) -> int | None:
+        """Where the match belongs in ``found``; None if it overlaps a value there."""
+        i = bisect.bisect_left(found, (m.end(),))
+        return None if i and found[i - 1][1] > m.start() else i
+
     at = text.find("@")
     while at >= 0:
         low = max(0, at - LONGEST_NAME)
         m = EMAIL.match(text, low + _NAME.search(text[low:at]).start())
-        if m and m.end("name") == at and (new := email(f, m)) is not None:
-            found.append((m.start(), m.end(), "email", new))
+        if m and m.end("name") == at and (i := place(m)) is not None and (new := email(f, m)) is not None:
+            found.insert(i, (m.start(), m.end(), "email", new))
         at = text.find("@", at + 1)
     for zone in _NUMERIC.finditer(text):
         for kind, (pattern, rule) in RULES.items():
             for m in pattern.finditer(text, max(0, zone.start() - 2), min(len(text), zone.end() + 2)):
-                if all(m.end() <= a or b <= m.start() for a, b, _, _ in found[-40:]) and (new := rule(f, m)) is not None:
-                    found.append((m.start(), m.end(), kind, new))
+                if (i := place(m)) is not None and (new := rule(f, m)) is not None:
+                    found.insert(i, (m.start(), m.end(), kind, new))
     counts = dict.fromkeys(KINDS, 0)
     out, done = [], 0
-    for a, b, kind, new in sorted(found):
-        if a < done:
-            continue
+    for a, b, kind, new in found:
         out += [text[done:a], new]
         counts[kind] += 1
         done = b
