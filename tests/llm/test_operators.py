@@ -106,6 +106,16 @@ def test_block_max_is_exact():
         assert np.allclose([dense[index.ids[p]] @ full for p in place], cosine, atol=1e-5)
 
 
+def test_toxicity_by_all_words(shared):
+    """Texts whose words are rare and used evenly still find the example they share words with."""
+    rows = [(i, f"plain{i} rare{i} thing{i}", i % 2) for i in range(60)]
+    docs = shared.createDataFrame([r[:2] for r in rows] + [(100 + i, f"rare{i} plain{i} zzz") for i in range(60)], "doc_id bigint, text string")
+    model = toxicity.fit_toxicity(docs, shared.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    got = {r.doc_id: r.evidence for r in toxicity.score_toxicity(docs, model).collect()}
+    assert [got[100 + i][0].doc_id for i in range(60)] == list(range(60))
+    assert all(e[0].cosine > e[1].cosine for e in got.values())
+
+
 def test_toxicity_of_odd_rows(shared, odd, nothing):
     labels = shared.createDataFrame([(1, 1), (3, 0), (5, 0), (5, 1), (8, None), (None, 1), (7, 0)], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(odd, labels)

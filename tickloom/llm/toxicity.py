@@ -1,13 +1,13 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings that the labelled examples use unevenly; all
-other words of a text together form one background term, so that a long clean
-text with a stray term stays far from a toxic one. The examples are held in a
-block-max inverted index: blocks of ``BLOCK`` examples with posting weights by
-term, and for each term the largest weight in each block. A query visits blocks
-by falling bound and stops when no block can reach its k-th neighbour any more,
-so its neighbours are exact. Their distance-weighted vote is calibrated on the
-examples themselves, each left out in turn.
+Terms are all words and word beginnings of the labelled examples, with document
+frequencies over all documents. A term's weight is its idf times a factor that
+grows with how unevenly the two classes use it (``BASE`` without evidence), as
+rare words that say nothing would outweigh the others. The examples are held in
+an inverted index: dense rows of weights for terms that many examples have, and
+sparse postings for all others. Every example is scored, so a query's neighbours
+are exact. Their distance-weighted vote is calibrated on the examples
+themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ from .words import slices
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
-BLOCK = 64
+#: Queries scored at once; a term that at least one in ``COMMON`` examples has is held as a dense row.
+BLOCK, COMMON = 64, 16
 WORDS_KEPT = 400_000
+#: Factor of a term that the classes use alike; evidence of ``SURE`` deviations adds 1.
+BASE, DOUBT, SURE = 0.1, 2.0, 8.0
 Vector = tuple[np.ndarray, np.ndarray]
 
 
@@ -38,76 +41,107 @@ def terms_of(word: str) -> list[str]:
 
 
 class Vectoriser:
-    """Sparse unit vectors: idf times the root of a term's share of the words, and the background last."""
+    """Sparse unit vectors: a term's weight times the root of its count.
 
-    def __init__(self, terms: list[str], idf: np.ndarray, background: float = 0.35):
-        self.ids, self.idf, self.background = {t: i for i, t in enumerate(terms)}, idf, background
-        self._words: dict[str, tuple[int, ...]] = {}
+    Terms that no example has count in a vector's length only, with the weight ``other``.
+    """
 
-    def __call__(self, text: str | None) -> Vector:
-        counts: Counter[int] = Counter()
-        n = matched = 0
+    def __init__(self, terms: list[str], weight: np.ndarray, other: float):
+        self.ids, self.weight, self.other = {t: i for i, t in enumerate(terms)}, weight, other
+        self._words: dict[str, tuple[int | str, ...]] = {}
+
+    def counts(self, text: str | None) -> Counter[int | str]:
+        """How often each term is used: numbers of the known ones, others as they are."""
+        counts: Counter[int | str] = Counter()
         for word, times in Counter(WORD.findall((text or "").lower())).items():
-            n += times
             ids = self._words.get(word)
             if ids is None:
                 if len(self._words) > WORDS_KEPT:
                     self._words.clear()
-                ids = tuple(i for t in terms_of(word) if (i := self.ids.get(t)) is not None)
+                ids = tuple(self.ids.get(t, t) for t in terms_of(word))
                 if len(word) <= 64:
                     self._words[word] = ids
-            if ids:
-                matched += times
-                for i in ids:
-                    counts[i] += times
-        cols = np.array([*sorted(counts), len(self.idf)])
-        share = np.array([counts[i] for i in cols[:-1].tolist()], np.float64) / max(n, 1)
-        values = np.append(self.idf[cols[:-1]] * np.sqrt(share), self.background * np.sqrt(max(n - matched, 1) / max(n, 1)))
-        return cols, (values / np.linalg.norm(values)).astype(np.float32)
+            for i in ids:
+                counts[i] += times
+        return counts
+
+    def __call__(self, text: str | None) -> Vector:
+        counts = self.counts(text)
+        known = [i for i in counts if type(i) is int]
+        others = sum(n for i, n in counts.items() if type(i) is str)
+        cols = np.array(known, np.int64)
+        cols.sort()
+        values = self.weight[cols] * np.sqrt(np.array([counts[i] for i in cols.tolist()], np.float64))
+        return cols, (values / max(np.sqrt(values @ values + self.other**2 * others), 1e-12)).astype(np.float32)
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
 
 
 @dataclass
 class BlockMaxIndex:
-    """Posting weights (blocks x terms x BLOCK) and their maxima (blocks x terms), with the examples' ids and labels."""
+    """Dense weights of common terms, postings of the others by term, and the examples' ids and labels.
 
-    weights: np.ndarray
-    most: np.ndarray
+    ``row`` is the dense row of each term, or -1; ``first`` its first posting, and one more entry.
+    """
+
+    place: np.ndarray
+    weight: np.ndarray
+    first: np.ndarray
+    row: np.ndarray
+    dense: np.ndarray
     ids: list[int]
     label: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[Vector], ids: list[int], label: list[int], width: int) -> BlockMaxIndex:
-        lead = [(int(c[np.argmax(v[:-1])]) if len(c) > 1 else -1, i) for (c, v), i in zip(vectors, ids, strict=True)]
-        order = sorted(range(len(ids)), key=lambda k: (lead[k], ids[k]))  # examples alike share blocks, so that bounds are tight
-        weights = np.zeros((-(-len(ids) // BLOCK), width, BLOCK), np.float32)
-        for at, k in enumerate(order):
-            weights[at // BLOCK, vectors[k][0], at % BLOCK] = vectors[k][1]
-        return cls(weights, weights.max(2), [ids[k] for k in order], np.array([label[k] for k in order]))
+        order = sorted(range(len(ids)), key=lambda k: ids[k])
+        term = np.concatenate([vectors[k][0] for k in order])
+        place = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
+        weight = np.concatenate([vectors[k][1] for k in order])
+        common = np.bincount(term, minlength=width) * COMMON >= len(order)
+        row = np.where(common, np.cumsum(common) - 1, -1)
+        dense = np.zeros((int(common.sum()), len(order)), np.float32)
+        often = common[term]
+        dense[row[term[often]], place[often]] = weight[often]
+        term, place, weight = term[~often], place[~often], weight[~often]
+        by_term = np.argsort(term, kind="stable")
+        return cls(place[by_term], weight[by_term], np.searchsorted(term[by_term], np.arange(width + 1)), row, dense, [ids[k] for k in order], np.array([label[k] for k in order]))
+
+    def cosines(self, queries: list[Vector]) -> np.ndarray:
+        """Of each query with each example."""
+        cols, values = (np.concatenate(x) for x in zip(*queries, strict=True))
+        of = np.repeat(np.arange(len(queries)), [len(c) for c, _ in queries])
+        row, n = self.row[cols], len(self.ids)
+        common = row >= 0
+        dense = np.zeros((len(queries), len(self.dense)), np.float32)
+        dense[of[common], row[common]] = values[common]
+        cols, values, of = cols[~common], values[~common], of[~common]
+        length = self.first[cols + 1] - self.first[cols]
+        at = _ranges(self.first[cols], length)
+        return dense @ self.dense + np.bincount(self.place[at] + np.repeat(of * n, length), self.weight[at] * np.repeat(values, length), len(queries) * n).reshape(len(queries), n)
+
+    def nearest_of(self, queries: list[Vector], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of each query's k nearest examples among those that share a term with it, ties by place."""
+        for a in range(0, len(queries), BLOCK):
+            for q, score in enumerate(self.cosines(queries[a : a + BLOCK]), a):
+                if leave_out is not None and leave_out[q] >= 0:
+                    score[leave_out[q]] = 0
+                top = np.argsort(-score, kind="stable")[:k]
+                top = top[score[top] > 0]
+                yield top, score[top].astype(np.float32)
 
     def nearest(self, query: Vector, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, ties by place."""
-        cols, values = query
-        bound = self.most[:, cols] @ values
-        best = np.full(k, -1.0, np.float32)
-        place = np.full(k, len(self.ids), np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] < best[-1] - 1e-6:
-                break
-            score = values @ self.weights[b][cols]
-            at = b * BLOCK + np.arange(BLOCK)
-            score[(at >= len(self.ids)) | (at == leave_out)] = -1.0
-            if score.max() < best[-1]:
-                continue
-            score, at = np.concatenate([best, score]), np.concatenate([place, at])
-            top = np.lexsort((at, -score))[:k]
-            best, place = score[top], at[top]
-        return place[best >= 0], best[best >= 0]
+        return next(self.nearest_of([query], k, [leave_out]))
 
 
 @dataclass
 class ToxicityModel:
     terms: list[str]
-    idf: np.ndarray
+    term_weight: np.ndarray
+    other: float  # weight of terms that no example has
     index: BlockMaxIndex | None
     weight: np.ndarray  # of a vote, by label: what an example stands for
     calibration: np.ndarray
@@ -120,9 +154,9 @@ class ToxicityModel:
         share = (yes + 0.02 * self.prior) / (float(vote.sum()) + 0.02)
         return np.array([1.0, np.log(share / (1 - share + 1e-9) + 1e-9), float(cosine.mean()) if len(cosine) else 0.0])
 
-    def score(self, query: Vector) -> tuple[float, np.ndarray, np.ndarray]:
-        place, cosine = self.index.nearest(query, self.k)
-        return float(1 / (1 + np.exp(-np.clip(self.features(place, cosine) @ self.calibration, -30, 30)))), place, cosine
+    def scores(self, queries: list[Vector]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for place, cosine in self.index.nearest_of(queries, self.k):
+            yield float(1 / (1 + np.exp(-np.clip(self.features(place, cosine) @ self.calibration, -30, 30)))), place, cosine
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +166,32 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "terms"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples_per_class: int = 1200, terms: int = 1024, k: int = 12) -> ToxicityModel:
+def _document_frequencies(docs: DataFrame, names: list[str]) -> np.ndarray:
+    """In how many texts each term is; tasks send one partial count of each."""
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Vectoriser(shared.value, np.zeros(0), 0.0)
+        n = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                for text in part.column(0).to_pylist():
+                    n[[i for i in terms.counts(text) if type(i) is int]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
+
+    found = map_arrow(docs, count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(names), np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples_per_class: int = 1200, k: int = 12) -> ToxicityModel:
     """Fit on at most ``examples_per_class`` labelled rows of each class, those with the smallest hash of the id.
 
     ``labels`` has the id and ``toxic``; null labels are left out and an id with
     both counts as toxic. Texts stay on the executors: the driver gets the
-    ``terms`` selected terms and one sparse vector over them for each example.
+    examples' terms and one sparse vector over them for each example.
     Without examples of both classes every score is the share of toxic labels.
     """
     truth = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -152,16 +206,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = materialise(texts.join(F.broadcast(chosen), "_id"), "labelled")
     counts = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
-        return ToxicityModel([], np.zeros(0), None, np.ones(2), np.zeros(3), prior, k)
+        return ToxicityModel([], np.zeros(0), 0.0, None, np.ones(2), np.zeros(3), prior, k)
     rows = map_arrow(sample.select("toxic", "text"), _term_rows, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
     n0, n1 = float(counts[0]), float(counts[1])
-    used = rows.groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")).where("n >= 4")
-    share = F.col("n") / (n0 + n1)
-    uneven = (F.col("n1") / n1 - (F.col("n") - F.col("n1")) / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-9)
-    picked = used.withColumn("z", uneven).where("abs(z) >= 3").orderBy(F.desc("z"), "term").limit(terms).select("term", "n").collect()
-    names, idf = [r[0] for r in picked], np.log((n0 + n1 + 1) / (np.array([r[1] for r in picked], float) + 1)) + 1
+    used = rows.groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")).toArrow().sort_by("term")
+    names, t1, t = used.column("term").to_pylist(), used.column("n1").to_numpy(), used.column("n").to_numpy()
+    share = t / (n0 + n1)
+    uneven = (t1 / n1 - (t - t1) / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-9)
+    factor = BASE + np.clip((np.abs(uneven) - DOUBT) / (SURE - DOUBT), 0, 1)
+    total_docs = texts.count()
+    term_weight = factor * (np.log((total_docs + 1) / (_document_frequencies(texts.select("text"), names) + 1)) + 1)
+    other = BASE * (float(np.log(total_docs + 1)) + 1)
     vectors, ids, label = [], [], []
-    shared = docs.sparkSession.sparkContext.broadcast((names, idf))
+    shared = docs.sparkSession.sparkContext.broadcast((names, term_weight, other))
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_vector = Vectoriser(*shared.value)
@@ -175,11 +232,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         vectors.append((np.array(c, np.int64), np.array(v, np.float32)))
         ids.append(i)
         label.append(y)
-    index = BlockMaxIndex.build(vectors, ids, label, len(names) + 1)
+    index = BlockMaxIndex.build(vectors, ids, label, len(names))
     weight = np.array([sizes.get(0, 0) / n0, sizes.get(1, 0) / n1])
-    model = ToxicityModel(names, idf, index, weight / weight.max(), np.zeros(3), prior, k)
+    model = ToxicityModel(names, term_weight, other, index, weight / weight.max(), np.zeros(3), prior, k)
     by_id = {(i, y): at for at, (i, y) in enumerate(zip(index.ids, index.label.tolist(), strict=True))}
-    x = np.array([model.features(*index.nearest(v, k, by_id[i, y])) for v, i, y in zip(vectors, ids, label, strict=True)])
+    x = np.array([model.features(*near) for near in index.nearest_of(vectors, k, [by_id[key] for key in zip(ids, label, strict=True)])])
     y, w = np.array(label, float), weight[np.array(label)]
     beta = np.zeros(3)
     for _ in range(30):  # Newton steps of a ridge logistic regression
@@ -194,38 +251,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", evidence: int = 3) -> DataFrame:
     """All columns of ``docs``, ``toxicity`` (0 to 1) and ``evidence``, without a shuffle.
 
-    Evidence is the nearest examples' id, label and cosine. Null and empty texts
-    are scored as texts without words. Input columns of these names are replaced.
+    Evidence is the nearest examples' id, label and cosine. Texts that share no
+    term with an example, such as null and empty ones, have none. Input columns of these names are replaced.
     """
     new = ("toxicity", "evidence")
     docs = without(docs, new)
     at = docs.columns.index(text_col)
     index = model.index
-    plain = (model.terms, model.idf, index and (index.weights, index.most, index.ids, index.label), model.weight, model.calibration, model.prior, model.k)
+    plain = (model.terms, model.term_weight, model.other, index and tuple(vars(index).values()), model.weight, model.calibration, model.prior, model.k)
     shared = docs.sparkSession.sparkContext.broadcast(plain)
     item = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, index, *rest = shared.value
-        model = ToxicityModel(terms, idf, index and BlockMaxIndex(*index), *rest)
-        to_vector, known = Vectoriser(terms, idf), {}
+        terms, term_weight, other, index, *rest = shared.value
+        model = ToxicityModel(terms, term_weight, other, index and BlockMaxIndex(*index), *rest)
+        to_vector = Vectoriser(terms, term_weight, other)
 
-        def score(text: str | None) -> tuple[float, list[dict]]:
+        def score(texts: list[str | None]) -> Iterator[tuple[float, list[dict]]]:
             if model.index is None:
-                return model.prior, []
-            query = to_vector(text)
-            key = None if len(query[0]) > 1 else 0  # texts of background alone have one vector
-            if key is None or key not in known:
-                p, place, cosine = model.score(query)
-                out = p, [{"doc_id": model.index.ids[i], "toxic": int(model.index.label[i]), "cosine": float(c)} for i, c in zip(place[:evidence].tolist(), cosine, strict=False)]
-                if key is None:
-                    return out
-                known[key] = out
-            return known[key]
+                yield from ((model.prior, []) for _ in texts)
+                return
+            for p, place, cosine in model.scores([to_vector(t) for t in texts]):
+                yield p, [{"doc_id": model.index.ids[i], "toxic": int(model.index.label[i]), "cosine": float(c)} for i, c in zip(place[:evidence].tolist(), cosine, strict=False)]
 
         for batch in batches:
             for part in slices(batch, at):
-                found = [score(t) for t in part.column(at).to_pylist()]
+                found = list(score(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for p, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(item))], [*part.schema.names, *new])
 
     schema = extended(docs.schema, "toxicity double, evidence array<struct<doc_id:bigint,toxic:int,cosine:float>>")
