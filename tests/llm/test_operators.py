@@ -311,6 +311,22 @@ def test_secrets(shared, odd, nothing):
     assert secrets.scan_secrets(nothing).count() == 0
 
 
+def test_keys_and_tokens_behind_false_ones():
+    import base64
+
+    def pem(name, body, head=""):
+        return f"-----BEGIN {name}PRIVATE KEY-----\n{head}{base64.b64encode(body).decode()}\n-----END {name}PRIVATE KEY-----".encode()
+
+    find, words_ = secrets.find_secrets, secrets.automaton()
+    lines = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n"
+    for key in (pem("OPENSSH ", b"openssh-key-v1\0none"), pem("RSA ", b"\x81\x02rest", lines), pem("RSA ", b"\x30\x02rest")):
+        assert [s for s in find(key, words_) if s[1] == 6] == [(0, 6, len(key))]
+    assert not [s for s in find(pem("RSA ", b"\x81\x02rest"), words_) if s[1] == 6]
+    real = b"eyJhbGciOiJIUzI1NiJ9.x.y"
+    text = b"eyJa.b." + real
+    assert [s for s in find(text, words_) if s[1] == 5] == [(7, 5, len(text))]
+
+
 # Decontamination
 
 

@@ -4,7 +4,8 @@ Base kinds are ``assign`` (a secret word, ``=`` or ``:`` and a value), ``access`
 (AKIA access ids) and ``hex`` (long lower-case hex runs). The further kinds carry
 their own proof: ``github`` and ``npm`` tokens end in a base-62 CRC-32 of their
 body, ``jwt`` headers must decode to JSON with an algorithm, ``pem`` bodies must
-be base64 that begins as a DER sequence.
+be base64 that begins as a DER sequence or an OpenSSH key, or be called encrypted
+by their header lines.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ PATTERNS = {
     "github": re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----"),
+    "pem": re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\s+((?:[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----"),
 }
 _BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
@@ -71,11 +72,13 @@ def _json_header(m: re.Match) -> bool:
         return False
 
 
-def _der(m: re.Match) -> bool:
+def _key_body(m: re.Match) -> bool:
+    """Base64 of a DER sequence or an OpenSSH key; what header lines call encrypted can begin with any byte."""
     try:
-        return base64.b64decode(b"".join(m[2].split()), validate=True)[:1] == b"\x30"
+        body = base64.b64decode(b"".join(m[3].split()), validate=True)
     except (ValueError, binascii.Error):
         return False
+    return body[:1] == b"\x30" or body.startswith(b"openssh-key-v1\0") or (len(body) > 0 and b"ENCRYPTED" in m[2])
 
 
 VALID = {
@@ -84,7 +87,7 @@ VALID = {
     "github": lambda m: base62_crc(m[0][4:34]) == m[0][34:].decode(),
     "npm": lambda m: base62_crc(m[0][4:34]) == m[0][34:].decode(),
     "jwt": _json_header,
-    "pem": _der,
+    "pem": _key_body,
 }
 
 
@@ -104,8 +107,10 @@ def find_secrets(text: bytes, keywords: ahocorasick.Automaton) -> list[tuple[int
     free = dict.fromkeys(KINDS, 0)
     for at, kind in hits:
         if at >= free[kind] and (m := PATTERNS[kind].match(text, at)):
-            free[kind] = m.end()
-            if VALID[kind](m):
+            valid = VALID[kind](m)
+            if valid or kind in BASE:
+                free[kind] = m.end()
+            if valid:
                 found.append((at, KINDS.index(kind), m.end()))
     return sorted(found)
 
