@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under TF-IDF cosine, weighted by class evidence.
 
 Terms are all words and word beginnings of the labelled examples, with document
 frequencies over all documents. A term's weight is its idf times a factor that
