@@ -34,6 +34,18 @@ def test_word_hashes(alphabet, monkeypatch):
         assert len(set(of.values())) == len(of)
 
 
+def test_words_of_two_letters_do_not_collide():
+    """Thue-Morse words and their complements, which defeat polynomials modulo a power of two."""
+    for n in (8, 64, 256, 1024, 2048, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        *hashes, _ = words.word_hashes(*words.text_view(pa.array([f"{word} {other} {word}"])), words.spaced(), 0, words.CONFIRM)
+        for h in hashes:
+            assert h[0] == h[2] != h[1]
+
+
 def test_slices_hold_whole_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (1, 5, 9, 2, 2, 30, 1)])], ["t"])
     parts = list(words.slices(batch, 0, 8))
@@ -215,7 +227,8 @@ def test_near_against_brute_force(shared, monkeypatch):
     texts = dict(enumerate(texts))
     docs = shared.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     want = jaccard_components(texts)
-    for size in (2_000_000, 900):  # in one block a group, and in many
+    for rows, size in ((256, 1_000_000), (256, 900), (3, 1_000_000)):  # in one block a group, and in many
+        monkeypatch.setattr(near, "BLOCK_ROWS", rows)
         monkeypatch.setattr(near, "BLOCK_SHINGLES", size)
         got = {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()}
         assert got == want
@@ -231,6 +244,37 @@ def test_near_odd_rows(odd, nothing):
     assert kept.count() == 9
 
 
+def test_near_of_long_words(shared):
+    """Texts whose words only differ as Thue-Morse words do aren't copies; a very long word is a word."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x y z {word}"), (4, f"{other} x y z {other}"), (5, "q" * 3_000_000), (6, "q" * 3_000_000), (7, "q" * 2_999_999 + "r")]
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(shared.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}
+
+
+def test_near_needs_integers(shared):
+    with pytest.raises(TypeError, match="integer"):
+        near.near_duplicates(shared.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize("n", [3, 4, 6, 8, 12, 16, 24, 25, 32, 64, 200])
+def test_recall_by_set_size(n):
+    """Pairs at the least similarity that links, with the smaller set of n shingles: certain up to 24, else all but a few in a million."""
+    rng = np.random.default_rng(n)
+    more = n // 3  # n common of n + more: as near to 0.75 as can be
+    trials = 4000 if n <= 24 else 1500
+    lost = 0
+    for _ in range(trials):
+        large = np.unique(rng.integers(0, 2**64, n + more, np.uint64))
+        small = np.sort(rng.permutation(large)[: len(large) - more])
+        keys = [set(near.buckets(near.signatures([s])).ravel().tolist()) | set(near.prefix_buckets(s).tolist()) for s in (large, small)]
+        lost += not keys[0] & keys[1]
+    assert lost == 0
+
+
 def test_densification_estimates_similarity():
     rng = np.random.default_rng(4)
     for n in (6, 40, 600):

@@ -6,18 +6,22 @@
    of a random probe sequence that depends on the bin alone.
 3. ``BANDS`` bands of ``ROWS`` bins are the buckets. Within a bucket, candidates
    are a star around its most central member, the one with the most bucket
-   mates; a family of copies so shares few centres. There are at most nodes x
-   BANDS star edges.
-4. The members of a centre meet once, with their whole texts, in groups that are
-   cut into blocks of bounded size, each with the centre. There, pairs that no
-   chain of links joins yet are compared, by sketches and then on the full sets;
-   links that join two parts are returned, fewer than the group has members.
-   Every two texts that share a bucket share its centre, so no bucket's pair goes
-   untested, and of a family only those members that are far from its centre
-   are compared with more than the centre.
-
-At similarity s a pair shares a bucket with probability 1 - (1 - s^4)^32, which
-is 0.999995 at 0.75.
+   mates; a family of copies so shares few centres. There are at most as many
+   star edges as bucket entries.
+4. Every member is compared with its centre on the full sets, in blocks of a
+   star's members, each with the centre: pairs and texts grow with the members.
+   Links so found make parts.
+5. Only stars that still have several parts go on: members outside the centre's
+   part are compared with each other and with the members inside it, in blocks of
+   bounded size, and only pairs whose parts differ; links that join two parts are
+   returned. Every two texts that share a bucket share its centre, so no bucket's
+   pair goes untested.
+
+At similarity s a pair shares a band with probability 1 - (1 - s^4)^32, which is
+0.999995 at 0.75, if its sets fill most bins. Small sets don't, so sets of at most
+``SMALL`` shingles have the shingles of their prefix as further buckets: of two
+linked sets, the smaller has three quarters of the larger's shingles, so that one
+of each set's smallest n - ceil(0.75 n) + 1 shingles is common to both.
 """
 
 from __future__ import annotations
@@ -27,33 +31,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._shared import discard, map_arrow, materialise, unused
 from .components import components
-from .words import mix, runs, slices, spaced, text_view, word_hashes
+from .words import CONFIRM, mix, runs, slices, spaced, text_view, word_hashes
 
 WORDS, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Bins (of 128) that two sketches must share. At a similarity of 0.75 they share 96 with a deviation of 4.9.
-SKETCH_LEAST = 70
-#: Shingles on one side of a block.
-BLOCK_SHINGLES = 2_000_000
+#: Sets with prefix buckets; all links of a set of up to three quarters of this size are found for certain.
+SMALL = 32
+#: Bins (of 128) that the sketches of sets of ``SKETCHED`` shingles and more must share. At a similarity of 0.75 they share 96 with a deviation of 4.9.
+SKETCH_LEAST, SKETCHED = 70, 64
+#: Members and shingles of one side of a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 _U = np.uint64
+Shingles = tuple[np.ndarray, np.ndarray]
 
 
-def shingle_sets(part: pa.RecordBatch, text: int, alphabet) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; the whole sequence as one if it has fewer words."""
-    words, first = word_hashes(*text_view(part.column(text)), alphabet)
-    all_runs = runs(words, WORDS)
+def shingle_sets(part: pa.RecordBatch, text: int, alphabet) -> Iterator[Shingles]:
+    """Distinct shingles of each text, sorted, under two hashes; the whole sequence as one if it has fewer words."""
+    *hashes, first = word_hashes(*text_view(part.column(text)), alphabet, 0, CONFIRM)
+    all_runs = [runs(words, WORDS) for words in hashes]
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        yield np.unique(all_runs[a : b - WORDS + 1]) if b - a >= WORDS else runs(words[a:b], b - a) if b > a else np.zeros(0, _U)
+        if b - a >= WORDS:
+            yield tuple(np.unique(r[a : b - WORDS + 1]) for r in all_runs)
+        else:
+            yield tuple(runs(words[a:b], b - a) if b > a else np.zeros(0, _U) for words in hashes)
 
 
-def fingerprint(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def size_of(shingles: Shingles) -> int:
+    """How many shingles; two that share one hash don't share the other."""
+    return max(map(len, shingles))
+
+
+def linked(s: Shingles, t: Shingles) -> bool:
+    """Whether the sets are near-duplicates under both hashes."""
+    for x, y in zip(s, t, strict=True):
+        if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+            return False
+        n = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * n < PERCENT * (len(x) + len(y) - n):
+            return False
+    return True
+
+
+def fingerprint(shingles: Shingles) -> bytes:
+    return hashlib.blake2b(b"".join(x.tobytes() for x in shingles), digest_size=16).digest()
+
+
+def prefix_buckets(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the smallest shingles, one of which any linked set has among its own smallest; none for large sets."""
+    n = len(shingles)
+    return mix(shingles[: n + PERCENT * n // -100 + 1] ^ _U(0x8EBC6AF09C88C6E3)) if n <= SMALL else np.zeros(0, _U)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -92,109 +125,146 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
             sets = list(shingle_sets(part, 1, alphabet))
-            sizes = np.array([len(s) for s in sets])
+            sizes = np.array([size_of(s) for s in sets])
             some = np.flatnonzero(sizes)
             print_, band, sketch = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if len(some):
-                signature = signatures([sets[i] for i in some])
-                keys, low = buckets(signature).view(np.int64), (mix(signature) >> _U(56)).astype(np.uint8)
+                signature = signatures([sets[i][0] for i in some])
+                keys, low = buckets(signature), (mix(signature) >> _U(56)).astype(np.uint8)
                 for k, i in enumerate(some.tolist()):
-                    print_[i], band[i], sketch[i] = fingerprint(sets[i]), keys[k], low[k].tobytes()
+                    print_[i], sketch[i] = fingerprint(sets[i]), low[k].tobytes()
+                    band[i] = np.concatenate([keys[k], prefix_buckets(sets[i][0])]).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(print_, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
 
-def _links_of_group(ids: list[int], sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links between members that join separate parts.
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    Sides are 0 and 1 for the members of two blocks, all 0 for those of one, and
-    2 for the centre, which comes first and is in every group. It is compared
-    with all others, so that members near it are one part at once; then each
-    member with those in other parts (on the other side, if there are two), the
-    likeliest first. The centre's own links are returned by groups of one block.
-    """
-    part, out = np.arange(len(ids)), []
-    crossing = bool((side == 1).any())
-    for x in range(len(ids) - 1):
+
+def _link_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of members with their centre, which comes first in its block: columns centre, k, id, node, text."""
+    alphabet = spaced()
+    key, middle = None, None
+    for batch in batches:
+        found = []
+        for part in slices(batch, 4):
+            rows = zip(*(part.column(c).to_pylist() for c in range(4)), shingle_sets(part, 4, alphabet), strict=True)
+            for centre, k, id_, node, shingles in rows:
+                if (centre, k) != key:
+                    key, middle = (centre, k), None
+                if fingerprint(shingles) != node:  # another row with the same id
+                    continue
+                if id_ == centre:
+                    middle = shingles
+                elif middle is not None and linked(middle, shingles):
+                    found.append((centre, id_))
+        yield _pairs(found)
+
+
+def _links_of_block(parts: list[int], sets: list[Shingles], sketches: np.ndarray, side: np.ndarray, crossing: bool) -> list[tuple[int, int]]:
+    """Pairs of parts that a link joins; only across the sides, if crossing. Likely pairs are compared first."""
+    names, part = np.unique(np.array(parts), return_inverse=True)
+    own, sizes, out = names[part], np.array([size_of(s) for s in sets]), []
+    for x in range(len(sets) - 1):
         rest = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
-        if crossing and side[x] != 2:
+        if crossing:
             rest = rest[side[rest] != side[x]]
         if not len(rest):
             continue
         alike = (sketches[rest] == sketches[x]).sum(1)
-        rest, alike = rest[alike >= SKETCH_LEAST], alike[alike >= SKETCH_LEAST]
+        likely = (alike >= SKETCH_LEAST) | (np.minimum(sizes[rest], sizes[x]) < SKETCHED)
+        rest, alike = rest[likely], alike[likely]
         for y in rest[np.argsort(-alike, kind="stable")].tolist():
-            if part[y] == part[x]:
-                continue
-            s, t = sets[x], sets[y]
-            n = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * n >= PERCENT * (len(s) + len(t) - n):
-                if not (crossing and side[x] == 2):
-                    out.append((ids[x], ids[y]))
+            if part[y] != part[x] and linked(sets[x], sets[y]):
+                out.append((int(own[x]), int(own[y])))
                 part[part == part[y]] = part[x]
     return out
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of groups that come one after another: columns centre, i, j, side, id, node, sketch, text."""
+def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between parts, of blocks that come one after another: columns centre, i, j, side, part, node, sketch, text."""
     alphabet = spaced()
-    key, ids, sets, sketches, side = None, [], [], [], []
+    key, parts, sets, sketches, side = None, [], [], [], []
 
     def close() -> list[tuple[int, int]]:
-        if len(ids) < 2:
+        if len(parts) < 2:
             return []
-        return _links_of_group(ids, sets, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), np.array(side))
+        return _links_of_block(parts, sets, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), np.array(side), key[1] != key[2])
 
     for batch in batches:
         found = []
         for part in slices(batch, 7):
-            texts = list(shingle_sets(part, 7, alphabet))
-            rows = zip(*(part.column(c).to_pylist() for c in range(7)), texts, strict=True)
-            for centre, i, j, of, id_, node, sketch, shingles in rows:
+            rows = zip(*(part.column(c).to_pylist() for c in range(7)), shingle_sets(part, 7, alphabet), strict=True)
+            for centre, i, j, of, name, node, sketch, shingles in rows:
                 if (centre, i, j) != key:
                     found += close()
-                    key, ids, sets, sketches, side = (centre, i, j), [], [], [], []
+                    key, parts, sets, sketches, side = (centre, i, j), [], [], [], []
                 if fingerprint(shingles) == node:  # else another row with the same id
-                    ids.append(id_)
+                    parts.append(name)
                     sets.append(shingles)
                     sketches.append(sketch)
                     side.append(of)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-    found = close()
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        yield _pairs(found)
+    yield _pairs(close())
 
 
 def star_members(nodes: DataFrame) -> DataFrame:
     """Distinct ``centre, id`` of all buckets with two or more nodes; a centre is a member of its own star.
 
-    Bucket sizes and centres are aggregates that are joined back to plain
-    exchanges, so that a hot bucket can be split.
+    Bucket sizes and centres are written before they are joined back, so that both
+    sides of each join are plain exchanges and a hot bucket can be split.
     """
     rows = nodes.select("id", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     held = materialise(rows.join(sizes, "bucket"), "buckets")
-    mates = held.groupBy("id").agg(F.sum("size").alias("mates"))
-    centres = held.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("minus"))).alias("_c")).select("bucket", (-F.col("_c.minus")).alias("centre"))
+    mates = materialise(held.groupBy("id").agg(F.sum("size").alias("mates")), "mates")
+    centres = materialise(held.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("minus"))).alias("_c")).select("bucket", (-F.col("_c.minus")).alias("centre")), "centres")
     out = materialise(held.select("bucket", "id").join(centres, "bucket").select("centre", "id").distinct(), "stars")
-    discard(held)
+    for done in (sizes, held, mates, centres):
+        discard(done)
     return out
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a, b`` that join all near-duplicates: a spanning set of them, not all."""
-    members = star_members(nodes)
-    stars = materialise(members.join(nodes.select("id", "node", "sketch", "n_shingles"), "id"), "sized")
-    blocks = materialise(stars.groupBy("centre").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n")), "blocks")
-    placed = stars.join(blocks, "centre").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    own = "transform(sequence(0, n - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"
-    every = "flatten(transform(sequence(0, n - 1), x -> transform(sequence(x, n - 1), y -> struct(x as i, y as j, 2 as side))))"
-    grid = F.explode(F.expr(f"if(id = centre, {every}, {own})"))
-    dealt = placed.select("centre", "id", "node", "sketch", grid.alias("g")).select("centre", "g.*", "id", "node", "sketch")
-    full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("centre", "i", "j", "side", "id", "node", "sketch", "text")
-    order = ["centre", "i", "j", F.expr("id <> centre"), "id"]
-    found = materialise(map_arrow(full.repartition("centre", "i", "j").sortWithinPartitions(*order), _link, "a bigint, b bigint"), "links")
-    for done in (members, stars, blocks):
-        discard(done)
-    return found
+def _blocks(which: str = "true") -> Column:
+    """How many blocks the rows that fulfil a condition need; 0 without rows."""
+    return F.expr(f"cast(ceil(greatest(count_if({which}) / {BLOCK_ROWS}, coalesce(sum(if({which}, n_shingles, 0)), 0) / {BLOCK_SHINGLES})) as int)")
+
+
+def centre_links(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` of centres with members of their stars."""
+    blocks = materialise(stars.groupBy("centre").agg(_blocks().alias("n")), "blocks")
+    at = F.expr("if(id = centre, sequence(0, n - 1), array(cast(pmod(xxhash64(id), n) as int)))")
+    dealt = stars.join(blocks, "centre").select("centre", F.explode(at).alias("k"), "id", "node")
+    full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("centre", "k", "id", "node", "text")
+    sorted_ = full.repartition("centre", "k").sortWithinPartitions("centre", "k", F.expr("id <> centre"), "id")
+    out = materialise(map_arrow(sorted_, _link_centres, "a bigint, b bigint"), "links")
+    discard(blocks)
+    return out
+
+
+def part_links(stars: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` between parts of a star that ``labels(id, component)`` leave apart; parts are named by their component.
+
+    Far members, which are not in the centre's part, are cut into blocks of their
+    own and meet each other (block i with block j) and the near ones (blocks
+    counted on after the far ones).
+    """
+    part = stars.where("id <> centre").join(labels, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    mid = part.join(labels.select(F.col("id").alias("centre"), "component"), "centre", "left")
+    rows = materialise(mid.select("centre", "id", "node", "n_shingles", "part", (F.col("part") != F.coalesce("component", "centre")).alias("far")), "parts")
+    counts = rows.groupBy("centre").agg(_blocks("far").alias("nf"), _blocks("not far").alias("nn"), F.count(F.lit(1)).alias("n"))
+    open_ = materialise(counts.where("nf > 0 and n > 1").select("centre", "nf", "nn"), "open")
+    placed = rows.join(open_, "centre").withColumn("k", F.expr("cast(if(far, pmod(xxhash64(id), nf), pmod(xxhash64(id), nn)) as int)"))
+    among = "transform(sequence(0, nf - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"
+    over = "if(nn = 0, array(), transform(sequence(nf, nf + nn - 1), x -> struct(k as i, x as j, 0 as side)))"
+    under = "transform(sequence(0, nf - 1), x -> struct(x as i, nf + k as j, 1 as side))"
+    grid = F.explode(F.expr(f"if(far, concat({among}, {over}), {under})"))
+    dealt = placed.select("centre", grid.alias("g"), "part", "id", "node").select("centre", "g.*", "part", "id", "node").join(nodes.select("id", "node", "sketch"), ["id", "node"])
+    full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("centre", "i", "j", "side", "part", "node", "sketch", "text")
+    out = materialise(map_arrow(full.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "part"), _link_parts, "a bigint, b bigint"), "links")
+    discard(rows)
+    discard(open_)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,25 +272,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked when their shingle sets' similarity is 0.75 or more
     (100 * intersection >= 75 * union). Returns one row per input row: ``doc_id,
-    n_shingles, component_id, kept``. Null, empty and blank texts have an empty
+    n_shingles, component_id, kept``. Ids are integers; others are an error.
+    Null, empty and blank texts have an empty
     set and link with nothing; a null id links with nothing, has a null
     component and is kept; rows that repeat an id are one document. Ties go to
-    the smallest id. Other columns are ignored; an empty table gives an empty
-    result. Sets are compared by 64-bit hashes of their shingles.
+    the smallest id. Very long texts are whole sets like others; a batch holds
+    one at least. Other columns are ignored; an empty table gives an empty
+    result. Links are confirmed on the full sets under two 64-bit hashes.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {docs.schema[id_col].dataType.simpleString()}")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(map_arrow(texts, _sign, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch binary"), "signed")
     usable = signed.where("node is not null and doc_id is not null")
     first = materialise(usable.groupBy("node").agg(F.min("doc_id").alias("id")), "first")  # so that both sides of its joins are plain exchanges and a hot node can be split
     members = materialise(signed.select("doc_id", "n_shingles", "node").join(first, "node", "left").select("doc_id", "n_shingles", "id"), "members")
-    nodes = materialise(usable.join(first.select("node", F.col("id").alias("doc_id")), ["node", "doc_id"]).select(F.col("doc_id").alias("id"), "node", "n_shingles", "bands", "sketch"), "nodes")
+    nodes = materialise(usable.join(first.select("node", F.col("id").alias("doc_id")), ["node", "doc_id"]).select(F.col("doc_id").alias("id"), "node", "n_shingles", "bands", "sketch").dropDuplicates(["id", "node"]), "nodes")
     discard(signed)
     discard(first)
-    found = links(nodes, texts)
-    discard(nodes)
+    pairs = star_members(nodes)
+    stars = materialise(pairs.join(nodes.select("id", "node", "n_shingles"), "id"), "stars")
+    discard(pairs)
+    found = centre_links(stars, texts)
     labels = components(found)
     discard(found)
-    joined = members.join(labels, "id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")))
+    found = part_links(stars, labels, nodes, texts)
+    joins = components(found).select(F.col("id").alias("part"), F.col("component").alias("whole"))
+    for done in (found, stars, nodes):
+        discard(done)
+    placed = members.join(labels, "id", "left").withColumn("part", F.coalesce("component", "id")).join(joins, "part", "left")
+    joined = placed.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("whole", "part", "doc_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -1,13 +1,15 @@
 """Vectorised word hashes over Arrow text, without a Python object per word.
 
-A word's hash is a polynomial over random 64-bit byte values modulo 2**64, taken
-from one running sum per block of bytes, then mixed. Separators are ASCII, so
-splitting bytes and splitting characters agree in UTF-8. Two different words
-share a hash with a chance near 2**-60.
+A word's hash chains a 64-bit finaliser over its bytes, eight at a time, and its
+length; of a word of more than ``LONG`` bytes it is BLAKE2 of the bytes. Separators
+are ASCII, so splitting bytes and splitting characters agree in UTF-8. Two seeds
+give hashes that are independent of each other: one for searching, the other to
+confirm what was found, so that a false result takes 128 equal bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +18,10 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 18
 SLICE_BYTES = 1 << 21
+LONG = 256
+#: The seed of the second hash.
+CONFIRM = 0x5851F42D4C957F2D
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15
-_INVERSE = pow(_P, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,26 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Alphabet:
-    """Which bytes make words, and the value of each; A to Z count as a to z."""
+    """Which bytes make words; A to Z count as a to z."""
 
     def __init__(self, is_word: np.ndarray):
         self.is_word = is_word
-        values = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
-        values[65:91] = values[97:123]
-        self.values = np.where(is_word, values, _U(0))
-        self._size, self._up, self._down = 0, None, None
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self._size:
-            self._size, self._up, self._down = n, _powers(_P, n), _powers(_INVERSE, n)
-        return self._up, self._down
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] = self.lower[97:123]
 
 
 def spaced() -> Alphabet:
@@ -93,10 +83,33 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         start = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the index of its first (one more entry than texts)."""
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each range of lower-cased bytes; a word costs a step for every eight of its bytes."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    chunks = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, 0, (1,))  # the eight bytes from each position
+    out = mix(size.astype(_U) * _U(0xA0761D6478BD642F) + _U(seed))
+    live = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(live):
+        rest = np.minimum(size[live] - at, 8).astype(_U)
+        chunk = chunks[starts[live] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - (rest << _U(3))))
+        out[live] = mix((out[live] ^ chunk) * _U(0xE7037ED1A0B428DB) + _U(seed))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return np.maximum(out, _U(1))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet, *seeds: int) -> tuple[np.ndarray, ...]:
+    """Hashes of all words in order, by seed, and for each text the index of its first word (one more entry than texts).
+
+    No hash is 0.
+    """
     lo, end = int(offsets[0]), int(offsets[-1])
-    hashes, starts = [], []
+    seeds = seeds or (0,)
+    hashes, starts = [[] for _ in seeds], []
     while lo < end:
         size = BLOCK
         while True:  # the block must end between words
@@ -120,16 +133,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> tu
         after[:n], after[n] = inside, False
         s = np.flatnonzero(after & (~before | fresh))
         e = np.flatnonzero(before & (~after | fresh))
-        up, down = alphabet.powers(n + 1)
-        sums = np.empty(n + 1, _U)
-        sums[0] = 0
-        np.cumsum(alphabet.values[data[lo:hi]] * up[:n], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(_U) * _U(0xA0761D6478BD642F)))
+        low = alphabet.lower[data[lo:hi]]
+        for out, seed in zip(hashes, seeds, strict=True):
+            out.append(_hash(low, s, e, seed))
         starts.append(s + lo)
         lo = hi
-    if not hashes:
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    if not starts:
+        return *(np.zeros(0, _U) for _ in seeds), np.zeros(len(offsets), np.int64)
+    return *(np.concatenate(h) for h in hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 _STEP = mix(np.arange(1, 65, dtype=_U) * _U(0xE7037ED1A0B428DB)) | _U(1)
