@@ -1,9 +1,11 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-Each shard (a slice of a partition) gets a sparse suffix array: those word
-suffixes that begin with a word pair of the benchmark, in lexicographic order of
-their words' hashes. Suffixes left out can't match any window. Every benchmark
-suffix is then found by binary search, word by word, for all suffixes at once.
+Each shard (a slice of a partition) gets the suffix array of all its word
+suffixes, by prefix doubling over the words' hashes; a suffix ends with its text.
+Every benchmark suffix is then found by binary search, word by word, for all
+suffixes at once. A match that is a whole window is confirmed under a second hash
+of the words, and grown from there to the longest verbatim match. The benchmark
+comes in blocks; a worker holds one block at a time.
 """
 
 from __future__ import annotations
@@ -18,162 +20,223 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import extended, map_arrow, unused, without
-from .words import alphanumeric, runs, slices, text_view, word_hashes
+from .words import CONFIRM, alphanumeric, slices, text_view, word_hashes
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 _U = np.uint64
 
 
 @dataclass
 class TestSuffixes:
-    """A block of benchmark suffixes, one for each window: words, length, item and place in it."""
+    """The words of a block of benchmark pieces, one after another, and where each one's suffixes are to be searched.
+
+    ``start`` is a suffix's place among the words, ``length`` the words of its
+    window, ``last`` the end of its piece; suffixes are sorted by their words.
+    ``offset`` is where a piece begins in its item.
+    """
 
     __test__ = False
-    words: np.ndarray  # suffixes x WINDOW, zero beyond the length
-    length: np.ndarray
-    item: np.ndarray
+    words: np.ndarray
+    confirm: np.ndarray
     start: np.ndarray
+    length: np.ndarray
+    last: np.ndarray
+    piece: np.ndarray
+    first: np.ndarray
+    offset: list[int]
     names: list[str]
-    lead: int
-    leads: np.ndarray  # sorted hashes of the first ``lead`` words
-    table: np.ndarray  # whether a hash with these top bits is among them
-
-
-def _block(texts: list[str], names: list[str]) -> TestSuffixes | None:
-    column = pa.array(texts, pa.large_string())
-    words, first = word_hashes(*text_view(column), alphanumeric())
-    rows, length, item, start = [], [], [], []
-    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        size = min(WINDOW, b - a)
-        if not size:
-            continue
-        own = np.lib.stride_tricks.sliding_window_view(words[a:b], size)
-        full = np.zeros((len(own), WINDOW), _U)
-        full[:, :size] = own
-        rows.append(full)
-        length += [size] * len(own)
-        item += [i] * len(own)
-        start += range(len(own))
-    if not rows:
+
+
+def _block(texts: list[str], names: list[str], offset: list[int]) -> TestSuffixes | None:
+    words, confirm, first = word_hashes(*text_view(pa.array(texts, pa.large_string())), alphanumeric(), 0, CONFIRM)
+    sizes = np.diff(first)
+    window = np.minimum(sizes, WINDOW)
+    many = np.where(window > 0, sizes - window + 1, 0)
+    piece = np.repeat(np.arange(len(sizes)), many)
+    if not len(piece):
         return None
-    keys, lead = np.concatenate(rows), min(2, min(length))
-    leads = np.unique(runs(keys[:, :lead].ravel(), lead)[::lead] if lead > 1 else keys[:, 0])
-    table = np.zeros(1 << 20, bool)
-    table[(leads >> _U(44)).astype(np.int64)] = True
-    return TestSuffixes(keys, np.array(length), np.array(item), np.array(start), names, lead, leads, table)
+    start = first[:-1][piece] + np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
+    order = np.argsort(words[start], kind="stable")
+    piece, start = piece[order], start[order]
+    return TestSuffixes(words, confirm, start, window[piece], first[1:][piece], piece, first[:-1], offset, names)
+
+
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """A text in pieces of at most about ``BLOCK_WORDS`` words and the word at which each begins.
+
+    Pieces overlap by a window less one word, so that each window is whole in one.
+    """
+    if len(text) <= 2 * BLOCK_WORDS:
+        yield 0, text
+        return
+    data, offsets = text_view(pa.array([text], pa.large_string()))
+    alphabet = alphanumeric()
+    inside = alphabet.is_word[data[offsets[0] : offsets[1]]]
+    begins = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    raw = data[offsets[0] : offsets[1]].tobytes()
+    for a in range(0, max(1, len(begins) - WINDOW + 1), BLOCK_WORDS):
+        b = a + BLOCK_WORDS + WINDOW - 1
+        yield a, raw[begins[a] if len(begins) else 0 : begins[b] if b < len(begins) else len(raw)].decode()
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
     """Broadcast the benchmark's suffixes in blocks of at most about ``BLOCK_WORDS`` words.
 
-    Items stream to the driver one partition at a time; a block is at most some
-    200 MB however large the benchmark, and executors hold one block at a time.
+    Items stream to the driver one partition at a time, long ones in pieces, so a
+    block is bounded however large the benchmark or an item is. Blocks lie on the
+    disks of driver and executors; see ``_loaded`` for what workers hold.
     """
-    spark, out, texts, names, size = benchmark.sparkSession, [], [], [], 0
+    spark, out, texts, names, starts, size = benchmark.sparkSession, [], [], [], [], 0
 
     def close() -> None:
-        if texts and (block := _block(texts, names)):
+        if texts and (block := _block(texts, names, starts)):
             out.append(spark.sparkContext.broadcast(block))
 
     for row in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
-        names.append(row[0])
-        texts.append(row[1])
-        size += len(row[1]) // 2 + 1
-        if size > BLOCK_WORDS:
-            close()
-            texts, names, size = [], [], 0
+        for at, piece in _pieces(row[1]):
+            names.append(row[0])
+            texts.append(piece)
+            starts.append(at)
+            size += len(piece) // 2 + 1
+            if size > BLOCK_WORDS:
+                close()
+                texts, names, starts, size = [], [], [], 0
     close()
     return out
 
 
-def sparse_suffix_array(words: np.ndarray, last: np.ndarray, block: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the indexed suffixes in lexicographic order, and their first words (positions x WINDOW, zero beyond the text)."""
-    leads = words if block.lead == 1 else runs(words, 2)
-    at = np.flatnonzero(block.table[(leads >> _U(44)).astype(np.int64)])
-    near = np.searchsorted(block.leads, leads[at])
-    at = at[(near < len(block.leads)) & (block.leads[np.minimum(near, len(block.leads) - 1)] == leads[at])]
-    at = at[at + block.lead <= last[at]]
-    keys = np.zeros((WINDOW, len(at)), _U)
-    for k in range(WINDOW):
-        inside = at + k < last[at]
-        keys[k, inside] = words[at[inside] + k]
-    order = np.lexsort(keys[::-1])
-    return at[order], keys[:, order]
-
-
-def search(keys: np.ndarray, block: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matching test suffixes, and the range of the suffix array that each matches over its whole window."""
-    n = keys.shape[1]
-    live = np.arange(len(block.length))
-    lo, hi = np.zeros(len(live), np.int64), np.full(len(live), n, np.int64)
+def _loaded(blocks: list[Broadcast]) -> Iterator[TestSuffixes]:
+    """The blocks one after another. One alone stays in the worker; of several, each is read from the executor's disk again and let go."""
+    if len(blocks) == 1:
+        yield blocks[0].value
+        return
+    for shared in blocks:
+        yield shared.load_from_path(shared._path)
+
+
+def suffix_array(words: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All positions, sorted by their suffixes; equal suffixes of different texts by position.
+
+    ``last`` is the end of the text of each position; the end sorts before any
+    word. Prefix doubling: in each round only suffixes that share their first k
+    words with another one are sorted again, by the next k.
+    """
+    n = len(words)
+    order = np.argsort(words, kind="stable")
+    if not n:
+        return order
+    ordered = words[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+    single = new & np.r_[new[1:], True]
+    slots = np.flatnonzero(~single)
+    longest = int((last - np.arange(n)).max())
+    k = 1
+    while len(slots) and k < longest:
+        at = order[slots]
+        after = np.minimum(at + k, n - 1)
+        key = rank[at] * (n + 1) + np.where(at + k < last[at], rank[after], 0)
+        by = np.argsort(key, kind="stable")
+        key, at = key[by], at[by]
+        order[slots] = at
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[at] = slots[np.flatnonzero(new)[np.cumsum(new) - 1]] + 1
+        slots = slots[~(new & np.r_[new[1:], True])]
+        k *= 2
+    return order
+
+
+def search(words: np.ndarray, last: np.ndarray, array: np.ndarray, block: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Test suffixes whose whole window occurs, and the range of the suffix array in which it does."""
+    heads = words[array]
+    want = block.words[block.start]
+    lo, hi = np.searchsorted(heads, want, "left"), np.searchsorted(heads, want, "right")
+    live = np.flatnonzero(lo < hi)
+    lo, hi = lo[live], hi[live]
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def bound(column: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
+    def bound(k: int, low: np.ndarray, high: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
         low, high = low.copy(), high.copy()
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            mid = (low + high) >> 1
-            value = column[np.minimum(mid, n - 1)]
-            less = (value <= want) if right else (value < want)
-            low = np.where(open_ & less, mid + 1, low)
-            high = np.where(open_ & ~less, mid, high)
-
-    for k in range(WINDOW):
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) >> 1
+            at = array[mid]
+            value = np.where(at + k < last[at], words[np.minimum(at + k, len(words) - 1)], _U(0))
+            less = (value <= want[open_]) if right else (value < want[open_])
+            low[open_[less]] = mid[less] + 1
+            high[open_[~less]] = mid[~less]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    for k in range(1, WINDOW + 1):
+        whole = block.length[live] == k
+        done.append((live[whole], lo[whole], hi[whole]))
+        live, lo, hi = live[~whole], lo[~whole], hi[~whole]
         if not len(live):
             break
-        want = block.words[live, k]
-        lo, hi = bound(keys[k], lo, hi, want, False), bound(keys[k], lo, hi, want, True)
+        want = block.words[block.start[live] + k]
+        lo, hi = bound(k, lo, hi, want, False), bound(k, lo, hi, want, True)
         some = lo < hi
         live, lo, hi = live[some], lo[some], hi[some]
-        whole = block.length[live] == k + 1
-        done.append((live[whole], lo[whole], hi[whole]))
-        live, lo, hi = live[~whole], lo[~whole], hi[~whole]
-    if not done:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
-    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (live, lo, hi)
+
 
+def occurrences(array: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each test suffix with each position that its range holds."""
+    sizes = hi - lo
+    return np.repeat(which, sizes), array[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)]
 
-def _longest(doc_pos: np.ndarray, item: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Maximal matches (position, item, place in item, words): windows that follow each other in both texts are joined."""
-    order = np.lexsort((doc_pos, doc_pos - start, item))
-    p, i, s, n = doc_pos[order], item[order], start[order], length[order]
-    new = np.r_[True, (i[1:] != i[:-1]) | (p[1:] - s[1:] != p[:-1] - s[:-1]) | (p[1:] != p[:-1] + 1)]
-    heads = np.flatnonzero(new)
-    tails = np.r_[heads[1:], len(p)] - 1
-    return list(zip(p[heads].tolist(), i[heads].tolist(), s[heads].tolist(), (p[tails] - p[heads] + n[tails]).tolist(), strict=True))
+
+def grown(confirm: np.ndarray, first: np.ndarray, last: np.ndarray, block: TestSuffixes, suffix: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest matches: those that begin where the words before differ, or a text begins, with their lengths."""
+    at = block.start[suffix]
+    inside = (pos > first[pos]) & (at > block.first[block.piece[suffix]])
+    head = ~(inside & (confirm[np.maximum(pos - 1, 0)] == block.confirm[np.maximum(at - 1, 0)]))
+    suffix, pos, at = suffix[head], pos[head], at[head]
+    length = block.length[suffix].copy()
+    room = np.minimum(last[pos] - pos, block.last[suffix] - at)
+    live = np.flatnonzero(length < room)
+    while len(live):
+        same = confirm[pos[live] + length[live]] == block.confirm[at[live] + length[live]]
+        live = live[same]
+        length[live] += 1
+        live = live[length[live] < room[live]]
+    return suffix, pos, length
 
 
 def _scan(part: pa.RecordBatch, text: int, blocks: list[Broadcast], alphabet) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[dict]]]:
-    words, first = word_hashes(*text_view(part.column(text)), alphabet)
+    data, at = text_view(part.column(text))
+    words, bounds = word_hashes(data, at, alphabet)
     n, docs = len(words), part.num_rows
-    doc_of = np.repeat(np.arange(docs), np.diff(first))
-    last = first[1:][doc_of]
+    doc_of = np.repeat(np.arange(docs), np.diff(bounds))
+    first, last = bounds[:-1][doc_of], bounds[1:][doc_of]
     edge = np.zeros(n + 1, np.int64)
     items: list[set[str]] = [set() for _ in range(docs)]
     matches: list[list[dict]] = [[] for _ in range(docs)]
-    for shared in blocks if n else []:
-        block = shared.value
-        at, keys = sparse_suffix_array(words, last, block)
-        if not len(at):
-            continue
-        which, lo, hi = search(keys, block)
-        if not len(which):
+    array = suffix_array(words, last) if blocks and n else None
+    confirm = None
+    for block in _loaded(blocks) if n else ():
+        suffix, pos = occurrences(array, *search(words, last, array, block))
+        if not len(pos):
             continue
-        sizes = hi - lo
-        suffix = np.repeat(which, sizes)
-        pos = at[np.arange(len(suffix)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)]
-        length = block.length[suffix]
+        if confirm is None:
+            confirm, _ = word_hashes(data, at, alphabet, CONFIRM)
+        same, length = np.ones(len(pos), bool), block.length[suffix]
+        for k in range(WINDOW):
+            inside = k < length
+            same[inside] &= confirm[pos[inside] + k] == block.confirm[block.start[suffix[inside]] + k]
+        suffix, pos, length = suffix[same], pos[same], length[same]
         edge += np.bincount(pos, minlength=n + 1) - np.bincount(pos + length, minlength=n + 1)
-        for p, i, s, k in _longest(pos, block.item[suffix], block.start[suffix], length):
-            d = int(doc_of[p])
+        piece = block.piece[suffix]
+        for d, i in np.unique(np.stack([doc_of[pos], piece]), axis=1).T.tolist():
             items[d].add(block.names[i])
-            matches[d].append({"item_id": block.names[i], "doc_start": p - int(first[d]), "item_start": s, "words": k})
+        for s, p, size in zip(*(x.tolist() for x in grown(confirm, first, last, block, suffix, pos)), strict=True):
+            i = int(block.piece[s])
+            matches[int(doc_of[p])].append({"item_id": block.names[i], "doc_start": p - int(first[p]), "item_start": int(block.start[s] - block.first[i]) + block.offset[i], "words": size})
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:n]) > 0)])
-    return np.diff(first), hit[first[1:]] - hit[first[:-1]], [sorted(x) for x in items], matches
+    return np.diff(bounds), hit[bounds[1:]] - hit[bounds[:-1]], [sorted(x) for x in items], matches
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", new: tuple[str, ...] = ("n_words", "n_hit", "items", "matches")) -> DataFrame:
@@ -185,7 +248,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     ``items`` are the ids (as text, sorted) with occurrences, ``matches`` the
     longest verbatim matches with their places in words. Null and empty texts
     have no words; items without words match nothing; a null item id is the
-    empty name; items that repeat an id count once. An input column with one of
+    empty name; items that repeat an id count once. A very long text is a shard
+    of its own; an item of over ``BLOCK_WORDS`` words is searched in pieces, and
+    a longest match ends where its piece does. An input column with one of
     the new names is replaced. An empty benchmark leaves every document clean.
     """
     docs = without(docs, new)
