@@ -30,7 +30,9 @@ RULES = [
 ]
 # Fixed value: the text of both turns of the extra conversation.
 TRICKY = "\\### Assistant: </turn> ok"
-PII_KEY = "corpus-pseudonyms-1"
+#: The setting that holds the secret key of pseudonyms, and the key of trial runs without it, which anyone can invert.
+PII_KEY_SETTING = "spark.tickloom.pseudonym.key"
+PII_KEY = "trial-key-that-is-no-secret"
 
 
 def vocabulary_path() -> str:
@@ -105,7 +107,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise_documents(docs, PII_KEY).select("doc_id", "text", *[f"n_{k}" for k in PII_KINDS])
+    return pseudonymise_documents(docs, spark.conf.get(PII_KEY_SETTING, PII_KEY)).select("doc_id", "text", *[f"n_{k}" for k in PII_KINDS])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
