@@ -49,8 +49,10 @@ PATTERNS = {
     "access": ACCESS,
     "github": re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\s+((?:[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----"),
+    # A header has at most 4,096 characters, so that many starts in one run of letters cost no more than that each.
+    "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]{1,4093}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
+    # Header lines don't hold five hyphens, so that none is read for more than one key.
+    "pem": re.compile(rb"-----BEGIN ([A-Z ]*?)PRIVATE KEY-----\s++((?:[A-Za-z][A-Za-z0-9-]*+:\x20(?:(?!-----)[^\r\n])*+\r?\n)*+)([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----"),
 }
 _BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
@@ -68,7 +70,7 @@ def _json_header(m: re.Match) -> bool:
     head = m[0].split(b".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, TypeError, binascii.Error):
+    except (ValueError, TypeError, RecursionError, binascii.Error):
         return False
 
 
@@ -127,8 +129,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns one row per input row: the id and ``spans``, an array of ``kind,
     start, end`` in code points, end exclusive, sorted by start, then by kind in
-    the order of ``KINDS``. Null and empty texts have no spans. Other columns are
-    ignored; repeated rows are scanned each.
+    the order of ``KINDS``. Null and empty texts have no spans; texts of any
+    length are scanned whole, in time that grows with the length. Spans of
+    different kinds may overlap, those of one kind don't. Other columns are
+    ignored; repeated rows are scanned each; an empty table gives an empty result.
     """
     kind_of_id = docs.schema[id_col].dataType
 
