@@ -84,12 +84,13 @@ def _collect_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit_language_model(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 2400, steps: int = 120) -> LanguageModel:
-    """Fit on about ``max_rows`` rows, equally many of each language as far as there are, by the hash of the id.
+    """Fit on about ``max_rows`` rows, equally many of each language as far as there are, by the hash of id and text.
 
     Each row reaches the driver as at most ``FEATURES`` counts, however long its
-    text, so the driver holds at most some 100 MB. Rows with a null text or
-    language are left out; without rows the model has no languages and every
-    prediction is ``und``.
+    text, so the driver holds at most some 100 MB. Rows that repeat an id and its
+    text count once, so the model depends on the rows alone. Rows with a null
+    text or language are left out; without rows the model has no languages and
+    every prediction is ``und``.
     """
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -99,9 +100,10 @@ def fit_language_model(rows: DataFrame, text_col: str = "text", lang_col: str =
     share, per_lang = F.lit(0.0), max_rows / len(langs)
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.1 * per_lang / n))).otherwise(share)
-    order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("o"), share.alias("s")).where("o < s")
-    found = map_arrow(few.select("lang", "text", "o"), _collect_counts, "lang string, o double, index array<int>, value array<int>").limit(2 * max_rows + 100).toArrow()
+    order = F.xxhash64(F.col(id_col), F.col(text_col))
+    few = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("o"), share.alias("s")).where(F.pmod("o", F.lit(1 << 30)) / float(1 << 30) < F.col("s"))
+    once = few.groupBy("lang", "o").agg(F.min("text").alias("text")).select("lang", "text", "o")
+    found = map_arrow(once, _collect_counts, "lang string, o bigint, index array<int>, value array<int>").orderBy("o", "lang").limit(2 * max_rows + 100).toArrow()
     found = found.sort_by([("lang", "ascending"), ("o", "ascending")])  # the order in which tasks end doesn't matter
     names, index, value = (found.column(c).to_pylist() for c in ("lang", "index", "value"))
     x = np.zeros((len(names), FEATURES), np.float32)
@@ -157,7 +159,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", new:
     """All columns of ``docs`` and ``lang_pred, lang_score, lang_ambiguous``, without a shuffle.
 
     A null, empty or letterless text gives ``und`` with score 0. An input column
-    with one of the new names is replaced. Order and repeats of rows don't matter.
+    with one of the new names is replaced. Order and repeats of rows don't matter;
+    a text is judged whole, however long. Of codewords that are equally near, the
+    language that sorts first wins. An empty table gives an empty result.
     """
     docs = without(docs, new)
     at = docs.columns.index(text_col)
@@ -172,9 +176,17 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", new:
     return map_arrow(docs, run, extended(docs.schema, f"{new[0]} string, {new[1]} double, {new[2]} boolean"))
 
 
-def known_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language at all; ambiguous ones stay."""
-    names = unused(docs, "lang_pred", "lang_score", "lang_ambiguous")
-    return identify(docs, model, text_col, names).where(F.col(names[0]) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
-
+def known_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows of ``docs`` whose text has a language at all, with ``lang_col`` set to the predicted one.
 
+    Texts that are null or have no letter go. Where the prediction is flagged as
+    ambiguous, a language that the row has already stays. A model without
+    languages judges by letters alone and leaves ``lang_col`` as it is, as it is
+    left out where the column is missing. All other columns come through.
+    """
+    if not model.langs:
+        return docs.where(F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
+    names = unused(docs, "lang_pred", "lang_score", "lang_ambiguous")
+    found = identify(docs, model, text_col, names).where(F.col(names[0]) != UNKNOWN)
+    lang = F.when(F.col(names[2]), F.coalesce(F.col(f"`{lang_col}`"), names[0])).otherwise(F.col(names[0])) if lang_col in docs.columns else None
+    return found.select(*[lang.alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
