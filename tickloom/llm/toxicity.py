@@ -4,10 +4,10 @@ Terms are all words and word beginnings of the labelled examples, with document
 frequencies over all documents. A term's weight is its idf times a factor that
 grows with how unevenly the two classes use it (``BASE`` without evidence), as
 rare words that say nothing would outweigh the others. The examples are held in
-an inverted index: dense rows of weights for terms that many examples have, and
-sparse postings for all others. Every example is scored, so a query's neighbours
-are exact. Their distance-weighted vote is calibrated on the examples
-themselves, each left out in turn.
+a block-max inverted index: blocks whose largest weights can't add up to the k-th
+cosine found are skipped, so a query's neighbours are exact. Their
+distance-weighted vote is calibrated on the examples themselves, each left out in
+turn.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .words import slices
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
-#: Queries scored at once; a term that at least one in ``COMMON`` examples has is held as a dense row.
+#: Examples of a block, and queries scored at once; a term that at least one in ``COMMON`` examples has is held as a dense row.
 BLOCK, COMMON = 64, 16
 WORDS_KEPT = 400_000
 #: Factor of a term that the classes use alike; evidence of ``SURE`` deviations adds 1.
@@ -82,56 +82,101 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Dense weights of common terms, postings of the others by term, and the examples' ids and labels.
+    """Weights of the examples by term, in blocks of ``BLOCK`` examples with each term's largest weight in each.
 
-    ``row`` is the dense row of each term, or -1; ``first`` its first posting, and one more entry.
+    Terms that many examples have are dense rows (``row`` is a term's, or -1) with
+    the maxima of each block. Of the others, a term's entries ``first[t]`` to
+    ``first[t + 1]`` are the blocks that have it: ``block``, its largest weight
+    ``most`` there, and the postings from ``posting[e]`` to ``posting[e + 1]``.
+    Alike examples are neighbours, so that blocks differ in what they bound.
     """
 
     place: np.ndarray
     weight: np.ndarray
     first: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    posting: np.ndarray
     row: np.ndarray
     dense: np.ndarray
-    ids: list[int]
+    dense_most: np.ndarray
+    ids: np.ndarray
     label: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[Vector], ids: list[int], label: list[int], width: int) -> BlockMaxIndex:
-        order = sorted(range(len(ids)), key=lambda k: ids[k])
+        heaviest = [int(c[v.argmax()]) if len(c) else -1 for c, v in vectors]
+        order = sorted(range(len(ids)), key=lambda k: (label[k], heaviest[k], ids[k]))
+        n, blocks = len(order), -(-len(order) // BLOCK)
         term = np.concatenate([vectors[k][0] for k in order])
-        place = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
+        place = np.repeat(np.arange(n), [len(vectors[k][0]) for k in order])
         weight = np.concatenate([vectors[k][1] for k in order])
-        common = np.bincount(term, minlength=width) * COMMON >= len(order)
+        common = np.bincount(term, minlength=width) * COMMON >= n
         row = np.where(common, np.cumsum(common) - 1, -1)
-        dense = np.zeros((int(common.sum()), len(order)), np.float32)
+        dense = np.zeros((int(common.sum()), blocks * BLOCK), np.float32)
         often = common[term]
         dense[row[term[often]], place[often]] = weight[often]
         term, place, weight = term[~often], place[~often], weight[~often]
-        by_term = np.argsort(term, kind="stable")
-        return cls(place[by_term], weight[by_term], np.searchsorted(term[by_term], np.arange(width + 1)), row, dense, [ids[k] for k in order], np.array([label[k] for k in order]))
+        by_term = np.lexsort((place, term))
+        term, place, weight = term[by_term], place[by_term], weight[by_term]
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (place[1:] // BLOCK != place[:-1] // BLOCK)]) if len(term) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(weight, new) if len(new) else weight
+        return cls(
+            place, weight, np.searchsorted(term[new], np.arange(width + 1)), place[new] // BLOCK, most, np.r_[new, len(term)], row, dense,
+            dense.reshape(len(dense), blocks, BLOCK).max(2), np.array([ids[k] for k in order], np.int64), np.array([label[k] for k in order], np.int64),
+        )
 
-    def cosines(self, queries: list[Vector]) -> np.ndarray:
-        """Of each query with each example."""
+    def nearest_of(self, queries: list[Vector], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of each query's k nearest examples among those that share a term with it, ties by id."""
+        for a in range(0, len(queries), BLOCK):
+            some = queries[a : a + BLOCK]
+            out = np.full(len(some), -1) if leave_out is None else np.array(leave_out[a : a + BLOCK])
+            scores = self._scores(some, k, out)
+            for score in scores:
+                top = np.flatnonzero(score > 0)
+                if len(top) > k:
+                    top = top[score[top] >= np.partition(score[top], len(top) - k)[len(top) - k]]
+                top = top[np.lexsort((self.ids[top], -score[top]))][:k]
+                yield top, score[top].astype(np.float32)
+
+    def _scores(self, queries: list[Vector], k: int, leave_out: np.ndarray) -> np.ndarray:
+        """Cosines of all examples that can be among a query's k nearest, 0 for the others and for the one left out.
+
+        The blocks with a query's largest bounds are scored first; a block whose
+        bound is below the k-th cosine found in them can't hold a nearer example.
+        """
         cols, values = (np.concatenate(x) for x in zip(*queries, strict=True))
         of = np.repeat(np.arange(len(queries)), [len(c) for c, _ in queries])
-        row, n = self.row[cols], len(self.ids)
-        common = row >= 0
+        common = self.row[cols] >= 0
         dense = np.zeros((len(queries), len(self.dense)), np.float32)
-        dense[of[common], row[common]] = values[common]
+        dense[of[common], self.row[cols[common]]] = values[common]
         cols, values, of = cols[~common], values[~common], of[~common]
         length = self.first[cols + 1] - self.first[cols]
-        at = _ranges(self.first[cols], length)
-        return dense @ self.dense + np.bincount(self.place[at] + np.repeat(of * n, length), self.weight[at] * np.repeat(values, length), len(queries) * n).reshape(len(queries), n)
-
-    def nearest_of(self, queries: list[Vector], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places and cosines of each query's k nearest examples among those that share a term with it, ties by place."""
-        for a in range(0, len(queries), BLOCK):
-            for q, score in enumerate(self.cosines(queries[a : a + BLOCK]), a):
-                if leave_out is not None and leave_out[q] >= 0:
-                    score[leave_out[q]] = 0
-                top = np.argsort(-score, kind="stable")[:k]
-                top = top[score[top] > 0]
-                yield top, score[top].astype(np.float32)
+        entry, of, values = _ranges(self.first[cols], length), np.repeat(of, length), np.repeat(values, length)
+        blocks = self.dense_most.shape[1]
+        cell = of * blocks + self.block[entry]
+        bound = dense @ self.dense_most + np.bincount(cell, self.most[entry] * values, len(queries) * blocks).reshape(-1, blocks)
+        score = np.zeros((len(queries), blocks * BLOCK))
+
+        def fill(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(0)).tolist():
+                rows = np.flatnonzero(need[:, b])
+                score[rows, b * BLOCK : (b + 1) * BLOCK] += dense[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            mine = np.flatnonzero(need.ravel()[cell])
+            size = self.posting[entry[mine] + 1] - self.posting[entry[mine]]
+            at = _ranges(self.posting[entry[mine]], size)
+            score.ravel()[:] += np.bincount(self.place[at] + np.repeat(of[mine] * score.shape[1], size), self.weight[at] * np.repeat(values[mine], size), score.size)
+            held = np.flatnonzero(leave_out >= 0)
+            score[held, leave_out[held]] = 0
+
+        few = min(blocks, 1 + k // BLOCK + 1)
+        best = np.argpartition(-bound, few - 1, axis=1)[:, :few]
+        need = np.zeros(bound.shape, bool)
+        np.put_along_axis(need, best, True, axis=1)
+        fill(need)
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.zeros(len(queries))
+        fill(~need & (bound >= least[:, None] - 1e-5) & (bound > 0))
+        return score
 
     def nearest(self, query: Vector, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return next(self.nearest_of([query], k, [leave_out]))
@@ -190,8 +235,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fit on at most ``examples_per_class`` labelled rows of each class, those with the smallest hash of the id.
 
     ``labels`` has the id and ``toxic``; null labels are left out and an id with
-    both counts as toxic. Texts stay on the executors: the driver gets the
-    examples' terms and one sparse vector over them for each example.
+    both counts as toxic; of several texts of one id the smallest counts. Texts
+    stay on the executors: the driver gets the examples' terms and one sparse
+    vector over them for each example, and long texts are taken whole.
     Without examples of both classes every score is the share of toxic labels.
     """
     truth = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -203,7 +249,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         some = truth.where(F.col("toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(examples_per_class)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    sample = materialise(texts.join(F.broadcast(chosen), "_id"), "labelled")
+    # one text of each id, so that the sample is bounded and the model depends on the rows alone
+    sample = materialise(texts.join(F.broadcast(chosen), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     counts = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return ToxicityModel([], np.zeros(0), 0.0, None, np.ones(2), np.zeros(3), prior, k)
@@ -227,7 +274,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 found = [to_vector(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["id", "toxic", "cols", "vals"])
 
-    found = map_arrow(sample.select(F.col("_id").cast("long"), "toxic", "text"), vectors_of, "id bigint, toxic int, cols array<bigint>, vals array<float>").limit(4 * examples_per_class).toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    found = map_arrow(sample.select(F.col("_id").cast("long"), "toxic", "text"), vectors_of, "id bigint, toxic int, cols array<bigint>, vals array<float>").toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
     for i, y, c, v in zip(*(found.column(j).to_pylist() for j in range(4)), strict=True):
         vectors.append((np.array(c, np.int64), np.array(v, np.float32)))
         ids.append(i)
@@ -235,8 +282,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     index = BlockMaxIndex.build(vectors, ids, label, len(names))
     weight = np.array([sizes.get(0, 0) / n0, sizes.get(1, 0) / n1])
     model = ToxicityModel(names, term_weight, other, index, weight / weight.max(), np.zeros(3), prior, k)
-    by_id = {(i, y): at for at, (i, y) in enumerate(zip(index.ids, index.label.tolist(), strict=True))}
-    x = np.array([model.features(*near) for near in index.nearest_of(vectors, k, [by_id[key] for key in zip(ids, label, strict=True)])])
+    by_id = {i: at for at, i in enumerate(index.ids.tolist())}
+    x = np.array([model.features(*near) for near in index.nearest_of(vectors, k, [by_id[i] for i in ids])])
     y, w = np.array(label, float), weight[np.array(label)]
     beta = np.zeros(3)
     for _ in range(30):  # Newton steps of a ridge logistic regression
@@ -251,8 +298,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", evidence: int = 3) -> DataFrame:
     """All columns of ``docs``, ``toxicity`` (0 to 1) and ``evidence``, without a shuffle.
 
-    Evidence is the nearest examples' id, label and cosine. Texts that share no
-    term with an example, such as null and empty ones, have none. Input columns of these names are replaced.
+    Evidence is the nearest examples' id, label and cosine, of equal cosines the
+    smaller id. Texts that share no term with an example, such as null and empty
+    ones, have none. Texts are scored whole; repeated rows alike; an empty table
+    gives an empty result. Input columns of these names are replaced.
     """
     new = ("toxicity", "evidence")
     docs = without(docs, new)
@@ -272,7 +321,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                 yield from ((model.prior, []) for _ in texts)
                 return
             for p, place, cosine in model.scores([to_vector(t) for t in texts]):
-                yield p, [{"doc_id": model.index.ids[i], "toxic": int(model.index.label[i]), "cosine": float(c)} for i, c in zip(place[:evidence].tolist(), cosine, strict=False)]
+                yield p, [{"doc_id": int(model.index.ids[i]), "toxic": int(model.index.label[i]), "cosine": float(c)} for i, c in zip(place[:evidence].tolist(), cosine, strict=False)]
 
         for batch in batches:
             for part in slices(batch, at):
