@@ -73,29 +73,73 @@ def test_urls(shared):
 
 def test_urls_of_no_pages(shared):
     assert urls.filter_urls(shared.createDataFrame([], "page_id bigint, url string, html string"), RULES).count() == 0
-    with pytest.raises(ValueError, match="rules"):
-        urls.apply_rules(shared.createDataFrame([], "host string, path string"), [("allow", str(i), "/") for i in range(urls.MAX_RULES + 1)])
 
 
-def test_propagation(shared):
-    """Integer masses of a small graph, step by step in Python."""
+def test_many_rules_are_joined(shared, monkeypatch):
+    rng = random.Random(4)
+    hosts = ["a.com", "b.a.com", "x.net", "c.b.a.com", "", "com", "d.org"]
+    paths = ["", "/", "/en/", "/en/x", "/e", "/fr/a/b"]
+    rules = [*RULES, ("block", "a.com", "/en"), ("allow", "b.a.com", "/en/x"), ("allow", "a.com", "/"), ("block", "b.a.com", ""), ("block", "a.com", "/")]
+    pages = shared.createDataFrame([(i, rng.choice(hosts), rng.choice(paths)) for i in range(200)], "page_id bigint, host string, path string")
+    one = sorted(tuple(r) for r in urls.apply_rules(pages, rules).collect())
+    monkeypatch.setattr(urls, "MAX_RULES", 3)
+    assert sorted(tuple(r) for r in urls.apply_rules(pages, rules).collect()) == one
+    assert len({r[3] for r in one}) > 4
+
+
+def plain_walk(pairs, start):
+    base = min(urls.SEED_MASS, urls.TOTAL // max(1, len(start))) * 15 // 100
+    degree = {s: sum(x == s for x, _ in pairs) for s, _ in pairs}
+    fresh, total = dict.fromkeys(start, base), {}
+    while fresh:
+        new: dict[str, int] = {}
+        for h, m in fresh.items():
+            total[h] = total.get(h, 0) + m
+        for s, t in pairs:
+            if fresh.get(s, 0) >= base // urls.TOLERANCE:
+                new[t] = new.get(t, 0) + fresh[s] * 85 // (100 * degree[s])
+        fresh = {h: m for h, m in new.items() if m}
+    return total
+
+
+def masses(shared, edges, seeds):
+    made = urls.propagate(shared.createDataFrame(edges, "src string, dst string"), shared.createDataFrame(seeds, "host string, trusted boolean, blocked boolean"))
+    return {r.host: (r.trust, r.distrust) for r in made.collect()}
+
+
+def test_propagation(shared, monkeypatch):
+    """Integer masses of a small graph, step by step in Python, and close to the limit of the walk without end."""
+    monkeypatch.setattr(urls, "TOLERANCE", 20)
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("d", "b"), ("c", "e")]
-    seeds = [("a", True, False), ("b", False, False), ("c", False, False), ("d", False, False), ("e", False, True)]
-    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(shared.createDataFrame(edges, "src string, dst string"), shared.createDataFrame(seeds, "host string, trusted boolean, blocked boolean"), 5).collect()}
-    base = urls.MASS * 15 // 100
-
-    def walk(pairs, start):
-        mass = dict.fromkeys(start, base)
-        for _ in range(5):
-            new = dict.fromkeys(start, base)
-            for s, t in pairs:
-                if s in mass:
-                    new[t] = new.get(t, 0) + mass[s] * 85 // (100 * sum(x == s for x, _ in pairs))
-            mass = new
-        return mass
-
-    trust, distrust = walk(edges, ["a"]), walk([(b, a) for a, b in edges], ["e"])
+    got = masses(shared, edges, [("a", True, False), ("b", False, False), ("c", False, False), ("d", False, False), ("e", False, True)])
+    base = urls.SEED_MASS * 15 // 100
+    trust, distrust = plain_walk(edges, ["a"]), plain_walk([(b, a) for a, b in edges], ["e"])
     assert got == {h: (trust.get(h, 0), distrust.get(h, 0)) for h in {*trust, *distrust}}
+    names = sorted({x for e in edges for x in e})
+    step = np.zeros((len(names), len(names)))
+    for s, t in edges:
+        step[names.index(t), names.index(s)] += 0.85 / sum(x == s for x, _ in edges)
+    limit = np.linalg.solve(np.eye(len(names)) - step, np.array([base if n == "a" else 0.0 for n in names]))
+    assert all(abs(got.get(n, (0, 0))[0] - x) <= base / 20 / 0.15 for n, x in zip(names, limit, strict=True))
+
+
+def test_long_chains_are_walked(shared):
+    """A host 40 links from a blocked seed gets its distrust, and ends are where the tolerance says."""
+    edges = [(f"h{i}", f"h{i + 1}") for i in range(40)]
+    got = masses(shared, edges, [("h40", False, True)])
+    assert got["h0"][1] > 0
+    assert got["h0"] == (0, plain_walk([(b, a) for a, b in edges], ["h40"])["h0"])
+
+
+def test_many_seeds_do_not_overflow(shared):
+    """A million trusted hosts that all link to one: the sum fits, and the hub has nearly all that they pass on."""
+    n = 1_000_000
+    ids = shared.range(n).select(F.concat(F.lit("s"), "id").alias("host"))
+    edges = ids.select(F.col("host").alias("src"), F.lit("hub").alias("dst"))
+    seeds = ids.select("host", F.lit(True).alias("trusted"), F.lit(False).alias("blocked"))
+    made = urls.propagate(edges, seeds).where("host = 'hub'").collect()
+    base = urls.TOTAL // n * 15 // 100
+    assert [r.trust for r in made] == [n * (base * 85 // 100)]
 
 
 # Toxicity

@@ -18,7 +18,7 @@ from .pii import KINDS as PII_KINDS
 from .pii import pseudonymise_documents
 from .secrets import BASE, scan_secrets
 from .toxicity import fit_toxicity, score_toxicity
-from .urls import DAMPING_PERCENT, LINK, MASS, STEPS, filter_urls
+from .urls import DAMPING_PERCENT, LINK, SEED_MASS, TOLERANCE, TOTAL, filter_urls
 
 # The rules of the URL query.
 RULES = [
@@ -123,7 +123,6 @@ def _quoted(text: str) -> str:
 
 def _url_sql() -> str:
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    keep = MASS * (100 - DAMPING_PERCENT) // 100
     parts = [
         f"parsed AS (SELECT page_id, html, {_LOWER.format('''regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)''')} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
         f"rules(verdict, rhost, rpath) AS (VALUES {values})",
@@ -135,13 +134,17 @@ def _url_sql() -> str:
         "edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT * FROM links UNION ALL SELECT src, dst FROM family UNION ALL SELECT dst, src FROM family) WHERE src <> dst AND src <> '' AND dst <> '')",
         "both_ways AS (SELECT 0 AS kind, src, dst FROM edges UNION ALL SELECT 1, dst, src FROM edges)",
         "moves AS MATERIALIZED (SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS degree FROM both_ways)",
-        f"seeds AS MATERIALIZED (SELECT 0 AS kind, host, {keep}::BIGINT AS mass FROM hosts WHERE trusted UNION ALL SELECT 1, host, {keep}::BIGINT FROM hosts WHERE blocked)",
-        "state0 AS (SELECT * FROM seeds)",
+        "seeds AS MATERIALIZED (SELECT 0 AS kind, host FROM hosts WHERE trusted UNION ALL SELECT 1, host FROM hosts WHERE blocked)",
+        f"base AS MATERIALIZED (SELECT (least({SEED_MASS}, {TOTAL} // greatest(1, count(*))) * {100 - DAMPING_PERCENT} // 100)::BIGINT AS b FROM seeds)",
+        f"""walk(kind, host, mass) AS (
+  SELECT kind, host, b AS mass FROM seeds, base
+  UNION ALL
+  SELECT kind, host, mass FROM (
+    SELECT m.kind, m.dst AS host, sum((mass * {DAMPING_PERCENT}) // (100 * degree))::BIGINT AS mass
+    FROM walk w JOIN moves m ON m.kind = w.kind AND m.src = w.host WHERE mass >= (SELECT b // {TOLERANCE} FROM base) GROUP BY m.kind, m.dst) WHERE mass > 0)""",
+        "mass AS (SELECT host, coalesce(sum(mass) FILTER (kind = 0), 0) AS trust, coalesce(sum(mass) FILTER (kind = 1), 0) AS distrust FROM walk GROUP BY host)",
     ]
-    for k in range(STEPS):
-        parts.append(f"state{k + 1} AS MATERIALIZED (SELECT kind, host, sum(mass)::BIGINT AS mass FROM (SELECT m.kind, dst AS host, (mass * {DAMPING_PERCENT}) // (100 * degree) AS mass FROM moves m JOIN state{k} s ON m.kind = s.kind AND m.src = s.host UNION ALL SELECT * FROM seeds) GROUP BY kind, host)")
-    parts.append(f"mass AS (SELECT host, coalesce(sum(mass) FILTER (kind = 0), 0) AS trust, coalesce(sum(mass) FILTER (kind = 1), 0) AS distrust FROM state{STEPS} GROUP BY host)")
-    return "WITH " + ",\n".join(parts) + "\nSELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN mass m ON j.host = m.host"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN mass m ON j.host = m.host"
 
 
 def _escaped(column: str) -> str:
