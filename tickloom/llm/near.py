@@ -13,8 +13,8 @@
    Links so found make parts.
 5. Only stars that still have several parts go on: members outside the centre's
    part are compared with each other and with the members inside it, in blocks of
-   bounded size, and only pairs whose parts differ; links that join two parts are
-   returned. Every two texts that share a bucket share its centre, so no bucket's
+   bounded size, and only pairs whose parts differ: by size and sketch first, then
+   those left on the full sets; links that join two parts are returned. Every two texts that share a bucket share its centre, so no bucket's
    pair goes untested.
 
 At similarity s a pair shares a band with probability 1 - (1 - s^4)^32, which is
@@ -46,8 +46,10 @@ BANDS = BINS // ROWS
 SMALL = 32
 #: Bins (of 128) that the sketches of sets of ``SKETCHED`` shingles and more must share. At a similarity of 0.75 they share 96 with a deviation of 4.9.
 SKETCH_LEAST, SKETCHED = 70, 64
+#: Sets of fewer than ``SKETCHED`` can be linked with sets below this size; the sketch of such sets has half of each shingle's hash too.
+SHORT = SKETCHED * 100 // PERCENT + 1
 #: Members and shingles of one side of a block.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 1_000_000
 _U = np.uint64
 Shingles = tuple[np.ndarray, np.ndarray]
 
@@ -132,11 +134,39 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signature = signatures([sets[i][0] for i in some])
                 keys, low = buckets(signature), (mix(signature) >> _U(56)).astype(np.uint8)
                 for k, i in enumerate(some.tolist()):
-                    print_[i], sketch[i] = fingerprint(sets[i]), low[k].tobytes()
+                    print_[i], sketch[i] = fingerprint(sets[i]), low[k].tobytes() + short_form(sets[i][0])
                     band[i] = np.concatenate([keys[k], prefix_buckets(sets[i][0])]).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(print_, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
 
+def short_form(shingles: np.ndarray) -> bytes:
+    """Half of each hash of a short set: two such sets have at least as many in common as the sets themselves."""
+    return np.unique((shingles >> _U(32)).astype("<u4")).tobytes() if len(shingles) < SHORT else b""
+
+
+class Sketches:
+    """Sizes and sketches of the members of a block."""
+
+    def __init__(self, sizes: list[int], sketch: list[bytes]):
+        self.sizes = np.array(sizes)
+        self.bins = np.frombuffer(b"".join(x[:BINS] for x in sketch), np.uint8).reshape(-1, BINS)
+        self.short = [np.frombuffer(x, "<u4", offset=BINS) for x in sketch]
+
+    def likely(self, x: int, rest: np.ndarray) -> np.ndarray:
+        """Those of ``rest`` that sizes and sketches let be linked with ``x``, the likeliest first."""
+        n = self.sizes[x]
+        rest = rest[100 * np.minimum(self.sizes[rest], n) >= PERCENT * np.maximum(self.sizes[rest], n)]
+        alike = (self.bins[rest] == self.bins[x]).sum(1)
+        fits = alike >= SKETCH_LEAST
+        few = np.flatnonzero(np.minimum(self.sizes[rest], n) < SKETCHED)
+        if len(few):
+            theirs = [self.short[y] for y in rest[few].tolist()]
+            owner = np.repeat(np.arange(len(few)), [len(t) for t in theirs])
+            common = np.bincount(owner[np.isin(np.concatenate(theirs), self.short[x])], minlength=len(few))
+            fits[few] = 100 * common >= PERCENT * (n + self.sizes[rest[few]] - common)
+        return rest[fits][np.argsort(-alike[fits], kind="stable")]
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
@@ -161,26 +191,51 @@ def _link_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _pairs(found)
 
 
-def _links_of_block(parts: list[int], sets: list[Shingles], sketches: np.ndarray, side: np.ndarray, crossing: bool) -> list[tuple[int, int]]:
+def _open_pairs(part: np.ndarray, side: np.ndarray, crossing: bool, x: int) -> np.ndarray:
+    """Members after ``x`` in other parts; on the other side, if crossing."""
+    rest = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
+    return rest[side[rest] != side[x]] if crossing else rest
+
+
+def _links_of_block(parts: list[int], sets: list[Shingles], sketches: Sketches, side: np.ndarray, crossing: bool) -> list[tuple[int, int]]:
     """Pairs of parts that a link joins; only across the sides, if crossing. Likely pairs are compared first."""
     names, part = np.unique(np.array(parts), return_inverse=True)
-    own, sizes, out = names[part], np.array([size_of(s) for s in sets]), []
+    own, out = names[part], []
     for x in range(len(sets) - 1):
-        rest = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
-        if crossing:
-            rest = rest[side[rest] != side[x]]
-        if not len(rest):
-            continue
-        alike = (sketches[rest] == sketches[x]).sum(1)
-        likely = (alike >= SKETCH_LEAST) | (np.minimum(sizes[rest], sizes[x]) < SKETCHED)
-        rest, alike = rest[likely], alike[likely]
-        for y in rest[np.argsort(-alike, kind="stable")].tolist():
+        for y in sketches.likely(x, _open_pairs(part, side, crossing, x)).tolist():
             if part[y] != part[x] and linked(sets[x], sets[y]):
                 out.append((int(own[x]), int(own[y])))
                 part[part == part[y]] = part[x]
     return out
 
 
+def _find_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with a likely partner in another part, of blocks that come one after another: columns centre, i, j, side, part, id, n_shingles, sketch."""
+    key, held = None, []
+
+    def close() -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        side, part, ids, sizes, sketch = zip(*held, strict=True)
+        side, part, sketches = np.array(side), np.array(part), Sketches(sizes, sketch)
+        wanted = np.zeros(len(ids), bool)
+        for x in range(len(ids) - 1):
+            near = sketches.likely(x, _open_pairs(part, side, key[1] != key[2], x))
+            if len(near):
+                wanted[x] = wanted[near] = True
+        return [(key[0], ids[i]) for i in np.flatnonzero(wanted).tolist()]
+
+    for batch in batches:
+        found = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                found += close()
+                key, held = row[:3], []
+            held.append(row[3:])
+        yield _pairs(found)
+    yield _pairs(close())
+
+
 def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between parts, of blocks that come one after another: columns centre, i, j, side, part, node, sketch, text."""
     alphabet = spaced()
@@ -189,7 +244,7 @@ def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> list[tuple[int, int]]:
         if len(parts) < 2:
             return []
-        return _links_of_block(parts, sets, np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), np.array(side), key[1] != key[2])
+        return _links_of_block(parts, sets, Sketches([size_of(s) for s in sets], sketches), np.array(side), key[1] != key[2])
 
     for batch in batches:
         found = []
@@ -242,28 +297,39 @@ def centre_links(stars: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def part_links(stars: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a, b`` between parts of a star that ``labels(id, component)`` leave apart; parts are named by their component.
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Members by ``centre, i, j, side`` and the given columns, so that members in different parts of a star meet.
 
     Far members, which are not in the centre's part, are cut into blocks of their
     own and meet each other (block i with block j) and the near ones (blocks
     counted on after the far ones).
     """
-    part = stars.where("id <> centre").join(labels, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    mid = part.join(labels.select(F.col("id").alias("centre"), "component"), "centre", "left")
-    rows = materialise(mid.select("centre", "id", "node", "n_shingles", "part", (F.col("part") != F.coalesce("component", "centre")).alias("far")), "parts")
     counts = rows.groupBy("centre").agg(_blocks("far").alias("nf"), _blocks("not far").alias("nn"), F.count(F.lit(1)).alias("n"))
     open_ = materialise(counts.where("nf > 0 and n > 1").select("centre", "nf", "nn"), "open")
     placed = rows.join(open_, "centre").withColumn("k", F.expr("cast(if(far, pmod(xxhash64(id), nf), pmod(xxhash64(id), nn)) as int)"))
     among = "transform(sequence(0, nf - 1), x -> struct(least(x, k) as i, greatest(x, k) as j, if(x < k, 1, 0) as side))"
     over = "if(nn = 0, array(), transform(sequence(nf, nf + nn - 1), x -> struct(k as i, x as j, 0 as side)))"
     under = "transform(sequence(0, nf - 1), x -> struct(x as i, nf + k as j, 1 as side))"
-    grid = F.explode(F.expr(f"if(far, concat({among}, {over}), {under})"))
-    dealt = placed.select("centre", grid.alias("g"), "part", "id", "node").select("centre", "g.*", "part", "id", "node").join(nodes.select("id", "node", "sketch"), ["id", "node"])
-    full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("centre", "i", "j", "side", "part", "node", "sketch", "text")
-    out = materialise(map_arrow(full.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "part"), _link_parts, "a bigint, b bigint"), "links")
-    discard(rows)
-    discard(open_)
+    return placed.select("centre", F.explode(F.expr(f"if(far, concat({among}, {over}), {under})")).alias("g"), *columns).select("centre", "g.*", *columns)
+
+
+def part_links(stars: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` between parts of a star that ``labels(id, component)`` leave apart; parts are named by their component.
+
+    Sketches meet first; texts only of members that have a likely partner.
+    """
+    part = stars.where("id <> centre").join(labels, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    mid = part.join(labels.select(F.col("id").alias("centre"), "component"), "centre", "left")
+    rows = materialise(mid.select("centre", "id", "node", "n_shingles", "part", (F.col("part") != F.coalesce("component", "centre")).alias("far")), "parts")
+    order = ("centre", "i", "j")
+    met = _dealt(rows, "part", "id", "node", "n_shingles").join(nodes.select("id", "node", "sketch"), ["id", "node"]).select(*order, "side", "part", "id", "n_shingles", "sketch")
+    likely = materialise(map_arrow(met.repartition(*order).sortWithinPartitions(*order, "part"), _find_likely, "a bigint, b bigint").select(F.col("a").alias("centre"), F.col("b").alias("id")).distinct(), "likely")
+    kept = materialise(rows.join(likely, ["centre", "id"]), "likely")
+    dealt = _dealt(kept, "part", "id", "node").join(nodes.select("id", "node", "sketch"), ["id", "node"])
+    full = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select(*order, "side", "part", "node", "sketch", "text")
+    out = materialise(map_arrow(full.repartition(*order).sortWithinPartitions(*order, "part"), _link_parts, "a bigint, b bigint"), "links")
+    for done in (rows, likely, kept):
+        discard(done)
     return out
 
 
