@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine, weighted by class evidence.
 
-Terms are all words and word beginnings of the labelled examples, with document
-frequencies over all documents. A term's weight is its idf times a factor that
+Terms are all words and word beginnings of the labelled examples, as 64-bit
+hashes of their bytes, with document frequencies over all documents. A term's weight is its idf times a factor that
 grows with how unevenly the two classes use it (``BASE`` without evidence), as
 rare words that say nothing would outweigh the others. The examples are held in
 a block-max inverted index: blocks whose largest weights can't add up to the k-th
@@ -12,8 +12,6 @@ turn.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,56 +21,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import extended, map_arrow, materialise, without
-from .words import slices
+from .words import alphanumeric, slices, text_view, word_hashes
 
-WORD = re.compile(r"\w+")
-PREFIXES = (3, 4, 5, 6, 7)
+#: Bytes of the word beginnings that are terms too, as compounds and inflected forms share them.
+PREFIXES = (5, 7)
 #: Examples of a block, and queries scored at once; a term that at least one in ``COMMON`` examples has is held as a dense row.
 BLOCK, COMMON = 64, 16
-WORDS_KEPT = 400_000
 #: Factor of a term that the classes use alike; evidence of ``SURE`` deviations adds 1.
 BASE, DOUBT, SURE = 0.1, 2.0, 8.0
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings marked by ``^``."""
-    return [word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
+def text_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of all texts, and the text of each: words and, of longer words, beginnings."""
+    *keys, first = word_hashes(*text_view(column), alphanumeric(), 0, *((n, n) for n in PREFIXES))
+    owner = np.repeat(np.arange(len(column)), np.diff(first))
+    longer = [k != 0 for k in keys]
+    return np.concatenate([k[x] for k, x in zip(keys, longer, strict=True)]), np.concatenate([owner[x] for x in longer])
 
 
 class Vectoriser:
     """Sparse unit vectors: a term's weight times the root of its count.
 
-    Terms that no example has count in a vector's length only, with the weight ``other``.
+    ``terms`` are sorted. Terms that no example has count in a vector's length
+    only, with the weight ``other``.
     """
 
-    def __init__(self, terms: list[str], weight: np.ndarray, other: float):
-        self.ids, self.weight, self.other = {t: i for i, t in enumerate(terms)}, weight, other
-        self._words: dict[str, tuple[int | str, ...]] = {}
-
-    def counts(self, text: str | None) -> Counter[int | str]:
-        """How often each term is used: numbers of the known ones, others as they are."""
-        counts: Counter[int | str] = Counter()
-        for word, times in Counter(WORD.findall((text or "").lower())).items():
-            ids = self._words.get(word)
-            if ids is None:
-                if len(self._words) > WORDS_KEPT:
-                    self._words.clear()
-                ids = tuple(self.ids.get(t, t) for t in terms_of(word))
-                if len(word) <= 64:
-                    self._words[word] = ids
-            for i in ids:
-                counts[i] += times
-        return counts
-
-    def __call__(self, text: str | None) -> Vector:
-        counts = self.counts(text)
-        known = [i for i in counts if type(i) is int]
-        others = sum(n for i, n in counts.items() if type(i) is str)
-        cols = np.array(known, np.int64)
-        cols.sort()
-        values = self.weight[cols] * np.sqrt(np.array([counts[i] for i in cols.tolist()], np.float64))
-        return cols, (values / max(np.sqrt(values @ values + self.other**2 * others), 1e-12)).astype(np.float32)
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, other: float):
+        self.terms, self.weight, self.other = terms, weight, other
+
+    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, number and count of each known term that a text has, in this order, and how many others each text has."""
+        keys, owner = text_terms(column)
+        at = np.searchsorted(self.terms, keys)
+        known = self.terms[np.minimum(at, len(self.terms) - 1)] == keys if len(self.terms) else np.zeros(len(keys), bool)
+        cells, n = np.unique(owner[known] * len(self.terms) + at[known], return_counts=True)
+        return *np.divmod(cells, max(1, len(self.terms))), n, np.bincount(owner[~known], minlength=len(column))
+
+    def __call__(self, column: pa.Array) -> list[Vector]:
+        owner, cols, n, others = self.counts(column)
+        values = self.weight[cols] * np.sqrt(n)
+        length = np.sqrt(np.bincount(owner, values * values, len(column)) + self.other**2 * others)
+        values = (values / np.maximum(length, 1e-12)[owner]).astype(np.float32)
+        first = np.searchsorted(owner, np.arange(len(column) + 1)).tolist()
+        return [(cols[a:b], values[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -184,7 +176,7 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    terms: list[str]
+    terms: np.ndarray
     term_weight: np.ndarray
     other: float  # weight of terms that no example has
     index: BlockMaxIndex | None
@@ -206,27 +198,29 @@ class ToxicityModel:
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 1, 1 << 19):
-            found = [sorted({t for w in set(WORD.findall((x or "").lower())) for t in terms_of(w)}) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "terms"])
+        for part in slices(batch, 1):
+            keys, owner = text_terms(part.column(1))
+            order = np.lexsort((keys, owner))
+            keys, owner = keys[order], owner[order]
+            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[new])), pa.array(keys[new].view(np.int64))], ["toxic", "term"])
 
 
-def _document_frequencies(docs: DataFrame, names: list[str]) -> np.ndarray:
+def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """In how many texts each term is; tasks send one partial count of each."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Vectoriser(shared.value, np.zeros(0), 0.0)
+        known = Vectoriser(shared.value, np.zeros(0), 0.0)
         n = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for part in slices(batch, 0):
-                for text in part.column(0).to_pylist():
-                    n[[i for i in terms.counts(text) if type(i) is int]] += 1
+                n += np.bincount(known.counts(part.column(0))[1], minlength=len(n))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
 
     found = map_arrow(docs, count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(names), np.int64)
+    out = np.zeros(len(terms), np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out
 
@@ -253,25 +247,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = materialise(texts.join(F.broadcast(chosen), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     counts = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
-        return ToxicityModel([], np.zeros(0), 0.0, None, np.ones(2), np.zeros(3), prior, k)
-    rows = map_arrow(sample.select("toxic", "text"), _term_rows, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0, None, np.ones(2), np.zeros(3), prior, k)
+    rows = map_arrow(sample.select("toxic", "text"), _term_rows, "toxic int, term bigint")
     n0, n1 = float(counts[0]), float(counts[1])
-    used = rows.groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")).toArrow().sort_by("term")
-    names, t1, t = used.column("term").to_pylist(), used.column("n1").to_numpy(), used.column("n").to_numpy()
+    used = rows.groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")).toArrow()
+    terms, t1, t = used.column("term").to_numpy().view(np.uint64), used.column("n1").to_numpy(), used.column("n").to_numpy()
+    order = np.argsort(terms)
+    terms, t1, t = terms[order], t1[order], t[order]
     share = t / (n0 + n1)
     uneven = (t1 / n1 - (t - t1) / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-9)
     factor = BASE + np.clip((np.abs(uneven) - DOUBT) / (SURE - DOUBT), 0, 1)
     total_docs = texts.count()
-    term_weight = factor * (np.log((total_docs + 1) / (_document_frequencies(texts.select("text"), names) + 1)) + 1)
+    term_weight = factor * (np.log((total_docs + 1) / (_document_frequencies(texts.select("text"), terms) + 1)) + 1)
     other = BASE * (float(np.log(total_docs + 1)) + 1)
     vectors, ids, label = [], [], []
-    shared = docs.sparkSession.sparkContext.broadcast((names, term_weight, other))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, term_weight, other))
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_vector = Vectoriser(*shared.value)
         for batch in batches:
             for part in slices(batch, 2):
-                found = [to_vector(t) for t in part.column(2).to_pylist()]
+                found = to_vector(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["id", "toxic", "cols", "vals"])
 
     found = map_arrow(sample.select(F.col("_id").cast("long"), "toxic", "text"), vectors_of, "id bigint, toxic int, cols array<bigint>, vals array<float>").toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
@@ -279,9 +275,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         vectors.append((np.array(c, np.int64), np.array(v, np.float32)))
         ids.append(i)
         label.append(y)
-    index = BlockMaxIndex.build(vectors, ids, label, len(names))
+    index = BlockMaxIndex.build(vectors, ids, label, len(terms))
     weight = np.array([sizes.get(0, 0) / n0, sizes.get(1, 0) / n1])
-    model = ToxicityModel(names, term_weight, other, index, weight / weight.max(), np.zeros(3), prior, k)
+    model = ToxicityModel(terms, term_weight, other, index, weight / weight.max(), np.zeros(3), prior, k)
     by_id = {i: at for at, i in enumerate(index.ids.tolist())}
     x = np.array([model.features(*near) for near in index.nearest_of(vectors, k, [by_id[i] for i in ids])])
     y, w = np.array(label, float), weight[np.array(label)]
@@ -316,16 +312,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         model = ToxicityModel(terms, term_weight, other, index and BlockMaxIndex(*index), *rest)
         to_vector = Vectoriser(terms, term_weight, other)
 
-        def score(texts: list[str | None]) -> Iterator[tuple[float, list[dict]]]:
+        def score(texts: pa.Array) -> Iterator[tuple[float, list[dict]]]:
             if model.index is None:
-                yield from ((model.prior, []) for _ in texts)
+                yield from ((model.prior, []) for _ in range(len(texts)))
                 return
-            for p, place, cosine in model.scores([to_vector(t) for t in texts]):
+            for p, place, cosine in model.scores(to_vector(texts)):
                 yield p, [{"doc_id": int(model.index.ids[i]), "toxic": int(model.index.label[i]), "cosine": float(c)} for i, c in zip(place[:evidence].tolist(), cosine, strict=False)]
 
         for batch in batches:
             for part in slices(batch, at):
-                found = list(score(part.column(at).to_pylist()))
+                found = list(score(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for p, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(item))], [*part.schema.names, *new])
 
     schema = extended(docs.schema, "toxicity double, evidence array<struct<doc_id:bigint,toxic:int,cosine:float>>")

@@ -102,10 +102,11 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) ->
     return np.maximum(out, _U(1))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet, *seeds: int) -> tuple[np.ndarray, ...]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet, *seeds: int | tuple[int, int]) -> tuple[np.ndarray, ...]:
     """Hashes of all words in order, by seed, and for each text the index of its first word (one more entry than texts).
 
-    No hash is 0.
+    No hash of a word is 0. A seed with a number n gives hashes of the first n
+    bytes, and 0 for words that have no more.
     """
     lo, end = int(offsets[0]), int(offsets[-1])
     seeds = seeds or (0,)
@@ -135,7 +136,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet, *seed
         e = np.flatnonzero(before & (~after | fresh))
         low = alphabet.lower[data[lo:hi]]
         for out, seed in zip(hashes, seeds, strict=True):
-            out.append(_hash(low, s, e, seed))
+            if isinstance(seed, tuple):
+                out.append(np.where(e - s > seed[1], _hash(low, s, np.minimum(e, s + seed[1]), seed[0]), _U(0)))
+            else:
+                out.append(_hash(low, s, e, seed))
         starts.append(s + lo)
         lo = hi
     if not starts:
