@@ -25,8 +25,10 @@ from .words import alphanumeric, slices, text_view, word_hashes
 
 #: Bytes of the word beginnings that are terms too, as compounds and inflected forms share them.
 PREFIXES = (5, 7)
-#: Examples of a block, and queries scored at once; a term that at least one in ``COMMON`` examples has is held as a dense row.
-BLOCK, COMMON = 64, 16
+#: Examples of a block; queries scored at once; a term that at least one in ``COMMON`` examples has is held as a dense row.
+BLOCK, QUERIES, COMMON = 64, 128, 32
+#: Terms are looked up by as many leading bits of their hash.
+TOP_BITS = 21
 #: Factor of a term that the classes use alike; evidence of ``SURE`` deviations adds 1.
 BASE, DOUBT, SURE = 0.1, 2.0, 8.0
 Vector = tuple[np.ndarray, np.ndarray]
@@ -49,12 +51,28 @@ class Vectoriser:
 
     def __init__(self, terms: np.ndarray, weight: np.ndarray, other: float):
         self.terms, self.weight, self.other = terms, weight, other
+        self._start = np.searchsorted(terms, np.arange(1 << TOP_BITS, dtype=np.uint64) << np.uint64(64 - TOP_BITS)).astype(np.int32)
+        self._start = np.r_[self._start, np.int32(len(terms))]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of terms, -1 for others: those with the same top bits are tried one after another."""
+        top = (keys >> np.uint64(64 - TOP_BITS)).astype(np.int64)
+        at, end = self._start[top], self._start[top + 1]
+        out = np.full(len(keys), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            same = self.terms[at[live]] == keys[live]
+            out[live[same]] = at[live[same]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, number and count of each known term that a text has, in this order, and how many others each text has."""
         keys, owner = text_terms(column)
-        at = np.searchsorted(self.terms, keys)
-        known = self.terms[np.minimum(at, len(self.terms) - 1)] == keys if len(self.terms) else np.zeros(len(keys), bool)
+        at = self.find(keys)
+        known = at >= 0
         cells, n = np.unique(owner[known] * len(self.terms) + at[known], return_counts=True)
         return *np.divmod(cells, max(1, len(self.terms))), n, np.bincount(owner[~known], minlength=len(column))
 
@@ -76,11 +94,11 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Weights of the examples by term, in blocks of ``BLOCK`` examples with each term's largest weight in each.
 
-    Terms that many examples have are dense rows (``row`` is a term's, or -1) with
-    the maxima of each block. Of the others, a term's entries ``first[t]`` to
-    ``first[t + 1]`` are the blocks that have it: ``block``, its largest weight
-    ``most`` there, and the postings from ``posting[e]`` to ``posting[e + 1]``.
-    Alike examples are neighbours, so that blocks differ in what they bound.
+    A term's entries ``first[t]`` to ``first[t + 1]`` are the blocks that have it:
+    ``block``, its largest weight ``most`` there, and the postings from
+    ``posting[e]`` to ``posting[e + 1]``. Terms that many examples have are dense
+    rows instead (``row`` is a term's, or -1). Alike examples are neighbours, so
+    that blocks differ in what they bound.
     """
 
     place: np.ndarray
@@ -91,7 +109,6 @@ class BlockMaxIndex:
     posting: np.ndarray
     row: np.ndarray
     dense: np.ndarray
-    dense_most: np.ndarray
     ids: np.ndarray
     label: np.ndarray
 
@@ -115,60 +132,53 @@ class BlockMaxIndex:
         most = np.maximum.reduceat(weight, new) if len(new) else weight
         return cls(
             place, weight, np.searchsorted(term[new], np.arange(width + 1)), place[new] // BLOCK, most, np.r_[new, len(term)], row, dense,
-            dense.reshape(len(dense), blocks, BLOCK).max(2), np.array([ids[k] for k in order], np.int64), np.array([label[k] for k in order], np.int64),
+            np.array([ids[k] for k in order], np.int64), np.array([label[k] for k in order], np.int64),
         )
 
     def nearest_of(self, queries: list[Vector], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places and cosines of each query's k nearest examples among those that share a term with it, ties by id."""
-        for a in range(0, len(queries), BLOCK):
-            some = queries[a : a + BLOCK]
-            out = np.full(len(some), -1) if leave_out is None else np.array(leave_out[a : a + BLOCK])
-            scores = self._scores(some, k, out)
-            for score in scores:
+        for a in range(0, len(queries), QUERIES):
+            some = queries[a : a + QUERIES]
+            out = np.full(len(some), -1) if leave_out is None else np.array(leave_out[a : a + QUERIES])
+            for score in self._scores(some, k, out)[0]:
                 top = np.flatnonzero(score > 0)
                 if len(top) > k:
                     top = top[score[top] >= np.partition(score[top], len(top) - k)[len(top) - k]]
                 top = top[np.lexsort((self.ids[top], -score[top]))][:k]
                 yield top, score[top].astype(np.float32)
 
-    def _scores(self, queries: list[Vector], k: int, leave_out: np.ndarray) -> np.ndarray:
-        """Cosines of all examples that can be among a query's k nearest, 0 for the others and for the one left out.
+    def _scores(self, queries: list[Vector], k: int, leave_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of each query with the examples, and which blocks they are whole in; 0 for the one left out.
 
-        The blocks with a query's largest bounds are scored first; a block whose
-        bound is below the k-th cosine found in them can't hold a nearer example.
+        The dense rows' part of all cosines comes first. All weights are positive,
+        so the k-th of these parts is at most the k-th cosine, and a block whose
+        largest part and postings' maxima together are below it can't hold a nearer
+        example: only the postings of the other blocks are added.
         """
         cols, values = (np.concatenate(x) for x in zip(*queries, strict=True))
-        of = np.repeat(np.arange(len(queries)), [len(c) for c, _ in queries])
-        common = self.row[cols] >= 0
+        of = np.repeat(np.arange(len(queries), dtype=np.int32), [len(c) for c, _ in queries])
+        row = self.row[cols]
+        common = row >= 0
         dense = np.zeros((len(queries), len(self.dense)), np.float32)
-        dense[of[common], self.row[cols[common]]] = values[common]
+        dense[of[common], row[common]] = values[common]
+        score = (dense @ self.dense).astype(np.float64)
+        held = np.flatnonzero(leave_out >= 0)
+        score[held, leave_out[held]] = 0
         cols, values, of = cols[~common], values[~common], of[~common]
         length = self.first[cols + 1] - self.first[cols]
         entry, of, values = _ranges(self.first[cols], length), np.repeat(of, length), np.repeat(values, length)
-        blocks = self.dense_most.shape[1]
+        blocks = score.shape[1] // BLOCK
         cell = of * blocks + self.block[entry]
-        bound = dense @ self.dense_most + np.bincount(cell, self.most[entry] * values, len(queries) * blocks).reshape(-1, blocks)
-        score = np.zeros((len(queries), blocks * BLOCK))
-
-        def fill(need: np.ndarray) -> None:
-            for b in np.flatnonzero(need.any(0)).tolist():
-                rows = np.flatnonzero(need[:, b])
-                score[rows, b * BLOCK : (b + 1) * BLOCK] += dense[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
-            mine = np.flatnonzero(need.ravel()[cell])
-            size = self.posting[entry[mine] + 1] - self.posting[entry[mine]]
-            at = _ranges(self.posting[entry[mine]], size)
-            score.ravel()[:] += np.bincount(self.place[at] + np.repeat(of[mine] * score.shape[1], size), self.weight[at] * np.repeat(values[mine], size), score.size)
-            held = np.flatnonzero(leave_out >= 0)
-            score[held, leave_out[held]] = 0
-
-        few = min(blocks, 1 + k // BLOCK + 1)
-        best = np.argpartition(-bound, few - 1, axis=1)[:, :few]
-        need = np.zeros(bound.shape, bool)
-        np.put_along_axis(need, best, True, axis=1)
-        fill(need)
+        bound = score.reshape(-1, blocks, BLOCK).max(2) + np.bincount(cell, self.most[entry] * values, len(queries) * blocks).reshape(-1, blocks)
         least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.zeros(len(queries))
-        fill(~need & (bound >= least[:, None] - 1e-5) & (bound > 0))
-        return score
+        need = (bound >= least[:, None] - 1e-5) & (bound > 0)
+        mine = np.flatnonzero(need.ravel()[cell])
+        entry = entry[mine]
+        size = self.posting[entry + 1] - self.posting[entry]
+        at = _ranges(self.posting[entry], size)
+        score.ravel()[:] += np.bincount(self.place[at] + np.repeat(of[mine].astype(np.int64) * score.shape[1], size), self.weight[at] * np.repeat(values[mine], size), score.size)
+        score[held, leave_out[held]] = 0
+        return score, need
 
     def nearest(self, query: Vector, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return next(self.nearest_of([query], k, [leave_out]))
