@@ -47,8 +47,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Null text and null role count as empty, a null turn sorts first, rows with a
     null conversation form one conversation, ties in turn are ordered by role and
-    text, repeated rows are all kept. Other columns are ignored; an empty table
-    gives an empty result.
+    text, repeated rows are all kept, texts of any length are taken whole. Other
+    columns, whatever their names, are ignored; an empty table gives an empty
+    result.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -71,10 +72,14 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         return F.struct((start + F.length(p["text"]) + len(END)).cast("long").alias("at"), F.when(p["loss"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
     nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,chars:bigint>>").alias("spans"))
-    return pieces.select(
+    # Spans are found in chunks and then moved by where their chunk begins, as appending to one array would copy it for each turn.
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_pieces) - 1) div {CHUNK_TURNS}")), lambda c: F.aggregate(F.slice("_pieces", c * CHUNK_TURNS + 1, CHUNK_TURNS), nothing, walk))
+    offsets = F.aggregate("_parts", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("list")), lambda s, c: F.struct((s["at"] + c["at"]).alias("at"), F.array_append(s["list"], s["at"]).alias("list")), lambda s: s["list"])
+    moved = F.zip_with("_parts", "_offsets", lambda c, o: F.transform(c["spans"], lambda s: F.struct((s["start"] + o).alias("start"), s["chars"].alias("chars"))))
+    return pieces.withColumn("_parts", parts).withColumn("_offsets", offsets).select(
         "conv_id",
         F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("_pieces", nothing, walk, lambda s: s["spans"]).alias("loss_spans"),
+        F.flatten(moved).alias("loss_spans"),
     )
 
 
