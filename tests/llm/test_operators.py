@@ -284,6 +284,16 @@ def test_chat_odd_rows(shared):
             assert r.formatted[s.start + s.chars :].startswith("</turn>")
 
 
+def test_chat_of_many_turns(shared):
+    """A conversation of several chunks, and a long text; columns of any names beside."""
+    rows = [(1, i, "assistant" if i % 3 else "user", f"é{i}</turn>" * (i % 4)) for i in range(1500)] + [(2, 0, "assistant", "x###" * 300_000)]
+    frame = shared.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({n: F.lit(1) for n in ("_turns", "formatted", "_chunk", "loss_spans", "at", "_turn")})
+    for r in chat.format_conversations(frame).select("conv_id", "formatted", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        assert r.loss == "".join(x for c, _, role, x in rows if c == r.conv_id and role == "assistant")
+        assert len(r.loss_spans) == (1000 if r.conv_id == 1 else 1)
+        assert all(r.formatted[s.start + s.chars :].startswith("</turn>") for s in r.loss_spans)
+
+
 def test_chat_of_nothing(shared):
     assert chat.format_conversations(shared.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
@@ -467,6 +477,16 @@ def test_bpe_cuts_are_certain():
         assert not any(bytes([a[-1], b[0]]) in t for t in tokens)
 
 
+def test_other_vocabularies_are_refused():
+    import json
+
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        doc = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**doc["pre_tokenizer"], "add_prefix_space": True}}, {"added_tokens": [{**doc["added_tokens"][0], "lstrip": True}]}, {"model": {**doc["model"], "dropout": 0.1}}):
+        with pytest.raises(ValueError, match="vocabulary has|added tokens"):
+            bpe.ForcedBoundaryBpe(json.dumps({**doc, **change}))
+
+
 def test_bpe_odd_rows(odd, nothing):
     rows = bpe.bpe_encode(odd, vocabulary_path()).collect()
     assert len(rows) == 10
@@ -852,6 +872,9 @@ def test_stages_leave_clashing_columns_alone(shared, odd):
         rows = made.collect()
         assert rows
         assert all(r[n] == f"own {n}" for r in rows for n in names)
+    pages = shared.createDataFrame([(1, "http://a.com/", "")], "page_id bigint, url string, html string").withColumns({n: F.lit(1) for n in ("host", "path", "rule", "verdict", "trust", "_fit", "rule_verdict")})
+    assert [r.host for r in urls.filter_urls(pages, RULES).collect()] == ["a.com"]
+    assert secrets.scan_secrets(wide.withColumn("spans", F.lit(1))).count() == 10
     for made in (langid.identify(wide, model), decontam.find_contamination(wide, bench), pii.pseudonymise_documents(wide, "k"), bpe.bpe_encode(wide, vocabulary_path())):
         assert len({c.lower() for c in made.columns}) == len(made.columns)
         assert made.count() == 10

@@ -43,6 +43,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+# The settings that certain cuts rely on.
+RELIED_ON = {
+    ("model", "type"): "BPE", ("model", "dropout"): None, ("model", "continuing_subword_prefix"): None, ("model", "end_of_word_suffix"): None, ("normalizer",): None, ("post_processor",): None,
+    ("pre_tokenizer", "type"): "ByteLevel", ("pre_tokenizer", "add_prefix_space"): False, ("pre_tokenizer", "use_regex"): True, ("decoder", "type"): "ByteLevel",
+}
+NOT_SAID = {("model", "type"): "BPE"}
+
+
+def _check(doc: dict) -> None:
+    """Refuse a vocabulary whose settings could join what is cut here, or change the text first."""
+    for path, want in RELIED_ON.items():
+        value = doc
+        for key in path:
+            value = value.get(key, NOT_SAID.get(path)) if isinstance(value, dict) else None
+        if value != want:
+            raise ValueError(f"the vocabulary has {'.'.join(path)} = {value!r}; only {want!r} can be cut by forced boundaries")
+    odd = [a["content"] for a in doc["added_tokens"] if any(a.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd:
+        raise ValueError(f"added tokens {odd} reach beyond their own characters")
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder of one byte-level vocabulary, built from the file's content."""
 
@@ -50,6 +71,7 @@ class ForcedBoundaryBpe:
         from tokenizers import Tokenizer
 
         doc = json.loads(vocabulary)
+        _check(doc)
         letters = _byte_letters()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
@@ -126,8 +148,10 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ke
     ``vocabulary_path`` is read on the driver; its content, a few MB of fixed
     size, goes to the executors. Returns the columns ``keep`` (all by default)
     and ``n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``token_ids``
-    and ``decoded``. A null or empty text has no tokens. Input columns of these
-    names are replaced.
+    and ``decoded``. A null or empty text has no tokens; texts of any length are
+    encoded whole. Repeated rows are each encoded; an empty table gives an empty
+    result. Input columns of these names are replaced. A vocabulary whose settings
+    certain cuts can't rely on is refused.
     """
     new = ("n_tokens", "ids_sha256", "decoded_sha256", *(("token_ids", "decoded") if with_ids else ()))
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
