@@ -1,5 +1,12 @@
 """The corpus pipeline: language, exact and near duplicates, benchmark passages, tokens.
 
+Null, empty and letterless texts go in the first stage, as they have no language.
+Rows that repeat an id and its text are exact copies, of which one stays; rows
+with a null id are kept by all stages that pick one row of a group only if no row
+with an id has the text. Long texts are taken whole. Extra columns come through
+all stages, also those that are named like what operators add, except for the
+last stage's own. An empty table gives an empty result.
+
 Each stage is written as Parquet to the folder that ``spark.checkpoint.dir``
 names, which all executors share, and read again as the next one's input.
 """
@@ -21,28 +28,32 @@ from tickloom.llm.queries import vocabulary_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null text or no letter."""
+    """Drops documents without a language, and writes the predicted one into ``lang``.
+
+    Where the prediction is ambiguous, a language that the document has stays. If
+    no document has a language to learn from, only letters are asked for.
+    """
     return known_language(docs, fit_language_model(docs.where(trainable(F.col("doc_id")))))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of equal texts."""
+    """Keeps one document of equal texts, that with the smallest id."""
     return exact_dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, that with the smallest id."""
     return near_dedup(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage of the benchmark."""
+    """Drops documents with a passage of the benchmark; an empty benchmark drops none."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of them and of their decoded text."""
-    return bpe_encode(docs, vocabulary_path(), keep=["doc_id", "lang", "source"]).drop("decoded")
+    """Token ids of each document, and digests of them and of their decoded text, in place of the text."""
+    return bpe_encode(docs, vocabulary_path(), keep=[c for c in docs.columns if c != "text"]).drop("decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
