@@ -12,6 +12,7 @@ import zlib
 import duckdb
 import pytest
 from compare import duck, same
+from pyspark.sql import functions as F
 
 from tickloom.llm import queries as Q
 from tickloom.llm import secrets as S
@@ -243,8 +244,53 @@ def test_pipeline_against_brute_force(shared):
 
     kept = {i: t for i, t in kept.items() if clean(t)}
     t = Tokenizer.from_file(Q.vocabulary_path())
-    got = {r.doc_id: r.token_ids for r in corpus_pipeline.run(shared, FOLDER).collect()}
-    assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in kept.items()}
+    rows = corpus_pipeline.run(shared, FOLDER).collect()
+    assert {r.doc_id: r.token_ids for r in rows} == {i: t.encode(x, add_special_tokens=False).ids for i, x in kept.items()}
+    from test_operators import plain_language
+
+    from tickloom.llm._shared import trainable
+    from tickloom.llm.langid import fit_language_model
+
+    table = shared.read.parquet(f"{FOLDER}/documents.parquet")
+    model = fit_language_model(table.where(trainable(F.col("doc_id"))))
+    given = dict(con.sql(f"SELECT doc_id, lang FROM '{FOLDER}/documents.parquet'").fetchall())
+    for r in rows:
+        lang, score, close = plain_language(model, kept[r.doc_id])
+        assert r.lang == (given[r.doc_id] or lang if close else lang) or abs(2 * score - 1 - model.ambiguous_below) < 0.01
+
+
+def test_pipeline_of_odd_tables(shared, tmp_path):
+    """Empty tables, no language at all, and columns named like what operators add."""
+    import corpus_pipeline
+    from conftest import ODD, ODD_SCHEMA
+
+    bench = shared.read.parquet(f"{FOLDER}/benchmark.parquet")
+    extra = ["n_hit", "items", "lang_pred", "kept", "node", "_text", "N_Words"]
+    for name, rows in (("none", []), ("odd", ODD), ("unknown", [(*r[:2], None, *r[3:]) for r in ODD])):
+        docs = shared.createDataFrame(rows, ODD_SCHEMA).withColumns({c: F.lit(f"own {c}") for c in extra})
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(shared, f"{tmp_path}/{name}")
+        assert [c for c in docs.columns if c != "text"] == got.columns[: len(docs.columns) - 1]
+        out = got.collect()
+        assert sorted(r.doc_id for r in out) == ([] if name == "none" else [1, 5, 7])
+        assert all(r[c] == f"own {c}" for r in out for c in extra)
+        assert name != "unknown" or all(r.lang is None for r in out)
+
+
+def test_entry_without_a_package(monkeypatch):
+    """Without a package that subpackage llm needs, the other queries are there and a warning says what is missing."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("tickloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    with pytest.warns(UserWarning, match="ahocorasick"):
+        found = __spark_entry__.queries()
+    assert "bars_1h" in found
+    assert not any(n.startswith("op") and n[2:3].isdigit() for n in found)
 
 
 def test_stages_keep_the_columns(shared):
