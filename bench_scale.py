@@ -35,7 +35,7 @@ def main() -> None:
     which = F.when(F.pmod(mix, F.lit(3)) == 0, F.lit(1)).otherwise(F.pmod(F.shiftright(mix, 8), F.lit(len(UNIVERSE))).cast("int") + 1)
     pair = F.element_at(F.array(*map(F.lit, UNIVERSE)), which)
     ts = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (i * (365 * 86_400_000_000 // n)))
-    t = spark.range(n).select(pair.alias("pair"), ts.alias("ts"), i.alias("seq"), (F.lit(110_000) + F.pmod(F.shiftright(mix, 16), F.lit(400))).alias("bid_i"), F.pmod(F.shiftright(mix, 32), F.lit(9)).alias("s"))
+    t = spark.range(n).select(pair.alias("pair"), ts.alias("ts"), i.cast("int").alias("seq"), (F.lit(110_000) + F.pmod(F.shiftright(mix, 16), F.lit(400))).alias("bid_i"), F.pmod(F.shiftright(mix, 32), F.lit(9)).alias("s"))
     t = t.select("pair", "ts", "seq", (F.col("bid_i") / divisor(F.col("pair"))).alias("bid"), ((F.col("bid_i") + F.col("s")) / divisor(F.col("pair"))).alias("ask"), F.lit(1.0).alias("bid_volume"), F.lit(2.0).alias("ask_volume"))
     t.write.parquet(f"{root}/ticks")
     ticks = spark.read.parquet(f"{root}/ticks")

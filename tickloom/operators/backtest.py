@@ -90,13 +90,18 @@ def executions(bars: DataFrame, model: CostModel) -> DataFrame:
 
 
 def trades(executed: DataFrame) -> DataFrame:
-    """Round trips by a fold over each pair's orders in time.
+    """Round trips by a fold over the orders between two flat positions.
 
     Adding to a position averages its entry by units; closing takes the closed
-    share of the entry's costs and the whole of the closing order's.
+    share of the entry's costs and the whole of the closing order's. A running sum
+    by pair tells where the position is flat, so that a fold holds the orders of
+    one stay in the market and not a pair's whole history.
     """
     order = F.struct("ts", "leg", "units", "fill", "mid", "spread_cost", "commission", "forced")
-    listed = executed.groupBy("pair").agg(F.sort_array(F.collect_list(order)).alias("orders"))
+    run = Window.partitionBy("pair").orderBy("ts", "leg", "units").rowsBetween(Window.unboundedPreceding, 0)
+    flat_now = executed.withColumn("_flat", (F.sum("units").over(run) == 0).cast("long"))
+    stays = flat_now.withColumn("_stay", F.sum("_flat").over(run) - F.col("_flat"))
+    listed = stays.groupBy("pair", "_stay").agg(F.sort_array(F.collect_list(order)).alias("orders"))
     ts = executed.schema["ts"].dataType.simpleString()
     trade = f"struct<entry_ts:{ts},exit_ts:{ts},units:double,entry_fill:double,exit_fill:double,entry_mid:double,exit_mid:double,gross:double,spread_cost:double,commission:double,forced:boolean>"
     start = F.expr(f"named_struct('u', 0D, 'ts', cast(null as {ts}), 'fill', 0D, 'mid', 0D, 'sp', 0D, 'co', 0D, 'done', cast(array() as array<{trade}>))")
@@ -138,13 +143,27 @@ def equity(bars: DataFrame, executed: DataFrame, initial: float = 0.0) -> DataFr
     value = marks.select("pair", "ts", (F.col("cash") + F.col("held") * F.col("mid_close")).alias("value"))
     change = value.withColumn("_d", F.col("value") - F.coalesce(F.lag("value").over(_by_pair()), F.lit(0.0)))
     by_ts = change.groupBy("ts").agg(F.sum("_d").alias("_d"))
-    return by_ts.select("ts", (F.lit(initial) + F.sum("_d").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
+    return _over_days(by_ts, "_d", F.sum).select("ts", (F.lit(initial) + F.col("_run")).alias("equity"))
+
+
+def _over_days(rows: DataFrame, value: str, function: Callable[[str], Column]) -> DataFrame:
+    """Rows with ``_run``, the sum or maximum of ``value`` up to each instant.
+
+    It runs within each day; only the days' own results, one row a day, are
+    carried on in a window without a key.
+    """
+    whole = rows.withColumn("_day", F.to_date("ts"))
+    by_day = whole.groupBy("_day").agg(function(value).alias("_of_day"))
+    before = by_day.select("_day", function("_of_day").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = function(value).over(Window.partitionBy("_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    joined = whole.withColumn("_within", within).join(before, "_day")
+    both = F.coalesce("_before", F.lit(0.0)) + F.col("_within") if function is F.sum else F.greatest("_before", "_within")
+    return joined.withColumn("_run", both).drop("_day", "_within", "_before")
 
 
 def drawdown(curve: DataFrame) -> DataFrame:
     """Instants with their fall from the highest equity so far."""
-    peak = F.max("equity").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return curve.withColumn("drawdown", peak - F.col("equity"))
+    return _over_days(curve, "equity", F.max).withColumn("drawdown", F.col("_run") - F.col("equity")).drop("_run")
 
 
 def by_pair(done: DataFrame) -> DataFrame:
@@ -174,7 +193,11 @@ def ladder_verdict(bars: DataFrame, model: CostModel) -> DataFrame:
 
 def scorecard(done: DataFrame, curve: DataFrame) -> DataFrame:
     """One row: hit rate, mean and deviation of equity changes, their ratio, turnover and holding time."""
-    change = curve.withColumn("_d", F.col("equity") - F.lag("equity").over(Window.orderBy("ts")))
+    day = F.to_date("ts")
+    ends = curve.groupBy(day.alias("_day")).agg(F.max_by("equity", "ts").alias("_close"))
+    before = ends.select("_day", F.lag("_close").over(Window.orderBy("_day")).alias("_before"))
+    inside = F.lag("equity").over(Window.partitionBy("_day").orderBy("ts"))
+    change = curve.withColumn("_day", day).withColumn("_lag", inside).join(before, "_day").withColumn("_d", F.col("equity") - F.coalesce("_lag", "_before"))
     risk = change.agg(F.avg("_d").alias("mean_change"), F.stddev_samp("_d").alias("deviation"))
     hold = (F.unix_micros("exit_ts") - F.unix_micros("entry_ts")) / 3.6e9
     t = done.agg(F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.sum(F.abs("units") * 2).alias("turnover"), F.avg(hold).alias("holding_hours"))

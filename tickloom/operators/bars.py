@@ -6,31 +6,41 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, IntegerType, ShortType
 
 from ..functions.calendar import bucket_micros, micros
 from ..schemas import QUOTES, STEPS
 
-SEQ_BITS = 26
+HOUR = 3_600_000_000
 
 
-def order_key(offset: Column, seq: Column | None) -> Column:
-    """One BIGINT that orders the ticks of a bucket by time, then by ``seq``.
+def order_key(offset: Column, seq: Column | None, kind: DataType | None = None) -> Column:
+    """One number that orders the ticks of a bucket by time, then by ``seq``, whatever its value.
 
-    A single integer key keeps the aggregation hash-based; ordering by a struct
-    would make Spark sort. The low ``SEQ_BITS`` of ``seq`` break ties of one
-    microsecond (a day has 37 bits of them).
+    A single number keeps the aggregation hash-based; ordering by a struct would
+    make Spark sort. A ``seq`` of 32 bits, not negative, and an offset within an
+    hour fit a BIGINT. A BIGINT ``seq`` takes a DECIMAL(38), which holds all of
+    both at about a third of the speed.
     """
-    return F.shiftleft(offset, SEQ_BITS) + (F.lit(0) if seq is None else seq.bitwiseAND(F.lit((1 << SEQ_BITS) - 1)))
+    if seq is None:
+        return offset
+    if isinstance(kind, IntegerType | ShortType | ByteType):
+        return F.shiftleft(offset, 31) + seq
+    return (offset.cast("decimal(18,0)") * F.lit(1 << 32).cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)") + seq.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def bars(ticks: DataFrame, timeframe: str, seq: str | None = "seq") -> DataFrame:
     """Bars of one timeframe; ``ts`` is the opening instant of [open, open + width).
 
     Buckets without ticks have no bar. One shuffle by (pair, bucket) after a
-    partial aggregation, so a hot pair costs its buckets once per task.
+    partial aggregation, so a hot pair costs its buckets once per task. Timeframes
+    beyond an hour roll up from hours if ``seq`` has 32 bits.
     """
-    at = bucket_micros(F.col("ts"), micros(timeframe))
-    q = ticks.select("pair", at.alias("_at"), order_key(F.unix_micros("ts") - at, F.col(seq) if seq else None).alias("_key"), "bid", "ask").withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "_spread": F.col("ask") - F.col("bid")})
+    width, kind = micros(timeframe), ticks.schema[seq].dataType if seq else None
+    if width > HOUR and isinstance(kind, IntegerType | ShortType | ByteType):
+        return roll_up(bars(ticks, "1h", seq), timeframe)
+    at = bucket_micros(F.col("ts"), width)
+    q = ticks.select("pair", at.alias("_at"), order_key(F.unix_micros("ts") - at, F.col(seq) if seq else None, kind).alias("_key"), "bid", "ask").withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "_spread": F.col("ask") - F.col("bid")})
     aggs = []
     for name in QUOTES:
         aggs += [F.min_by(name, "_key").alias(f"{name}_open"), F.max(name).alias(f"{name}_high"), F.min(name).alias(f"{name}_low"), F.max_by(name, "_key").alias(f"{name}_close")]

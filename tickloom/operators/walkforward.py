@@ -16,6 +16,10 @@ from ..session import ship_package
 FLOORS = {"1min": 1440, "5min": 288, "15min": 96, "30min": 48, "1h": 24, "4h": 30, "1D": 5}
 
 
+#: Bars of a stretch in range joins.
+STRETCH = 256
+
+
 class WalkForwardError(ValueError):
     """A split that can't be made as asked."""
 
@@ -67,25 +71,29 @@ def _keys(split: DataFrame) -> list[str]:
 
 
 def _inside(bars: DataFrame, split: DataFrame, index: str, lo: str, hi: str) -> DataFrame:
-    """Bars joined with the windows of their own series that cover them."""
+    """Bars joined with the windows of their own series that cover them.
+
+    The range join is an equi-join on stretches of ``STRETCH`` bars, each window
+    once for each stretch that it touches; so it costs what windows cover, and a
+    long series is spread over its stretches.
+    """
     keys, i = _keys(split), F.col(index)
-    if keys:
-        return bars.join(split, keys).where((i >= F.col(lo)) & (i < F.col(hi)))
-    return bars.join(split, (i >= F.col(lo)) & (i < F.col(hi)))
+    touched = split.where(F.col(hi) > F.col(lo)).withColumn("_stretch", F.explode(F.expr(f"sequence({lo} div {STRETCH}, ({hi} - 1) div {STRETCH})")))
+    dealt = bars.withColumn("_stretch", F.expr(f"`{index}` div {STRETCH}"))
+    return dealt.join(touched, [*keys, "_stretch"]).where((i >= F.col(lo)) & (i < F.col(hi))).drop("_stretch")
 
 
 def training(split: DataFrame, bars: DataFrame, embargo: int, index: str = "i") -> DataFrame:
     """Bars of each window's training set: in its range, and in no earlier test window's embargo.
 
-    Both are range joins with the windows of the same series; the table of windows
-    has a row per window and not per bar.
+    Test windows tile forward from the first one, so the embargo after the one
+    before a bar is arithmetic: bars of a tile's first ``embargo`` places, from the
+    second tile on.
     """
-    keys, i = _keys(split), F.col(index)
-    barred = split.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("test_lo").alias("_lo"), F.col("test_hi").alias("_hi"))
-    hit = (F.col("_lo") < F.col("test_lo")) & (i >= F.col("_hi")) & (i < F.col("_hi") + embargo)
-    for k in keys:
-        hit = (F.col(k) == F.col(f"_{k}")) & hit
-    return _inside(bars, split, index, "train_lo", "train_hi").join(barred, hit, "left_anti")
+    i, size = F.col(index), F.col("test_hi") - F.col("test_lo")
+    first = F.col("test_lo") - F.col("w") * size
+    barred = (i >= first + size) & (F.pmod(i - first, size) < embargo)
+    return _inside(bars, split, index, "train_lo", "train_hi").where(~barred)
 
 
 def testing(split: DataFrame, bars: DataFrame, index: str = "i") -> DataFrame:

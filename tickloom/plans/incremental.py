@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import timeframe
 from ..operators.bars import bars_of_timeframes
 from ..session import shared_dir
-from ..sources.store import _exists, files, read_ticks, signatures, write_bars
+from ..sources.store import _exists, delete, files, read_ticks, signatures, write_bars
 
 STATE = "timeframe string, pair string, date date, signature string"
 
@@ -24,11 +24,6 @@ def stale_days(now: DataFrame, state: DataFrame, timeframes: list[str]) -> DataF
     return both.where(~F.col("signature").eqNullSafe(F.col("_was"))).select("timeframe", "pair", "date", F.col("signature").isNull().alias("gone"))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _versions(spark: SparkSession, root: str) -> list[str]:
     """Folders of the state, oldest first; only complete ones count."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/bars_state")
@@ -48,8 +43,8 @@ def build_bars(spark: SparkSession, root: str, timeframes: list[str]) -> DataFra
 
     Stale days are found from the file listing alone. Their ticks are read once by
     a semi join that prunes partitions; coarser bars roll up from the finest. Each
-    timeframe gets exactly its own stale days, as whole partitions, so no day is
-    stored twice; days whose files are gone lose their partitions. The state is a
+    timeframe gets exactly its own stale days, spliced into files by month, so no
+    day is stored twice; days whose files are gone lose their bars. The state is a
     new version beside the old one, written last: a build that stops midway is
     repeated by the next.
     """
@@ -62,14 +57,13 @@ def build_bars(spark: SparkSession, root: str, timeframes: list[str]) -> DataFra
     if todo.isEmpty():
         return todo
     build = todo.where("not gone")
+    days = ["timeframe", "pair", "date"]
     ticks = read_ticks(spark, root).join(build.select("pair", "date").distinct(), ["pair", "date"], "left_semi")
     made = bars_of_timeframes(ticks.withColumn("seq", F.col("row")), names, "seq").withColumn("date", F.to_date("ts"))
-    write_bars(made.join(build.select("timeframe", "pair", "date"), ["timeframe", "pair", "date"], "left_semi").drop("date"), root)
-    for r in todo.where("gone").toLocalIterator():
-        _delete(spark, f"{root}/bars/timeframe={r['timeframe']}/pair={r['pair']}/date={r['date']}")
+    write_bars(made.join(build.select(*days), days, "left_semi").drop("date"), todo.select(*days), root)
     new = now.select(F.explode(F.array(*map(F.lit, names))).alias("timeframe"), "pair", "date", "signature")
     keep = read_state(spark, root).where(~F.col("timeframe").isin(*names))
     keep.unionByName(new).write.parquet(f"{root}/bars_state/{time.time_ns()}")
     for path in old:
-        _delete(spark, path)
+        delete(spark, path)
     return todo

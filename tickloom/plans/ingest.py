@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import market_open
 from ..functions.text import EMPTY_SHA256
+from ..operators.manifest import pending
 from ..operators.quality import HARD, accepted, dedup, dedup_counts, issues, spread_stats
 from ..schemas import TICKS
 from ..sources.bi5 import hour_files, scan
 from ..sources.requests import instant
-from ..sources.store import write_ticks
+from ..session import shared_dir
+from ..sources.store import _exists, delete, files, listing, read_stored_manifest, write_manifest, write_ticks
 
 KEY = ["pair", "date", "hour"]
 
@@ -62,3 +67,33 @@ def ingest(spark: SparkSession, root: str, requests: DataFrame, out: str, fail_o
         F.when(F.col("length") == 0, F.lit(EMPTY_SHA256)).otherwise(F.col("sha256")).alias("sha256"), F.col("length").alias("compressed_bytes"), (F.col("decoded") * 20).alias("decoded_bytes"), F.col("path").alias("origin"),
         "first_ts", "last_ts", spread.alias("spread_pips"), F.concat(own, F.coalesce("found", F.array())).alias("issues"), F.coalesce(hard, F.lit(False)).alias("is_error"),
     )
+
+
+def still_pending(spark: SparkSession, requests: DataFrame, out: str, manifest: str) -> DataFrame:
+    """Requests that neither the manifest nor the store's files show as done."""
+    settled = read_stored_manifest(spark, manifest)
+    if settled is None:
+        return requests
+    stored = listing(files(spark, f"{out}/ticks")) if _exists(spark, f"{out}/ticks") else settled.select(*KEY).limit(0)
+    return pending(requests, settled, stored)
+
+
+def ingest_in_steps(spark: SparkSession, root: str, requests: DataFrame, out: str, manifest: str, days_per_step: int = 31, fail_on_gap: bool = True) -> Iterator[DataFrame]:
+    """Ingest what is still pending, some days at a time; yields the manifest rows of each step.
+
+    A step's ticks are written before its manifest rows, and both replace hours
+    and not days, so a job that is stopped goes on where it was, and hours that
+    were stored before stay. Only dates reach the driver.
+    """
+    todo = still_pending(spark, requests.select(*KEY).distinct(), out, manifest)
+    days = [r["date"] for r in todo.select("date").distinct().orderBy("date").toLocalIterator()]
+    for k in range(0, len(days), days_per_step):
+        part = days[k : k + days_per_step]
+        asked = todo.where(F.col("date").between(F.lit(part[0]), F.lit(part[-1])))
+        work = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+        asked.write.parquet(f"{work}/asked")  # the step's own ticks must not change what it asks for
+        ingest(spark, root, spark.read.parquet(f"{work}/asked"), out, fail_on_gap).write.parquet(f"{work}/rows")
+        rows = spark.read.parquet(f"{work}/rows")
+        write_manifest(rows, manifest)
+        yield rows
+        delete(spark, work)

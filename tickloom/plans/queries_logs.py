@@ -16,6 +16,7 @@ from ..sources import bi5, logs, requests, store
 from ..session import shared_dir, ship_package
 from ..streaming.live import recorder, stream_bars
 from . import incremental
+from .ingest import still_pending
 from .queries_ticks import made
 from .registry import TICKS_SQL, bars_sql, open_sql, query, ticks
 
@@ -135,9 +136,51 @@ def store_scan(spark, d):
     return t.groupBy("pair", "date").agg(F.count(F.lit(1)).alias("ticks"), F.min("bid").alias("min_bid"))
 
 
-@query("store_footprint", f"WITH {TICKS_SQL} SELECT pair, count(DISTINCT ts::DATE) AS days FROM ticks GROUP BY pair")
+@query("store_footprint", f"WITH {TICKS_SQL} SELECT pair, count(DISTINCT hour_start) AS files, true AS has_bytes, count(DISTINCT ts::DATE) AS days FROM ticks GROUP BY pair")
 def store_footprint(spark, d):
-    return store.footprint(store.files(spark, stored(spark, d) + "/ticks")).select("pair", "days")
+    """Files, one for each hour; what they weigh is up to the codec."""
+    return store.footprint(store.files(spark, stored(spark, d) + "/ticks")).select("pair", "files", (F.col("bytes") > 0).alias("has_bytes"), "days")
+
+
+_HOURS = "h AS (SELECT pair, ts::DATE AS date, hour(ts)::INTEGER AS hour, count(*) AS n FROM ticks GROUP BY ALL)"
+
+
+@query("store_listing", f"WITH {TICKS_SQL}, {_HOURS} SELECT pair, date, hour FROM h")
+def store_listing(spark, d):
+    """Hours that the names of the store's files show, without reading them."""
+    return store.listing(store.files(spark, stored(spark, d) + "/ticks"))
+
+
+@query("half_days", f"WITH {TICKS_SQL}, {_HOURS} SELECT pair, date, hour, n AS ticks FROM h")
+def half_days(spark, d):
+    """The store after the mornings were written, then the afternoons, then one hour of each day again."""
+    root, t = scratch(spark), ticks(spark, d).withColumn("source", F.lit("events"))
+    for part in ("hour(ts) < 12", "hour(ts) >= 12", "hour(ts) = 7"):
+        store.write_ticks(t.where(part), root)
+    return store.read_ticks(spark, root).groupBy("pair", "date", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("ticks"))
+
+
+@query("manifest_merge", f"WITH {TICKS_SQL}, {_HOURS} SELECT pair, date, hour, CASE WHEN hour % 6 = 0 THEN 'gap' ELSE 'ok' END AS status, CASE WHEN hour % 6 = 0 THEN 0 ELSE n END AS written_ticks FROM h")
+def manifest_merge(spark, d):
+    """A stored manifest after the mornings, the afternoons, and then every sixth hour again as a gap."""
+    path = scratch(spark) + "/manifest"
+    h = ticks(spark, d).groupBy("pair", F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("written_ticks")).withColumn("status", F.lit("ok"))
+    store.write_manifest(h.where("hour < 12"), path)
+    store.write_manifest(h.where("hour >= 12"), path)
+    store.write_manifest(h.where("hour % 6 = 0").withColumns({"status": F.lit("gap"), "written_ticks": F.lit(0).cast("long")}), path)
+    return store.read_stored_manifest(spark, path).select("pair", "date", "hour", "status", "written_ticks")
+
+
+@query("resume_by_files", f"WITH {TICKS_SQL}, {_HOURS} SELECT pair, date, hour FROM h WHERE hour >= 12 AND hour % 5 <> 0 OR hour = 3")
+def resume_by_files(spark, d):
+    """What is left to ask for after the mornings are stored, when a file is lost and some afternoons are settled as empty."""
+    root = scratch(spark)
+    t = ticks(spark, d).withColumn("source", F.lit("events"))
+    h = t.groupBy("pair", F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("written_ticks"))
+    store.write_ticks(t.where("hour(ts) < 12 and hour(ts) <> 3"), root)
+    store.write_manifest(h.where("hour < 12").withColumn("status", F.lit("ok")), f"{root}/manifest")
+    store.write_manifest(h.where("hour >= 12 and hour % 5 = 0").withColumn("status", F.lit("empty")), f"{root}/manifest")
+    return still_pending(spark, h.select("pair", "date", "hour"), root, f"{root}/manifest")
 
 
 @query("incremental_bars", f"WITH {TICKS_SQL} {bars_sql(3600)}")
@@ -154,16 +197,16 @@ def incremental_bars(spark, d):
 
 @query("stream_bars", f"WITH {TICKS_SQL} {bars_sql(3600)}")
 def streamed(spark, d):
-    """Bars of a stream of files, run to its end, with the last bars that no watermark has closed yet added from the batch."""
+    """Bars of a stream of files, run to its end; a late tick of another pair closes the last bars and is left out."""
     root = scratch(spark)
-    ticks(spark, d).repartitionByRange(4, "ts").write.parquet(f"{root}/in")
+    t = ticks(spark, d)
+    t.repartitionByRange(4, "ts").write.parquet(f"{root}/in")
+    closing = t.agg(F.max("ts").alias("_end")).join(t.limit(1)).withColumns({"pair": F.lit("ZZZZZZ"), "ts": F.col("_end") + F.expr("INTERVAL 1 DAY")})
+    closing.select(*t.columns).write.mode("append").parquet(f"{root}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
     writer = stream_bars(source, "1h").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
-    out = made(spark.read.parquet(f"{root}/out"))
-    batch = made(B.bars(ticks(spark, d), "1h"))
-    rest = batch.join(out.select("pair", "ts"), ["pair", "ts"], "left_anti")
-    return out.unionByName(rest)
+    return made(spark.read.parquet(f"{root}/out").where("pair <> 'ZZZZZZ'"))
 
 
 @query("recorded_ticks", f"WITH {TICKS_SQL} SELECT pair, ts::DATE AS date, count(*) AS ticks FROM ticks GROUP BY 1, 2")

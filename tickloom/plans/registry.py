@@ -96,12 +96,12 @@ spoilt AS (SELECT * REPLACE (CASE WHEN seq % 997 = 0 THEN ask_i + 50 WHEN seq %
   CASE WHEN seq % 1009 = 0 THEN hour_start - INTERVAL 1 HOUR ELSE hour_start END AS hour_start) FROM ticks),
 respoilt AS (SELECT * REPLACE (bid_i / {DIVISOR_SQL} AS bid) FROM spoilt),
 raw AS (SELECT * FROM respoilt UNION ALL SELECT * REPLACE (seq + {COPY} AS seq) FROM respoilt WHERE seq % 50 < 3)"""
-KEY_SQL = "(epoch_us(ts) - (epoch_us(ts) // {w}) * {w}) * 67108864 + (seq & 67108863)"
+KEY_SQL = "epoch_us(ts)::HUGEINT * 18446744073709551616::HUGEINT + seq"
 
 
 def bars_sql(seconds: int, source: str = "ticks", places: int = 9) -> str:
     w = seconds * 1_000_000
-    k = KEY_SQL.format(w=w)
+    k = KEY_SQL
     cols = []
     for q in ("bid", "ask", "mid"):
         x = "(bid + ask) / 2" if q == "mid" else q

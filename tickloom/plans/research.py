@@ -19,6 +19,9 @@ from ..sources.store import read_bars, read_ticks
 SEAL = datetime.date(2025, 3, 1)
 
 
+MODES = ("scoring", "mechanical")
+
+
 class SealedError(PermissionError):
     """A request for dates that are held back."""
 
@@ -55,6 +58,10 @@ class Loader:
     mode: str = "scoring"
     served: list[dict[str, Any]] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        if self.mode not in MODES:
+            raise PermissionError(f"there is no mode {self.mode!r}; modes are {', '.join(MODES)}")
+
     def _root(self, root: str) -> str:
         real = str(Path(root).resolve()) if "://" not in root else root
         if not any(real == r or real.startswith(r.rstrip("/") + "/") for r in self.roots):
@@ -67,11 +74,23 @@ class Loader:
         self.served.append({"what": "ticks", "root": self._root(root), "pairs": sorted(pairs), "first": first, "last": last})
         return read_ticks(self.spark, root, pairs, first, last)
 
-    def bars(self, root: str, timeframe: str, pairs: list[str]) -> DataFrame:
-        out = read_bars(self.spark, self._root(root), timeframe, pairs)
+    def bars(self, root: str, timeframe: str, pairs: list[str], first: str | None = None, last: str | None = None) -> DataFrame:
+        """Bars of a range of dates, or all.
+
+        Dates are checked before anything is read, whether or not there are bars.
+        Sealed bars within what is asked for are an error too, found by a filter
+        that reaches the scan; nothing is trimmed.
+        """
         if self.mode != "mechanical":
-            check_seal([out.agg(F.max("ts")).first()[0]])
-        self.served.append({"what": "bars", "root": root, "timeframe": timeframe, "pairs": sorted(pairs)})
+            check_seal([d for d in (first, last) if d])
+        out = read_bars(self.spark, self._root(root), timeframe, pairs)
+        if first:
+            out = out.where(F.col("ts") >= F.lit(first).cast("timestamp"))
+        if last:
+            out = out.where(F.to_date("ts") <= F.lit(last).cast("date"))
+        if self.mode != "mechanical" and not out.where(F.col("ts") >= F.lit(SEAL.isoformat()).cast("timestamp")).isEmpty():
+            raise SealedError(f"the {timeframe} bars below {root} reach the sealed dates (cutoff {SEAL})")
+        self.served.append({"what": "bars", "root": root, "timeframe": timeframe, "pairs": sorted(pairs)} | {k: v for k, v in (("first", first), ("last", last)) if v})
         return out
 
 

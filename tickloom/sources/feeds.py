@@ -6,6 +6,7 @@ caller supplies, so tests and jobs without a network run the same code.
 
 from __future__ import annotations
 
+import http.client
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -63,30 +64,40 @@ class BlockedSource:
 
 @dataclass(frozen=True)
 class HttpSource:
-    """Requests through ``get(url) -> (status, bytes)``, again after a growing pause where that can help."""
+    """Requests through ``get(url) -> (status, bytes)``, again after a growing pause where that can help.
+
+    Statuses that may pass and faults of the transport are tried again; the pause
+    doubles up to ``longest_pause``.
+    """
 
     get: Callable[[str], tuple[int, bytes]]
     base: str
     attempts: int = 5
     pause: float = 1.0
+    longest_pause: float = 60.0
     sleep: Callable[[float], None] = time.sleep
 
     def url(self, pair: str, day: date, hour: int) -> str:
         return f"{self.base}/{pair}/{day.year:04d}/{day.month - 1:02d}/{day.day:02d}/{hour:02d}h_ticks.bi5"
 
     def fetch(self, pair: str, day: date, hour: int) -> RawHour:
-        url, status = self.url(pair, day, hour), 0
+        url, last = self.url(pair, day, hour), ""
         for attempt in range(self.attempts):
             if attempt:
-                self.sleep(self.pause * 2 ** (attempt - 1))
-            status, content = self.get(url)
+                self.sleep(min(self.pause * 2 ** (attempt - 1), self.longest_pause))
+            try:
+                status, content = self.get(url)
+            except (OSError, http.client.HTTPException) as e:
+                last = f"{type(e).__name__}: {e}"
+                continue
+            last = f"status {status}"
             if status == 200:
                 return _raw(content, url)
             if status == MISSING:
                 return RawHour(b"", url, "missing")
             if status not in RETRY:
                 break
-        raise SourceError(f"{url}: status {status}")
+        raise SourceError(f"{url}: {last}")
 
 
 def build_source(mode: str, *, root: str = "", get: Callable[[str], tuple[int, bytes]] | None = None, base: str = "") -> HourSource:
@@ -112,7 +123,7 @@ class CandleSource:
     base: str
 
     def check(self, path: str) -> str:
-        plain = path.split("?")[0]
+        plain = path.split("?")[0].lower()
         if any(p in plain for p in FORBIDDEN_PARTS) or not plain.endswith(ALLOWED_ENDS):
             raise PermissionError(f"{plain} may not be requested")
         return f"{self.base}{path}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.calendar import bucket_micros, micros
-from ..operators.bars import order_key
+from ..operators.bars import HOUR, order_key
 from ..schemas import QUOTES, STEPS, TICKS
 from ..sources.feeds import two_sided
 
@@ -20,7 +20,7 @@ def stream_bars(ticks: DataFrame, timeframe: str, lateness: str = "1 hour", seq:
     """
     width = micros(timeframe)
     at = bucket_micros(F.col("ts"), width)
-    q = ticks.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "_spread": F.col("ask") - F.col("bid"), "_key": order_key(F.unix_micros("ts") - at, F.col(seq))})
+    q = ticks.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "_spread": F.col("ask") - F.col("bid"), "_key": order_key(F.unix_micros("ts") - at, F.col(seq), ticks.schema[seq].dataType if width <= HOUR else None)})
     aggs = []
     for name in QUOTES:
         aggs += [F.min_by(name, "_key").alias(f"{name}_open"), F.max(name).alias(f"{name}_high"), F.min(name).alias(f"{name}_low"), F.max_by(name, "_key").alias(f"{name}_close")]
@@ -29,26 +29,26 @@ def stream_bars(ticks: DataFrame, timeframe: str, lateness: str = "1 hour", seq:
 
 
 def recorder(ticks: DataFrame, out: str, checkpoint: str, rows_per_file: int = 50_000, every: str = "60 seconds") -> DataStreamWriter:
-    """A writer that records two-sided quotes by pair and date.
+    """A writer that records two-sided quotes by pair, date and hour, so that a file never goes on into another hour.
 
     The trigger bounds the time until a file is there and ``rows_per_file`` its
     size; the file sink and the checkpoint make it exactly once across crashes.
     Start it with ``.start()``, or end with the data by ``.trigger(availableNow=True)``.
     """
-    rows = two_sided(ticks).select(*TICKS.names).withColumn("date", F.to_date("ts"))
-    return rows.writeStream.format("parquet").partitionBy("pair", "date").option("path", out).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file).trigger(processingTime=every)
+    rows = two_sided(ticks).select(*TICKS.names).withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
+    return rows.writeStream.format("parquet").partitionBy("pair", "date", "hour").option("path", out).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file).trigger(processingTime=every)
 
 
 def sorted_recorder(ticks: DataFrame, out: str, checkpoint: str, every: str = "60 seconds") -> DataStreamWriter:
-    """A recorder whose files are sorted by time.
+    """A recorder whose files are sorted by time, each of one hour.
 
     Each micro-batch replaces a folder of its own, so that a batch that is run
     again after a crash leaves its ticks once. Instants are integer microseconds.
     """
-    rows = two_sided(ticks).select(*TICKS.names).withColumn("date", F.to_date("ts"))
+    rows = two_sided(ticks).select(*TICKS.names).withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
 
     def write(batch: DataFrame, number: int) -> None:
-        dealt = batch.repartition("pair", "date").sortWithinPartitions("pair", "date", "ts")
-        dealt.write.mode("overwrite").partitionBy("pair", "date").parquet(f"{out}/batch={number}")
+        dealt = batch.repartition("pair", "date", "hour").sortWithinPartitions("pair", "date", "hour", "ts")
+        dealt.write.mode("overwrite").partitionBy("pair", "date", "hour").parquet(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
