@@ -310,3 +310,116 @@ def test_seal_refuses_without_data(spark, tmp_path):
 def test_schema_check(spark):
     with pytest.raises(SchemaError, match="bid: string"):
         require(spark.createDataFrame([("EURUSD", "x")], "pair string, bid string"), TICKS)
+
+
+def test_parts_of_a_day_stay(spark, tmp_path):
+    """Writing one part of a day leaves the hours of the other."""
+    def hours(some, up=0.0):
+        return spark.createDataFrame([("EURUSD", datetime.datetime(2026, 7, 14, h, 5, tzinfo=UTC), 1.1 + up, 1.1002 + up, 1.0, 1.0, "t") for h in some], TICKS)
+
+    root = str(tmp_path)
+    store.write_ticks(hours(range(12)), root)
+    store.write_ticks(hours(range(12, 24)), root)
+    store.write_ticks(hours([5], 0.5), root)
+    got = {r.ts.hour: r.bid for r in store.read_ticks(spark, root).collect()}
+    assert got == {h: pytest.approx(1.6 if h == 5 else 1.1) for h in range(24)}
+    assert {r.hour for r in store.listing(store.files(spark, f"{root}/ticks")).collect()} == set(range(24))
+    old = store.files(spark, f"{root}/ticks").limit(0).unionByName(spark.createDataFrame([("x/pair=EURUSD/date=2026-07-14/EURUSD_2026-07-14_03h_ab.parquet", 1)], "path string, length long"))
+    assert [r.hour for r in store.listing(old).collect()] == [3]  # stores whose file names carry the hour
+
+
+def test_ingest_goes_on_where_it_stopped(spark, folder, tmp_path):
+    from tickloom.plans.ingest import ingest_in_steps, still_pending
+
+    out, manifest = str(tmp_path / "out"), str(tmp_path / "manifest")
+    asked = requests.request_grid(spark, ["EURUSD"], "2026-07-11", "2026-07-14", (12, 13, 15, 16, 19)).unionByName(requests.request_grid(spark, ["USDJPY"], "2026-07-14", "2026-07-14", (12,)))
+    morning = asked.where("hour < 15")
+    steps = [r.count() for r in ingest_in_steps(spark, str(folder), morning, out, manifest, days_per_step=1)]
+    assert len(steps) == 4
+    first = {(r.pair, r.ts) for r in store.read_ticks(spark, out).collect()}
+    left = {(r.pair, r.date.day, r.hour) for r in still_pending(spark, asked, out, manifest).collect()}
+    assert ("EURUSD", 14, 12) not in left
+    assert {("EURUSD", 14, 13), ("EURUSD", 14, 15), ("EURUSD", 14, 16), ("EURUSD", 14, 19)} <= left
+    for _ in ingest_in_steps(spark, str(folder), asked, out, manifest):
+        pass
+    assert first < {(r.pair, r.ts) for r in store.read_ticks(spark, out).collect()}
+    rows = {(r.pair, r.date.day, r.hour): r.status for r in store.read_stored_manifest(spark, manifest).collect()}
+    assert len(rows) == asked.count()
+    assert (rows["EURUSD", 14, 12], rows["EURUSD", 14, 15], rows["EURUSD", 14, 16], rows["EURUSD", 14, 13]) == ("ok", "ok", "empty", "gap")
+    import shutil
+
+    shutil.rmtree(f"{out}/ticks/pair=USDJPY/date=2026-07-14/hour=12")
+    assert ("USDJPY", 14, 12) in {(r.pair, r.date.day, r.hour) for r in still_pending(spark, asked, out, manifest).collect()}
+
+
+def test_transport_faults_are_retried():
+    day, waits = datetime.date(2026, 7, 14), []
+    answers = iter([TimeoutError("slow"), ConnectionError("reset"), (503, b""), (200, b"x")])
+
+    def get(url):
+        answer = next(answers)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert feeds.HttpSource(get, "b", pause=40.0, sleep=waits.append).fetch("EURUSD", day, 3).content == b"x"
+    assert waits == [40.0, 60.0, 60.0]  # the pause has a ceiling
+
+    def never(url):
+        raise TimeoutError("slow")
+
+    with pytest.raises(feeds.SourceError, match="TimeoutError"):
+        feeds.HttpSource(never, "b", sleep=waits.append).fetch("EURUSD", day, 3)
+    assert [x[3][:11] for x in feeds.land(feeds.HttpSource(never, "b", sleep=waits.append), iter([("EURUSD", day, 3)]), ".")] == ["FETCH_ERROR"]
+    with pytest.raises(PermissionError):
+        feeds.CandleSource(lambda url: (200, b""), "b").check("/v3/accounts/1/ORDERS/candles")
+
+
+def test_seal_on_bars(spark, tmp_path):
+    def bars_of(*days):
+        rows = [("EURUSD", datetime.datetime.fromisoformat(f"{d}T12:00:00+00:00"), *[1.0] * 12, 1, 0.1, 0.1) for d in days]
+        return spark.createDataFrame(rows, "pair string, ts timestamp, " + ", ".join(f"{q}_{x} double" for q in ("bid", "ask", "mid") for x in ("open", "high", "low", "close")) + ", tick_count bigint, spread_mean double, spread_max double").withColumn("timeframe", F.lit("1h"))
+
+    def days_of(frame):
+        return frame.select("timeframe", "pair", F.to_date("ts").alias("date"))
+
+    root = str(tmp_path)
+    before = bars_of("2025-02-26", "2025-02-27")
+    store.write_bars(before, days_of(before), root)
+    loader = research.Loader(spark, (root,))
+    assert loader.bars(root, "1h", ["EURUSD"], "2025-02-01", "2025-02-28").count() == 2
+    assert loader.bars(root, "1h", ["EURUSD"], "2024-01-01", "2024-01-02").count() == 0  # no bars in range: no crash
+    with pytest.raises(research.SealedError):
+        loader.bars(root, "1h", ["EURUSD"], "2025-02-01", "2025-03-01")  # though there are none that late
+    after = bars_of("2025-03-03")
+    store.write_bars(after, days_of(after), root)
+    with pytest.raises(research.SealedError):
+        loader.bars(root, "1h", ["EURUSD"])
+    assert loader.bars(root, "1h", ["EURUSD"], "2025-02-01", "2025-02-28").count() == 2
+    assert research.Loader(spark, (root,), "mechanical").bars(root, "1h", ["EURUSD"]).count() == 3
+    with pytest.raises(PermissionError, match="whatever"):
+        research.Loader(spark, (root,), "whatever")
+
+
+def test_recorded_files_hold_one_hour(spark, tmp_path):
+    from tickloom.streaming.live import recorder, sorted_recorder
+
+    rows = [("EURUSD", datetime.datetime(2026, 7, 14, h, m, tzinfo=UTC), 1.1, 1.2, 1.0, 1.0, "live") for h in (9, 10) for m in range(0, 60, 7)]
+    spark.createDataFrame(rows, TICKS).write.parquet(str(tmp_path / "in"))
+    for name, make in (("a", recorder), ("b", sorted_recorder)):
+        source = spark.readStream.schema(TICKS).parquet(str(tmp_path / "in"))
+        make(source, str(tmp_path / name), str(tmp_path / f"state-{name}")).trigger(availableNow=True).start().awaitTermination()
+        made = spark.read.option("recursiveFileLookup", "true").schema(TICKS).parquet(str(tmp_path / name))
+        by_file = made.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.countDistinct(F.hour("ts")).alias("n")).collect()
+        assert made.count() == len(rows)
+        assert {r.n for r in by_file} == {1}
+
+
+def test_ties_across_large_sequence_numbers(spark):
+    """Of ticks in one microsecond the smaller number opens and the larger closes, whatever the numbers and their type."""
+    at = datetime.datetime(2026, 7, 14, 12, 0, 1, tzinfo=UTC)
+    for low, kind in ((2**26 - 1, "int"), (2**26 - 1, "long"), (2**37 - 1, "long"), (2**53 - 1, "long"), (2**62, "long")):
+        frame = spark.createDataFrame([("EURUSD", at, low + 1, 1.2, 1.3), ("EURUSD", at, low, 1.0, 1.1)], f"pair string, ts timestamp, seq {kind}, bid double, ask double")
+        for name in ("1min", "1h", "4h", "1D"):
+            r = B.bars(frame, name).first()
+            assert (r.bid_open, r.bid_close) == (1.0, 1.2), (low, kind, name)
