@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
 import tempfile
 import time
@@ -17,7 +18,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
-def main() -> None:
+def measure(spark, n: int, only: tuple[str, ...] = ()) -> dict[str, int]:
+    """Ticks a second of each operator, or of those named, over ``n`` generated ticks."""
     from pyspark.sql import functions as F
 
     from tickloom.functions.calendar import TIMEFRAMES, market_open, session_label
@@ -25,11 +27,7 @@ def main() -> None:
     from tickloom.operators import bars as B
     from tickloom.operators import manifest as M
     from tickloom.operators import quality as Q
-    from tickloom.session import build_session
 
-    n, cpus = int(os.environ.get("SCALE_TICKS", "20000000")), os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    spark = build_session("scale", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": str(4 * int(cpus)), "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
     root = tempfile.mkdtemp(prefix="scale-")
     i, mix = F.col("id"), F.xxhash64("id")
     which = F.when(F.pmod(mix, F.lit(3)) == 0, F.lit(1)).otherwise(F.pmod(F.shiftright(mix, 8), F.lit(len(UNIVERSE))).cast("int") + 1)
@@ -52,14 +50,25 @@ def main() -> None:
     }
     out = {}
     for name, make in work.items():
+        if only and name not in only:
+            continue
         make().limit(1).collect()
         began = time.perf_counter()
         make().write.format("noop").mode("overwrite").save()
-        seconds = time.perf_counter() - began
-        out[name] = {"seconds": round(seconds, 2), "ticks_per_second": round(n / seconds)}
-    builds = 12 * 365 * len(TIMEFRAMES)
+        out[name] = round(n / (time.perf_counter() - began))
+    shutil.rmtree(root)
+    return out
+
+
+def main() -> None:
+    from tickloom.session import build_session
+
+    n, cpus = int(os.environ.get("SCALE_TICKS", "20000000")), os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
+    spark = build_session("scale", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": str(4 * int(cpus)), "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("ERROR")
+    out = measure(spark, n)
     spark.stop()
-    print(json.dumps({"ticks": n, "cpus": int(cpus), "day_timeframe_builds_per_second": round(builds / out["bars_seven_timeframes"]["seconds"]), "operators": out}))
+    print(json.dumps({"ticks": n, "cpus": int(cpus), "ticks_per_second": out}))
 
 
 if __name__ == "__main__":

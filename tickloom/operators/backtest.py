@@ -191,6 +191,21 @@ def ladder_verdict(bars: DataFrame, model: CostModel) -> DataFrame:
     return verdict(ladder(bars, model))
 
 
+def full_scorecard(bars: DataFrame, model: CostModel) -> DataFrame:
+    """One row for bars with targets: the scorecard, net at each stress of the costs, the verdict and the deepest drawdown."""
+    done = executions(bars, model)
+    round_trips, curve = trades(done), equity(bars, done)
+    nets = ladder(bars, model).agg(*[F.max(F.when(F.col("multiplier") == m, F.col("net"))).alias(f"net_{str(m).replace('.', '_')}") for m in LADDER])
+    deepest = drawdown(curve).agg(F.max("drawdown").alias("max_drawdown"))
+    return scorecard(round_trips, curve).crossJoin(nets).crossJoin(ladder_verdict(bars, model)).crossJoin(deepest)
+
+
+def by_regime(round_trips: DataFrame, regime: Column) -> DataFrame:
+    """Trades, hit rate, net and holding time by regime of the entry: a session, or a tercile of volatility that was joined on."""
+    hold = (F.unix_micros("exit_ts") - F.unix_micros("entry_ts")) / 3.6e9
+    return round_trips.groupBy(regime.alias("regime")).agg(F.count(F.lit(1)).alias("trade_count"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.sum("net").alias("net"), F.avg(hold).alias("holding_hours"))
+
+
 def scorecard(done: DataFrame, curve: DataFrame) -> DataFrame:
     """One row: hit rate, mean and deviation of equity changes, their ratio, turnover and holding time."""
     day = F.to_date("ts")

@@ -122,6 +122,20 @@ def hourly_profile(ticks: DataFrame) -> DataFrame:
     return every.join(got, "hour", "left").na.fill(0)
 
 
+# Month and day of the holidays on which all markets are shut.
+MAJOR_HOLIDAYS = ((1, 1), (12, 25))
+
+
+def holiday_calendar(hours: DataFrame, most_ok: int = 0, fixed: tuple[tuple[int, int], ...] = MAJOR_HOLIDAYS) -> DataFrame:
+    """``date, observed, listed``: days that ``holidays`` finds, and fixed holidays within the dates of ``hours``."""
+    days = hours.select("date").distinct()
+    known = F.lit(False)
+    for month, day in fixed:
+        known = known | ((F.month("date") == month) & (F.dayofmonth("date") == day))
+    found = holidays(hours, most_ok).withColumn("observed", F.lit(True))
+    return days.withColumn("listed", known).join(found, "date", "left").select("date", F.coalesce("observed", F.lit(False)).alias("observed"), "listed").where("observed or listed")
+
+
 def holidays(hours: DataFrame, most_ok: int = 0) -> DataFrame:
     """Weekdays on which no pair had more than ``most_ok`` hours with ticks although the market was open."""
     open_hours = hours.where(market_open(hour_instant()))

@@ -63,6 +63,30 @@ def cointegration_slope(bars: DataFrame, price: str = "mid_close") -> DataFrame:
     return both.groupBy("pair", "other").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.sqrt((F.regr_syy("y", "x") - F.regr_slope("y", "x") * F.regr_sxy("y", "x")) / F.count(F.lit(1))).alias("residual"))
 
 
+# Fixed value: the five-percent point of the residual test for two series with a constant, in large samples.
+RESIDUAL_TEST = -3.34
+
+
+def cointegration_test(bars: DataFrame, price: str = "mid_close", below: float = RESIDUAL_TEST) -> DataFrame:
+    """Whether each pair's log price less its least-squares line on another's returns to its mean.
+
+    ``statistic`` is the t-value of the residual's change on the residual before,
+    without a constant or further lags; ``stationary`` whether it is below the
+    critical value. Scans over many pairs should pass a stricter one.
+    """
+    p = bars.select("pair", "ts", F.log(price).alias("y"))
+    x = p.select(F.col("pair").alias("other"), "ts", F.col("y").alias("x"))
+    both = p.join(x, "ts").where(F.col("pair") < F.col("other"))
+    line = cointegration_slope(bars, price).select("pair", "other", "slope", "intercept")
+    rest = both.join(F.broadcast(line), ["pair", "other"]).withColumn("e", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
+    w = Window.partitionBy("pair", "other").orderBy("ts")
+    step = rest.withColumn("_b", F.lag("e").over(w)).where("_b is not null").withColumn("_d", F.col("e") - F.col("_b"))
+    sums = step.groupBy("pair", "other").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_b") * F.col("_b")).alias("bb"), F.sum(F.col("_b") * F.col("_d")).alias("bd"), F.sum(F.col("_d") * F.col("_d")).alias("dd"))
+    rho = F.col("bd") / F.col("bb")
+    error = F.sqrt((F.col("dd") - rho * F.col("bd")) / (F.col("n") - 1) / F.col("bb"))
+    return sums.select("pair", "other", "n", rho.alias("reversion"), (rho / error).alias("statistic"), (rho / error < below).alias("stationary"))
+
+
 def currency_strength(returns: DataFrame) -> DataFrame:
     """Mean return of a currency at an instant over the pairs it is in, with the sign of its side."""
     sides = F.explode(F.array(F.struct(base(F.col("pair")).alias("currency"), F.col("r").alias("v")), F.struct(quote(F.col("pair")).alias("currency"), (-F.col("r")).alias("v")))).alias("s")

@@ -120,6 +120,11 @@ def holidays(spark, d):
     return M.holidays(manifest(spark, d), 12)
 
 
+@query("holiday_calendar", f"WITH {MANIFEST_SQL}, o AS (SELECT date, pair, count(*) FILTER (status = 'ok') AS ok FROM manifest WHERE {open_sql('(date::TIMESTAMP + INTERVAL 1 HOUR * hour)')} GROUP BY 1, 2), f AS (SELECT date FROM o GROUP BY date HAVING max(ok) <= 12), a AS (SELECT DISTINCT date, date IN (SELECT date FROM f) AS observed, strftime(date, '%m-%d') IN ('01-01', '12-25') AS listed FROM manifest) SELECT date, observed, listed FROM a WHERE observed OR listed")
+def holiday_calendar(spark, d):
+    return M.holiday_calendar(manifest(spark, d), 12)
+
+
 _P = f"(ask - bid) / {PIP_SQL}"
 _QS = ", ".join(f"round(quantile_cont(pips, {p}), 6) AS {n}" for p, n in ((0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.99, "p99"), (0.999, "p99_9")))
 
@@ -250,6 +255,19 @@ def scorecard(spark, d):
     return rounded(T.scorecard(T.trades(done), T.equity(bars, done)), 4)
 
 
+_CARD = "t AS (SELECT avg(CASE WHEN net > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hit_rate, sum(abs(units) * 2) AS turnover, avg((epoch_us(exit_ts) - epoch_us(entry_ts)) / 3.6e9::DOUBLE) AS holding_hours FROM booked), r AS (SELECT avg(x) AS mean_change, stddev_samp(x) AS deviation FROM (SELECT equity - lag(equity) OVER (ORDER BY ts) AS x FROM curve))"
+
+
+@query("full_scorecard", f"WITH {BACK_SQL}, {_NETS}, {_CARD}, l AS (SELECT {', '.join(f'max(net) FILTER (multiplier = {m}) AS net_{str(m).replace(chr(46), chr(95))}' for m in (1.0, 1.2, 1.5, 2.0))} FROM nets), d AS (SELECT max(dd) AS max_drawdown FROM (SELECT max(equity) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) - equity AS dd FROM curve)) SELECT round(hit_rate, 4) AS hit_rate, round(turnover, 4) AS turnover, round(holding_hours, 4) AS holding_hours, round(mean_change, 4) AS mean_change, round(deviation, 4) AS deviation, round(mean_change / deviation, 4) AS ratio, round(net_1_0, 4) AS net_1_0, round(net_1_2, 4) AS net_1_2, round(net_1_5, 4) AS net_1_5, round(net_2_0, 4) AS net_2_0, CASE WHEN net_1_5 > 0 THEN 'SURVIVES' WHEN net_1_2 > 0 THEN 'PARKED' ELSE 'DEAD' END AS verdict, round(max_drawdown, 4) AS max_drawdown FROM t, r, l, d")
+def full_scorecard(spark, d):
+    return rounded(T.full_scorecard(aimed(spark, d), C.CostModel()), 4)
+
+
+@query("scorecard_by_session", f"WITH {BACK_SQL} SELECT {session_sql('entry_ts')} AS regime, count(*) AS trade_count, round(avg(CASE WHEN net > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS hit_rate, round(sum(net), 4) AS net, round(avg((epoch_us(exit_ts) - epoch_us(entry_ts)) / 3.6e9::DOUBLE), 4) AS holding_hours FROM booked GROUP BY 1")
+def scorecard_by_session(spark, d):
+    return rounded(T.by_regime(T.trades(back(spark, d)[1]), cal.session_label(F.col("entry_ts"))), 4)
+
+
 _MIDS = "mids AS (SELECT pair AS via, ts, mid_close AS mid FROM bars WHERE pair IN ('EURUSD', 'GBPUSD', 'USDJPY', 'USDCHF'))"
 _RATED = f"""{TICKS_SQL}, bars AS ({bars_sql(3600)}), {_MIDS}, fills AS (SELECT seq, pair, ts, CASE WHEN seq % 2 = 0 THEN ask ELSE bid END AS fill, (bid + ask) / 2 AS quote_mid, (seq % 17 + 1) * 10000.0::DOUBLE AS units,
   CASE pair[4:6] WHEN 'USD' THEN 'USDUSD' ELSE 'USD' || pair[4:6] END AS via FROM ticks),
@@ -501,6 +519,12 @@ def cointegration(spark, d):
     return rounded(K.cointegration_slope(B.bars(ticks(spark, d), "1h")))
 
 
+@query("cointegration_test", f"WITH {RET_SQL}, p AS (SELECT pair, ts, ln(mid_close) AS y FROM bars), j AS (SELECT a.pair, b.pair AS other, a.ts, a.y, b.y AS x FROM p a JOIN p b ON a.ts = b.ts AND a.pair < b.pair), l AS (SELECT pair, other, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM j GROUP BY 1, 2), e AS (SELECT pair, other, ts, y - i - s * x AS e FROM j JOIN l USING (pair, other)), w AS (SELECT pair, other, e - lag(e) OVER v AS d, lag(e) OVER v AS b FROM e WINDOW v AS (PARTITION BY pair, other ORDER BY ts)), q AS (SELECT pair, other, count(*) AS n, sum(b * b) AS bb, sum(b * d) AS bd, sum(d * d) AS dd FROM w WHERE b IS NOT NULL GROUP BY 1, 2), t AS (SELECT pair, other, n, bd / bb AS reversion, (bd / bb) / sqrt((dd - bd / bb * bd) / (n - 1) / bb) AS statistic FROM q) SELECT pair, other, n, round(reversion, 5) AS reversion, round(statistic, 4) AS statistic, statistic < -3.34 AS stationary FROM t")
+def cointegration_test(spark, d):
+    out = K.cointegration_test(B.bars(ticks(spark, d), "1h"))
+    return out.select("pair", "other", "n", F.round("reversion", 5).alias("reversion"), F.round("statistic", 4).alias("statistic"), "stationary")
+
+
 @query("currency_strength", f"WITH {RET_SQL}, s AS (SELECT ts, pair[1:3] AS currency, r AS v FROM rets UNION ALL SELECT ts, pair[4:6], -r FROM rets) SELECT ts, currency, round(avg(v), 9) AS strength, count(*) AS pairs FROM s GROUP BY 1, 2")
 def currency_strength(spark, d):
     return rounded(K.currency_strength(rets(spark, d)), 9)
