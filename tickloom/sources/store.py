@@ -25,6 +25,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def writers(spark: SparkSession) -> int:
+    """How many tasks write partitions: as a fixed number, as adaptive planning would merge small ones and one task would then write all files."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_ticks(spark: SparkSession, root: str, pairs: list[str] | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
     """Ticks by partition filters on pair and date, with ``file`` and ``row`` as the tie-break of equal instants.
 
@@ -49,7 +54,7 @@ def write_ticks(ticks: DataFrame, root: str) -> None:
     spread over its hours. Attempts of lost tasks leave no files.
     """
     rows = require(ticks.select(*TICKS.names), TICKS).withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
-    dealt = rows.repartition("pair", "date", "hour").sortWithinPartitions("pair", "date", "hour", "ts")
+    dealt = rows.repartition(writers(ticks.sparkSession), "pair", "date", "hour").sortWithinPartitions("pair", "date", "hour", "ts")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pair", "date", "hour").parquet(f"{root}/ticks")
 
 
@@ -87,7 +92,7 @@ def write_bars(bars: DataFrame, days: DataFrame, root: str) -> None:
     work = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
     rows.write.parquet(work)
     merged = spark.read.schema(rows.schema).parquet(work)
-    merged.repartition(*MONTH).sortWithinPartitions(*MONTH, "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MONTH).parquet(f"{root}/bars")
+    merged.repartition(writers(spark), *MONTH).sortWithinPartitions(*MONTH, "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MONTH).parquet(f"{root}/bars")
     for r in touched.join(merged.select(*MONTH).distinct(), MONTH, "left_anti").toLocalIterator():
         delete(spark, f"{root}/bars/timeframe={r['timeframe']}/pair={r['pair']}/month={r['month']}")
     delete(spark, work)
@@ -129,7 +134,7 @@ def write_manifest(hours: DataFrame, path: str) -> None:
         old = spark.read.parquet(path).join(F.broadcast(rows.select("pair", "month").distinct()), ["pair", "month"], "left_semi")
         rows = rows.unionByName(old.join(rows.select("pair", "date", "hour"), ["pair", "date", "hour"], "left_anti"), allowMissingColumns=True)
     rows.write.parquet(f"{work}/merged")
-    merged = spark.read.parquet(f"{work}/merged").repartition("pair", "month")
+    merged = spark.read.parquet(f"{work}/merged").repartition(writers(spark), "pair", "month")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pair", "month").parquet(path)
     delete(spark, work)
 

@@ -10,6 +10,7 @@ from ..functions.calendar import bucket_micros, micros
 from ..operators.bars import HOUR, order_key
 from ..schemas import QUOTES, STEPS, TICKS
 from ..sources.feeds import two_sided
+from ..sources.store import writers
 
 
 def stream_bars(ticks: DataFrame, timeframe: str, lateness: str = "1 hour", seq: str = "seq") -> DataFrame:
@@ -36,6 +37,7 @@ def recorder(ticks: DataFrame, out: str, checkpoint: str, rows_per_file: int = 5
     Start it with ``.start()``, or end with the data by ``.trigger(availableNow=True)``.
     """
     rows = two_sided(ticks).select(*TICKS.names).withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
+    rows = rows.repartition(writers(ticks.sparkSession), "pair", "date", "hour")
     return rows.writeStream.format("parquet").partitionBy("pair", "date", "hour").option("path", out).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file).trigger(processingTime=every)
 
 
@@ -48,7 +50,7 @@ def sorted_recorder(ticks: DataFrame, out: str, checkpoint: str, every: str = "6
     rows = two_sided(ticks).select(*TICKS.names).withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")})
 
     def write(batch: DataFrame, number: int) -> None:
-        dealt = batch.repartition("pair", "date", "hour").sortWithinPartitions("pair", "date", "hour", "ts")
+        dealt = batch.repartition(writers(batch.sparkSession), "pair", "date", "hour").sortWithinPartitions("pair", "date", "hour", "ts")
         dealt.write.mode("overwrite").partitionBy("pair", "date", "hour").parquet(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
