@@ -115,7 +115,8 @@ class ForcedBoundaryBpe:
     def _learn(self, fragments: list[bytes]) -> None:
         for f, e in zip(fragments, self.tokenizer.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False), strict=True):
             self._ids[f] = ",".join(map(str, e.ids)).encode()
-            self._text[f] = self.decode(e.ids).encode()
+            text = self.decode(e.ids).encode()
+            self._text[f] = f if text == f else text  # one copy
 
     def decode(self, ids) -> str:
         """Bytes of the tokens, joined; parts that aren't UTF-8 become U+FFFD."""
