@@ -251,7 +251,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     empty name; items that repeat an id count once. A very long text is a shard
     of its own; an item of over ``BLOCK_WORDS`` words is searched in pieces, and
     a longest match ends where its piece does. An input column with one of
-    the new names is replaced. An empty benchmark leaves every document clean.
+    the new names is replaced. Repeated rows are judged each. An empty benchmark
+    leaves every document clean; an empty table gives an empty result.
     """
     docs = without(docs, new)
     blocks = benchmark_blocks(benchmark, bench_id, bench_text)
@@ -271,6 +272,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` without any benchmark window, with their columns."""
+    """Rows of ``docs`` without any benchmark window, with their columns, whatever their names; null and empty texts stay."""
     names = unused(docs, "n_words", "n_hit", "items", "matches")
     return find_contamination(docs, benchmark, text_col, new=names).where(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text_sha256``. Null texts are empty texts. A null id never outranks another;
     a group of null ids alone has a null keep_id and all its rows are kept.
     Repeated rows with the same id and text count in group_size and share their
-    verdict. Other columns are ignored; an empty table gives an empty result.
+    verdict. Texts are compared whole, however long. Other columns are ignored; an
+    empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_norm"))
     keyed = base.withColumn("_h", F.unhex(F.md5("_norm")))
@@ -45,7 +46,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group of equal normalised texts, with all its columns.
 
-    One row stays of rows that repeat the smallest id. Rows are grouped by hash
+    One row stays of rows that repeat the smallest id; a row with a null id stays
+    only if no row with an id has the text. All columns come through, whatever
+    their names; an empty table gives an empty result. Rows are grouped by hash
     and bytes and reduced before the shuffle, so a hot group costs one row per
     task and texts cross the network once.
     """

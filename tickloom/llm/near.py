@@ -372,7 +372,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id, with all columns; rows without an id stay."""
+    """One document of each class, that with the smallest id, with all columns, whatever their names.
+
+    Rows without an id, and texts without words, stay; rows that repeat the id
+    that stays all stay. An empty table gives an empty result.
+    """
     (name,) = unused(docs, "_dropped")
     dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(dropped, docs[id_col].cast("long") == F.col(name), "left_anti")
