@@ -89,7 +89,7 @@ class ForcedBoundaryBpe:
         self.certain[:, 0x80:0xC0] = False
         self._split_added = re.compile(b"(" + b"|".join(re.escape(a.encode()) for a in sorted(self.added, key=len, reverse=True)) + b")") if self.added else None
         self._ids: dict[bytes, bytes] = {}
-        self._text: dict[bytes, bytes] = {}
+        self._text: dict[bytes, bytes] = {}  # of the fragments that don't decode to themselves
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Positions of the certain cuts of UTF-8 bytes."""
@@ -115,8 +115,8 @@ class ForcedBoundaryBpe:
     def _learn(self, fragments: list[bytes]) -> None:
         for f, e in zip(fragments, self.tokenizer.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False), strict=True):
             self._ids[f] = ",".join(map(str, e.ids)).encode()
-            text = self.decode(e.ids).encode()
-            self._text[f] = f if text == f else text  # one copy
+            if (text := self.decode(e.ids).encode()) != f:
+                self._text[f] = text
 
     def decode(self, ids) -> str:
         """Bytes of the tokens, joined; parts that aren't UTF-8 become U+FFFD."""
@@ -128,7 +128,7 @@ class ForcedBoundaryBpe:
             return b"", b""
         pieces = self.fragments(text)
         try:
-            return b",".join(map(self._ids.__getitem__, pieces)), b"".join(map(self._text.__getitem__, pieces))
+            return b",".join(map(self._ids.__getitem__, pieces)), self._decoded(text, pieces)
         except KeyError:
             pass
         if len(self._ids) > FRAGMENTS_KEPT:
@@ -136,12 +136,17 @@ class ForcedBoundaryBpe:
             self._text.clear()
         new = {p for p in pieces if p not in self._ids}
         self._learn(list(new))
-        out = b",".join(map(self._ids.__getitem__, pieces)), b"".join(map(self._text.__getitem__, pieces))
+        out = b",".join(map(self._ids.__getitem__, pieces)), self._decoded(text, pieces)
         for p in new:
             if len(p) > LONGEST_KEPT:
-                del self._ids[p], self._text[p]
+                del self._ids[p]
+                self._text.pop(p, None)
         return out
 
+    def _decoded(self, text: bytes, pieces: list[bytes]) -> bytes:
+        """What the pieces decode to: each to what was found when it was learnt."""
+        return b"".join([self._text.get(p, p) for p in pieces]) if self._text else text
+
 
 def bpe_encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """Encode every whole text and decode it again, without a shuffle.
