@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import market_open
-from .manifest import hour_instant, spread_by_session
+from ..functions.text import gib
+from ..sources.logs import harvest_costs, throughput
+from .coverage import KINDS, counts, counts_by_year, evidence, hole_verdicts, holes, last_probe, recommended_start, series
+from .manifest import coverage_summary, gap_list, hour_instant, spread_by_session, totals
+
+Section = tuple[str, DataFrame | list[str]]
 
 
 def boundary_audit(hours: DataFrame) -> DataFrame:
@@ -82,6 +87,54 @@ def markdown(df: DataFrame, most: int = 120) -> str:
     return "\n".join(lines)
 
 
+def document(title: str, facts: dict[str, object], sections: list[Section]) -> str:
+    """A report: its title, a line for each fact that is known, and each section's table or lines."""
+    lines = [f"# {title}", "", *[f"* {name}: {value}" for name, value in facts.items() if value is not None], ""]
+    for heading, body in sections:
+        shown = ([f"* {line}" for line in body] or ["None."]) if isinstance(body, list) else [markdown(body)]
+        lines += [f"## {heading}", "", *shown, ""]
+    return "\n".join(lines).rstrip() + "\n"
+
+
+def ingest_sections(hours: DataFrame, ticks: DataFrame, bars: DataFrame | None = None, stored: DataFrame | None = None, sessions: DataFrame | None = None, by_year: DataFrame | None = None) -> list[Section]:
+    """What an ingestion report has: of manifest hours, stored ticks and bars, ``store.footprint``, session logs, and a survey's counts by year."""
+    warned = hours.withColumn("empty_trading_hour", F.exists("issues", lambda i: i["reason"] == "EMPTY_TRADING_HOUR"))
+    rolled = totals(warned)
+    noted = hours.select(F.explode("issues").alias("i")).select("i.reason", "i.count")
+    out: list[Section] = [
+        ("Totals", coverage_summary(hours).orderBy("status")), ("Pairs", store_report(ticks, hours).orderBy("pair")), ("Years", rolled.where("pair is not null and year is not null").orderBy("pair", "year")),
+        ("Gaps", gap_list(hours)), ("Boundaries", boundary_audit(hours).orderBy("pair")), ("Validation", reason_lines(noted)),
+    ]
+    if sessions is not None:
+        out.append(("Throughput", throughput(sessions).orderBy("level")))
+    if stored is not None:
+        out.append(("Storage", stored.withColumn("size", gib(F.col("bytes"))).orderBy("pair")))
+    if bars is not None:
+        out.append(("Bars", bar_extent(bars).orderBy("timeframe", "pair")))
+    if by_year is not None:
+        out.append(("Survey and store", survey_against_store(by_year, hours).orderBy("pair")))
+    return out
+
+
+def survey_sections(calendar: DataFrame, probes: DataFrame, hour: int, checks: DataFrame | None = None, ledger: DataFrame | None = None, fraction: float = 0.95, window: int = 250, least: int = 5) -> list[Section]:
+    """What a coverage report has: of the pairs' trading days, probes with ``line_no``, spot checks and the ledger."""
+    last = last_probe(probes)
+    days = series(calendar, last, hour)
+    starts = recommended_start(days, fraction, window)
+    found = hole_verdicts(holes(days, least, starts), evidence(last, hour)).select("pair", "start", "end", "trading_days", "verdict", "refined_days", "with_data")
+    by_kind = counts(days)
+    asked = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
+    share = by_kind.select("pair", F.when(asked > 0, F.round(F.col("data") / asked, 6)).alias("share"))
+    out: list[Section] = [
+        ("Completeness", by_kind.join(share, "pair").orderBy("pair")), ("Starts", starts.orderBy("pair")), ("Years", counts_by_year(days).orderBy("pair", "year")), ("Holes", found.orderBy("pair", "start")), ("Extremes", extremes(share, found)),
+    ]
+    if checks is not None:
+        out.append(("Quality", quality_trend(checks).orderBy("pair")))
+    if ledger is not None:
+        out.append(("Cost", harvest_costs(ledger).orderBy("experiment_id")))
+    return out
+
+
 def reason_lines(issues: DataFrame) -> list[str]:
     """One line per reason with its hours and ticks, as logs show them."""
     rows = issues.groupBy("reason").agg(F.count(F.lit(1)).alias("hours"), F.sum("count").alias("ticks")).orderBy("reason").collect()

@@ -7,12 +7,14 @@ sources.
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
-from ..sources import bi5, logs, requests, store
+from ..sources import bi5, control, logs, quotes, requests, store
+from ..sources.feeds import two_sided
 from ..session import shared_dir, ship_package
 from ..streaming.live import recorder, stream_bars
 from . import incremental
@@ -86,6 +88,36 @@ def throughput_by_level(spark, d):
     return logs.throughput(logs.read_sessions(spark, path))
 
 
+_REPLAY = """WITH RECURSIVE numbered AS (SELECT o_custkey % 20 AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS n FROM orders),
+w AS (SELECT printf('S-%d', k) AS session, n, n * 600.0::DOUBLE AS ended, (CASE WHEN (n // (5 + k)) % 3 = 2 THEN 17 + o % 30 ELSE o % 9 END) / (100 + o % 40)::DOUBLE AS share FROM numbered),
+walk(session, n, ended, share, tolerance, level, next_level, decision, clean, bad, s2, s3, s3_shut, s4_shut) AS (
+  SELECT DISTINCT session, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 2, 2, 'start', 0::DOUBLE, 0, NULL::DOUBLE, NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM w
+  UNION ALL
+  SELECT session, n, ended, share, tolerance, level, CASE decision WHEN 'up' THEN level + 1 WHEN 'down' THEN greatest(2, level - 1) ELSE level END, decision,
+    CASE WHEN decision IN ('up', 'down') THEN ended ELSE clean END, CASE WHEN decision = 'bad' THEN bad + 1 ELSE 0 END,
+    CASE WHEN decision IN ('up', 'stay') AND level = 2 THEN (coalesce(s2, share) + share) / 2 ELSE s2 END,
+    CASE WHEN decision IN ('up', 'stay') AND level = 3 THEN (coalesce(s3, share) + share) / 2 ELSE s3 END,
+    CASE WHEN decision = 'down' AND level <= 3 THEN ended + 21600 ELSE s3_shut END, CASE WHEN decision = 'down' AND level = 4 THEN ended + 21600 ELSE s4_shut END
+  FROM (SELECT *, CASE WHEN share > tolerance THEN CASE WHEN bad = 1 THEN 'down' ELSE 'bad' END
+      WHEN level < 4 AND ended - clean >= 3600 AND ended >= (CASE level WHEN 2 THEN s3_shut ELSE s4_shut END) THEN 'up' ELSE 'stay' END AS decision
+    FROM (SELECT w.*, s.next_level AS level, clean, bad, s2, s3, s3_shut, s4_shut,
+        coalesce(least(0.1::DOUBLE, CASE s.next_level WHEN 3 THEN greatest(s2 * 1.5::DOUBLE, s2 + 0.02::DOUBLE) WHEN 4 THEN greatest(s3 * 1.5::DOUBLE, s3 + 0.02::DOUBLE) END), 0.1::DOUBLE) AS tolerance
+      FROM walk s JOIN w ON w.session = s.session AND w.n = s.n + 1)))
+SELECT session, n::INTEGER AS n, round(share, 9) AS share, round(tolerance, 9) AS tolerance, level, next_level, decision FROM walk WHERE n > 0"""
+
+
+@query("level_replay", _REPLAY)
+def level_replay(spark, d):
+    """Orders as the windows of sessions, with stretches of throttled ones, and the level that follows from them."""
+    k, o = F.col("o_custkey") % 20, F.col("o_orderkey")
+    n = F.row_number().over(Window.partitionBy("k").orderBy("o"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("k"), o.alias("o")).withColumn("n", n)
+    busy = F.expr("(n div (5 + k)) % 3 = 2")
+    windows = rows.select(F.format_string("S-%d", "k").alias("session"), "n", (F.col("n") * 600.0).alias("at"), (100 + F.col("o") % 40).alias("requests"), F.when(busy, 17 + F.col("o") % 30).otherwise(F.col("o") % 9).alias("throttles"))
+    out = control.replay_levels(windows)
+    return out.select("session", "n", F.round("share", 9).alias("share"), F.round("tolerance", 9).alias("tolerance"), "level", "next_level", "decision")
+
+
 @query("pair_months", "WITH r(pair, a, b) AS (VALUES ('EURUSD', DATE '2023-11-15', DATE '2024-02-10'), ('USDJPY', DATE '2024-01-01', DATE '2024-01-31')), m AS (SELECT pair, a, b, unnest(generate_series(date_trunc('month', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM r) SELECT pair, year(m)::INTEGER AS year, month(m)::INTEGER AS month, greatest(a, m) AS first, least(b, last_day(m)) AS last FROM m")
 def pair_months(spark, d):
     return requests.pair_months(spark, [("EURUSD", "2023-11-15", "2024-02-10"), ("USDJPY", "2024-01-01", "2024-01-31")])
@@ -217,3 +249,32 @@ def recorded(spark, d):
     source = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
     recorder(source, f"{root}/out", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").groupBy("pair", F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("ticks"))
+
+
+@query("live_bars", f"WITH {TICKS_SQL}, sent AS (SELECT * FROM ticks WHERE seq % 10 <> 0) {bars_sql(3600, 'sent')}")
+def live_bars(spark, d):
+    """Every tenth quote sent with one side only; the spool read as a stream, recorded, and made into bars."""
+    root = scratch(spark)
+    folder = f"{root}/spool".removeprefix("file://").removeprefix("file:")
+    ship_package(spark)
+
+    def spool(batches):
+        import pandas as pd
+
+        begun: set[str] = set()
+        for b in batches:
+            for pair, g in b.groupby("pair", sort=False):
+                if pair not in begun:  # a task that is run again starts its pairs anew
+                    begun.add(pair)
+                    Path(folder, f"{pair}.quotes").unlink(missing_ok=True)
+                ask = g.ask.where(g.seq % 10 != 0, 0.0)
+                n = quotes.Spool(folder).append(pair, zip(g.us, g.bid, ask, g.bid_volume, g.ask_volume, strict=True))
+                yield pd.DataFrame({"pair": [pair], "n": [n]})
+
+    t = ticks(spark, d).select("pair", F.unix_micros("ts").alias("us"), "bid", "ask", "bid_volume", "ask_volume", "seq")
+    t.repartition("pair").sortWithinPartitions("pair", "us", "seq").mapInPandas(spool, "pair string, n long").write.parquet(f"{root}/spooled")
+    pairs = [r["pair"] for r in spark.read.parquet(f"{root}/spooled").select("pair").distinct().collect()]
+    live = quotes.live_quotes(spark, folder, pairs)
+    recorder(live, f"{root}/out", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    kept = two_sided(spark.read.parquet(f"{root}/out").select("pair", F.col("ts"), "bid", "ask"))
+    return made(B.bars(kept, "1h", None))

@@ -26,6 +26,10 @@ class SourceError(RuntimeError):
     """An hour that could not be had."""
 
 
+class Throttled(SourceError):
+    """An hour that may yet be had: the feed was busy or could not be reached."""
+
+
 class OfflineError(SourceError):
     """A request where none is allowed."""
 
@@ -81,7 +85,7 @@ class HttpSource:
         return f"{self.base}/{pair}/{day.year:04d}/{day.month - 1:02d}/{day.day:02d}/{hour:02d}h_ticks.bi5"
 
     def fetch(self, pair: str, day: date, hour: int) -> RawHour:
-        url, last = self.url(pair, day, hour), ""
+        url, last, fault = self.url(pair, day, hour), "", Throttled
         for attempt in range(self.attempts):
             if attempt:
                 self.sleep(min(self.pause * 2 ** (attempt - 1), self.longest_pause))
@@ -96,8 +100,9 @@ class HttpSource:
             if status == MISSING:
                 return RawHour(b"", url, "missing")
             if status not in RETRY:
+                fault = SourceError
                 break
-        raise SourceError(f"{url}: {last}")
+        raise fault(f"{url}: {last}")
 
 
 def build_source(mode: str, *, root: str = "", get: Callable[[str], tuple[int, bytes]] | None = None, base: str = "") -> HourSource:
