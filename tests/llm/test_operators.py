@@ -573,6 +573,10 @@ def test_decontamination_against_brute_force(shared):
             for m in got[i].matches:
                 v = bench[int(m.item_id)].lower().split()
                 assert w[m.doc_start : m.doc_start + m.words] == v[m.item_start : m.item_start + m.words]
+            assert {p for m in got[i].matches for p in range(m.doc_start, m.doc_start + m.words)} == hit
+            if block > 20:
+                joined = [f" {t.lower()} " for t in bench.values()]
+                assert not any(f" {' '.join(w[m.doc_start : m.doc_start + m.words + 1])} " in t for m in got[i].matches if 10 <= m.words < len(w) - m.doc_start for t in joined)
         if block > 20:
             assert any(m.words == len(docs[3].split()) for m in got[3].matches)
 
@@ -612,6 +616,16 @@ def test_longest_matches_and_long_items(shared, monkeypatch):
     assert {m.item_start - m.doc_start for m in cut[2].matches} == {100}
 
 
+def test_windows_that_thousands_of_items_share(shared):
+    """The work grows with the windows and the listed items, not with places times items."""
+    template = "choose the one correct answer to the following question from these options"
+    bench = shared.range(3000).select("id", F.concat(F.lit(f"{template} item"), "id")).toDF("item_id", "text")
+    docs = shared.range(400).select("id", F.concat(F.lit(f"say {template} item"), "id", F.lit(" then stop"))).toDF("doc_id", "text")
+    rows = decontam.find_contamination(docs, bench).collect()
+    assert {(r.n_words, r.n_hit, len(r["items"])) for r in rows} == {(16, 13, 3000)}
+    assert all([tuple(m) for m in r.matches] == [(str(r.doc_id), 1, 0, 13)] for r in rows)
+
+
 def test_worker_holds_one_block(shared, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 50)
     bench = shared.createDataFrame([(i, " ".join(f"v{i}x{j}" for j in range(40))) for i in range(20)], "item_id bigint, text string")

@@ -3,9 +3,10 @@
 Each shard (a slice of a partition) gets the suffix array of all its word
 suffixes, by prefix doubling over the words' hashes; a suffix ends with its text.
 Every benchmark suffix is then found by binary search, word by word, for all
-suffixes at once. A match that is a whole window is confirmed under a second hash
-of the words, and grown from there to the longest verbatim match. The benchmark
-comes in blocks; a worker holds one block at a time.
+suffixes at once. A window that occurs is handled once, whatever number of items
+share it, and confirmed under a second hash of the words; from there the longest
+verbatim match is searched in the benchmark's sorted suffixes. The benchmark comes
+in blocks; a worker holds one block at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import extended, map_arrow, unused, without
-from .words import CONFIRM, alphanumeric, slices, text_view, word_hashes
+from .words import CONFIRM, alphanumeric, mix, slices, text_view, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -29,37 +30,38 @@ _U = np.uint64
 
 @dataclass
 class TestSuffixes:
-    """The words of a block of benchmark pieces, one after another, and where each one's suffixes are to be searched.
+    """The words of a block of benchmark pieces, one after another, and its suffixes that hold a window, sorted by all their words.
 
-    ``start`` is a suffix's place among the words, ``length`` the words of its
-    window, ``last`` the end of its piece; suffixes are sorted by their words.
-    ``offset`` is where a piece begins in its item.
+    By word: its hashes, its piece and the end of that piece. By suffix: its place
+    among the words and the words of its window. By piece: its first word, where
+    it begins in its item, and its item's place in ``names``, which are sorted.
     """
 
     __test__ = False
     words: np.ndarray
     confirm: np.ndarray
+    piece: np.ndarray
+    end: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    last: np.ndarray
-    piece: np.ndarray
     first: np.ndarray
-    offset: list[int]
+    offset: np.ndarray
+    name: np.ndarray
     names: list[str]
 
 
 def _block(texts: list[str], names: list[str], offset: list[int]) -> TestSuffixes | None:
     words, confirm, first = word_hashes(*text_view(pa.array(texts, pa.large_string())), alphanumeric(), 0, CONFIRM)
     sizes = np.diff(first)
-    window = np.minimum(sizes, WINDOW)
-    many = np.where(window > 0, sizes - window + 1, 0)
-    piece = np.repeat(np.arange(len(sizes)), many)
+    piece = np.repeat(np.arange(len(sizes)), sizes)
     if not len(piece):
         return None
-    start = first[:-1][piece] + np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
-    order = np.argsort(words[start], kind="stable")
-    piece, start = piece[order], start[order]
-    return TestSuffixes(words, confirm, start, window[piece], first[1:][piece], piece, first[:-1], offset, names)
+    end, window = first[1:][piece], np.minimum(sizes, WINDOW)[piece]
+    start = suffix_array(words, end)
+    start = start[start + window[start] <= end[start]]
+    known = sorted(set(names))
+    place = {name: i for i, name in enumerate(known)}
+    return TestSuffixes(words, confirm, piece, end, start, window[start], first[:-1], np.array(offset), np.array([place[n] for n in names]), known)
 
 
 def _pieces(text: str) -> Iterator[tuple[int, str]]:
@@ -148,62 +150,139 @@ def suffix_array(words: np.ndarray, last: np.ndarray) -> np.ndarray:
     return order
 
 
-def search(words: np.ndarray, last: np.ndarray, array: np.ndarray, block: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Test suffixes whose whole window occurs, and the range of the suffix array in which it does."""
-    heads = words[array]
-    want = block.words[block.start]
-    lo, hi = np.searchsorted(heads, want, "left"), np.searchsorted(heads, want, "right")
-    live = np.flatnonzero(lo < hi)
-    lo, hi = lo[live], hi[live]
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def narrowed(words: np.ndarray, end: np.ndarray, array: np.ndarray, k: int, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ranges of a suffix array, equal in their first k words, whose next word is the wanted one; by binary search."""
 
-    def bound(k: int, low: np.ndarray, high: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
-        low, high = low.copy(), high.copy()
+    def bound(right: bool) -> np.ndarray:
+        low, high = lo.copy(), hi.copy()
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
             at = array[mid]
-            value = np.where(at + k < last[at], words[np.minimum(at + k, len(words) - 1)], _U(0))
+            value = np.where(at + k < end[at], words[np.minimum(at + k, len(words) - 1)], _U(0))
             less = (value <= want[open_]) if right else (value < want[open_])
             low[open_[less]] = mid[less] + 1
             high[open_[~less]] = mid[~less]
             open_ = open_[low[open_] < high[open_]]
         return low
 
+    return bound(False), bound(True)
+
+
+def search(words: np.ndarray, last: np.ndarray, array: np.ndarray, block: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Test suffixes whose whole window occurs, in order, and the range of the suffix array in which it does."""
+    heads = words[array]
+    want = block.words[block.start]
+    lo, hi = np.searchsorted(heads, want, "left"), np.searchsorted(heads, want, "right")
+    live = np.flatnonzero(lo < hi)
+    lo, hi = lo[live], hi[live]
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(1, WINDOW + 1):
         whole = block.length[live] == k
         done.append((live[whole], lo[whole], hi[whole]))
         live, lo, hi = live[~whole], lo[~whole], hi[~whole]
         if not len(live):
             break
-        want = block.words[block.start[live] + k]
-        lo, hi = bound(k, lo, hi, want, False), bound(k, lo, hi, want, True)
+        lo, hi = narrowed(words, last, array, k, lo, hi, block.words[block.start[live] + k])
         some = lo < hi
         live, lo, hi = live[some], lo[some], hi[some]
-    return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (live, lo, hi)
+    which, lo, hi = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(which)
+    return which[order], lo[order], hi[order]
 
 
-def occurrences(array: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each test suffix with each position that its range holds."""
+@dataclass
+class Windows:
+    """Distinct windows that occur: a suffix that begins with each, all suffixes that do (a range of the block's), its ranges of the shard's array, its length, and its items."""
+
+    example: np.ndarray
+    members: tuple[np.ndarray, np.ndarray]
+    lo: np.ndarray
+    hi: np.ndarray
+    length: np.ndarray
+    items: list[np.ndarray]
+
+
+def distinct_windows(block: TestSuffixes, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Windows:
+    """Found suffixes with one window each: equal ranges, length and second hashes. Each window is then handled once, whatever number of items share it."""
+    length, confirm = block.length[which], np.zeros(len(which), _U)
+    for k in range(WINDOW):
+        inside = np.flatnonzero(k < length)
+        confirm[inside] = mix(confirm[inside] + block.confirm[block.start[which[inside]] + k] + _U(1))
+    order = np.lexsort((which, confirm, length, hi, lo))
+    key = np.stack([lo, hi, length, confirm.view(np.int64)])[:, order]
+    new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]
+    group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    example, member = which[order[at]], which[order]
+    pairs = np.unique(group * len(block.names) + block.name[block.piece[block.start[member]]])
+    cuts = np.searchsorted(pairs // len(block.names), np.arange(1, len(at)))
+    items = np.split(pairs % len(block.names), cuts)
+    return Windows(example, (np.minimum.reduceat(member, at), np.maximum.reduceat(member, at) + 1), lo[order[at]], hi[order[at]], length[order[at]], items)
+
+
+def occurrences(array: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each range's number with each position that it holds; a position is in at most ``WINDOW`` ranges of distinct windows."""
     sizes = hi - lo
-    return np.repeat(which, sizes), array[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)]
-
-
-def grown(confirm: np.ndarray, first: np.ndarray, last: np.ndarray, block: TestSuffixes, suffix: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The longest matches: those that begin where the words before differ, or a text begins, with their lengths."""
-    at = block.start[suffix]
-    inside = (pos > first[pos]) & (at > block.first[block.piece[suffix]])
-    head = ~(inside & (confirm[np.maximum(pos - 1, 0)] == block.confirm[np.maximum(at - 1, 0)]))
-    suffix, pos, at = suffix[head], pos[head], at[head]
-    length = block.length[suffix].copy()
-    room = np.minimum(last[pos] - pos, block.last[suffix] - at)
-    live = np.flatnonzero(length < room)
-    while len(live):
-        same = confirm[pos[live] + length[live]] == block.confirm[at[live] + length[live]]
-        live = live[same]
-        length[live] += 1
-        live = live[length[live] < room[live]]
-    return suffix, pos, length
+    return np.repeat(np.arange(len(lo)), sizes), array[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)]
+
+
+def longest_matches(words: np.ndarray, confirm: np.ndarray, first: np.ndarray, last: np.ndarray, block: TestSuffixes, found: Windows, group: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, lengths and test suffixes of longest matches that together cover all windows found.
+
+    In each run of positions at which a window begins, the first match is the
+    longest from the run's first position, and each further one the longest from
+    the first position whose window isn't covered yet. Lengths come from narrowing
+    the benchmark's own sorted suffixes word by word, so the work is in proportion
+    to the words matched and not to the items that share them.
+    """
+    by = np.argsort(found.length[group], kind="stable")
+    own = np.full(len(words), -1)
+    own[pos[by]] = group[by]
+    begins = np.flatnonzero(own >= 0)
+    size = found.length[own[begins]]
+    heads = np.flatnonzero((begins == first[begins]) | np.r_[True, begins[1:] != begins[:-1] + 1])
+    is_head = np.zeros(len(begins) + 1, bool)
+    is_head[heads] = True
+    is_head[-1] = True
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(heads):
+        at, g = begins[heads], own[begins[heads]]
+        length, lo, hi, example = found.length[g].copy(), found.members[0][g].copy(), found.members[1][g].copy(), found.example[g].copy()
+        live, k = np.flatnonzero(length == WINDOW), WINDOW
+        while len(live := live[at[live] + k < last[at[live]]]):
+            a, b = narrowed(block.words, block.end, block.start, k, lo[live], hi[live], words[at[live] + k])
+            live, a, b = live[a < b], a[a < b], b[a < b]
+            lo[live], hi[live], length[live], example[live] = a, b, k + 1, a
+            k += 1
+        agreed, live, k = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+        while len(live := live[k < length[live]]):
+            live = live[confirm[at[live] + k] == block.confirm[block.start[example[live]] + k]]
+            k += 1
+            agreed[live] = k
+        false = agreed < found.length[g]
+        example[false], agreed[false] = found.example[g[false]], found.length[g[false]]
+        out.append((at, agreed, example))
+        until = at + agreed
+        step = np.maximum(heads + 1, np.searchsorted(begins, until - WINDOW + 1))
+        while True:
+            inside = np.flatnonzero(step < len(begins))
+            covered = inside[~is_head[step[inside]] & (begins[step[inside]] + size[step[inside]] <= until[inside])]
+            if not len(covered):
+                break
+            step[covered] += 1
+        crossed = np.searchsorted(np.flatnonzero(is_head), heads, "right")
+        heads = step[step < np.flatnonzero(is_head)[crossed]]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _uncovered(found: list[tuple[int, int, str, int]]) -> list[dict]:
+    """Matches as they begin, without those inside another, which further blocks may give."""
+    out, until = [], 0
+    for start, minus, name, item_start in sorted(found):
+        if start - minus > until:
+            until = start - minus
+            out.append({"item_id": name, "doc_start": start, "item_start": item_start, "words": -minus})
+    return out
 
 
 def _scan(part: pa.RecordBatch, text: int, blocks: list[Broadcast], alphabet) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[dict]]]:
@@ -213,30 +292,46 @@ def _scan(part: pa.RecordBatch, text: int, blocks: list[Broadcast], alphabet) ->
     doc_of = np.repeat(np.arange(docs), np.diff(bounds))
     first, last = bounds[:-1][doc_of], bounds[1:][doc_of]
     edge = np.zeros(n + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(docs)]
-    matches: list[list[dict]] = [[] for _ in range(docs)]
+    lists: list[list[str]] = []  # items that share a window, each list once
+    held: list[set[int]] = [set() for _ in range(docs)]
+    matches: list[list[tuple[int, int, str, int]]] = [[] for _ in range(docs)]
     array = suffix_array(words, last) if blocks and n else None
     confirm = None
     for block in _loaded(blocks) if n else ():
-        suffix, pos = occurrences(array, *search(words, last, array, block))
-        if not len(pos):
+        hits = search(words, last, array, block)
+        if not len(hits[0]):
             continue
         if confirm is None:
             confirm, _ = word_hashes(data, at, alphabet, CONFIRM)
-        same, length = np.ones(len(pos), bool), block.length[suffix]
+        found = distinct_windows(block, *hits)
+        group, pos = occurrences(array, found.lo, found.hi)
+        same, length = np.ones(len(pos), bool), found.length[group]
         for k in range(WINDOW):
-            inside = k < length
-            same[inside] &= confirm[pos[inside] + k] == block.confirm[block.start[suffix[inside]] + k]
-        suffix, pos, length = suffix[same], pos[same], length[same]
+            inside = np.flatnonzero(k < length)
+            same[inside] &= confirm[pos[inside] + k] == block.confirm[block.start[found.example[group[inside]]] + k]
+        group, pos, length = group[same], pos[same], length[same]
+        if not len(pos):
+            continue
         edge += np.bincount(pos, minlength=n + 1) - np.bincount(pos + length, minlength=n + 1)
-        piece = block.piece[suffix]
-        for d, i in np.unique(np.stack([doc_of[pos], piece]), axis=1).T.tolist():
-            items[d].add(block.names[i])
-        for s, p, size in zip(*(x.tolist() for x in grown(confirm, first, last, block, suffix, pos)), strict=True):
-            i = int(block.piece[s])
-            matches[int(doc_of[p])].append({"item_id": block.names[i], "doc_start": p - int(first[p]), "item_start": int(block.start[s] - block.first[i]) + block.offset[i], "words": size})
+        known: dict[bytes, int] = {}
+        shared = np.array([known.setdefault(ids.tobytes(), len(lists) + len(known)) for ids in found.items])
+        lists += [[block.names[i] for i in np.frombuffer(ids, np.int64)] for ids in known]
+        for key in np.unique(doc_of[pos] * len(lists) + shared[group]).tolist():
+            held[key // len(lists)].add(key % len(lists))
+        for p, size, s in zip(*(x.tolist() for x in longest_matches(words, confirm, first, last, block, found, group, pos)), strict=True):
+            begin = int(block.start[s])
+            i = int(block.piece[begin])
+            matches[int(doc_of[p])].append((p - int(first[p]), -size, block.names[int(block.name[i])], begin - int(block.first[i]) + int(block.offset[i])))
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:n]) > 0)])
-    return np.diff(bounds), hit[bounds[1:]] - hit[bounds[:-1]], [sorted(x) for x in items], matches
+    unions: dict[frozenset[int], list[str]] = {}
+
+    def items(which: set[int]) -> list[str]:
+        key = frozenset(which)
+        if key not in unions:
+            unions[key] = sorted(set().union(*(lists[i] for i in which)))
+        return unions[key]
+
+    return np.diff(bounds), hit[bounds[1:]] - hit[bounds[:-1]], [items(x) for x in held], [_uncovered(x) for x in matches]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", new: tuple[str, ...] = ("n_words", "n_hit", "items", "matches")) -> DataFrame:
@@ -245,8 +340,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     Words are lower-cased ASCII letters, digits and everything beyond ASCII. A
     window is ``WINDOW`` consecutive words of an item, or the whole of a shorter
     item. ``n_hit`` counts document words inside any occurrence of a window,
-    ``items`` are the ids (as text, sorted) with occurrences, ``matches`` the
-    longest verbatim matches with their places in words. Null and empty texts
+    ``items`` are the ids (as text, sorted) with occurrences, ``matches``
+    longest verbatim matches that cover all hit words, with their places in words
+    and one item each of those that share the passage. Null and empty texts
     have no words; items without words match nothing; a null item id is the
     empty name; items that repeat an id count once. A very long text is a shard
     of its own; an item of over ``BLOCK_WORDS`` words is searched in pieces, and
