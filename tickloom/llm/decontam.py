@@ -244,6 +244,7 @@ def longest_matches(words: np.ndarray, confirm: np.ndarray, first: np.ndarray, l
     is_head = np.zeros(len(begins) + 1, bool)
     is_head[heads] = True
     is_head[-1] = True
+    runs_at = np.flatnonzero(is_head)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(heads):
         at, g = begins[heads], own[begins[heads]]
@@ -270,8 +271,7 @@ def longest_matches(words: np.ndarray, confirm: np.ndarray, first: np.ndarray, l
             if not len(covered):
                 break
             step[covered] += 1
-        crossed = np.searchsorted(np.flatnonzero(is_head), heads, "right")
-        heads = step[step < np.flatnonzero(is_head)[crossed]]
+        heads = step[step < runs_at[np.searchsorted(runs_at, heads, "right")]]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
